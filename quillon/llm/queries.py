@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import table
+from quillon.llm.common import remainder, table
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,12 +16,53 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.ogg import read_back, store
+
+    return read_back(store(table(spark, sf_dir, "documents")))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.pii import detected
+
+    found = detected(table(spark, sf_dir, "documents"))
+    terms = F.array_join(F.transform("terms", lambda t: F.concat_ws(":", F.lit("term"), t["start"], t["end"])), ",")
+    every = F.concat_ws(",", F.when(F.col("base") != "", F.col("base")), F.when(F.size("terms") > 0, terms))
+    counts = ["n_email", "n_ip", "n_card", "n_phone"]
+    return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), every.alias("spans"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.warc import archived
+
+    found = archived(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.langid import identified
+
+    return identified(table(spark, sf_dir, "documents"), remainder("doc_id", 4) == 2)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.mixing import mixed
 
     return mixed(table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.sentencepiece_codec import coded
+
+    return coded(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.quality import scored
+
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder("doc_id", 5) == 0)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.exact_dedup import exact_groups
 
@@ -31,11 +72,32 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
+    "op3_ogg": op3_ogg,
+    "op4_pii": op4_pii,
+    "op5_warc": op5_warc,
+    "op6_langid": op6_langid,
     "op7_mixing": op7_mixing,
+    "op8_sentencepiece": op8_sentencepiece,
+    "op9_quality": op9_quality,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_warc": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
+), k AS (
+  SELECT *, max(page_id) OVER (PARTITION BY html) AS keep FROM p
+), d AS (
+  SELECT p.page_id, string_agg(
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v // 32768) % 32 AS INT) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v // 1024) % 32 AS INT) + 1, 1)
+    || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((v // 32) % 32 AS INT) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(v % 32 AS INT) + 1, 1), '' ORDER BY i) AS digest
+  FROM (SELECT page_id, i, CAST('0x' || substr(hex, CAST(5 * i + 1 AS INT), 5) AS BIGINT) AS v FROM p, range(8) r(i)) p GROUP BY p.page_id
+)
+SELECT k.page_id, CAST(octet_length(encode(k.html)) AS BIGINT) AS payload_bytes, d.digest AS payload_digest,
+       CASE WHEN k.page_id = k.keep THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k.page_id <> k.keep THEN k.keep END AS refers_to
+FROM k JOIN d ON k.page_id = d.page_id
+""",
     "op7_mixing": r"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
