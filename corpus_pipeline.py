@@ -1,9 +1,68 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: reject low quality, deduplicate exactly and nearly, mix sources, tokenise.
+
+Each stage takes ``(spark, docs, sf_dir)`` and works on all rows that its predecessor kept; stages are
+written as Parquet in the shared folder and read again, so a lost executor costs one stage at most.
+All but the last return the columns of ``documents``.
+"""
+
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillon.llm.common import remainder, table
+from quillon.llm.exact_dedup import exact_dedup
+from quillon.llm.mixing import mixed
+from quillon.llm.quality import accepted
+from quillon.llm.sentencepiece_codec import coded
+from quillon.llm.simhash import simhash_dedup
+from quillon.staging import staged
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the quality classifier rejects."""
+    held_out = remainder("doc_id", 5) == 0
+    return accepted(docs, table(spark, sf_dir, "labels"), held_out)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of texts that are equal but for white space."""
+    return exact_dedup(docs).select(docs.columns)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near-duplicates."""
+    return simhash_dedup(docs).select(docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, as often as it takes them (the last, at the cut of the budget, whole)."""
+    taken = mixed(docs).where("taken > 0").select(
+        F.col("doc_id").alias("__id"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("__times")
+    )
+    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")))
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document of the mix."""
+    return coded(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("exact dedup", exact),
+    ("SimHash near-dedup", near),
+    ("mixing sources to target weights", mixing),
+    ("SentencePiece encoding and decoding", tokens),
+]
+
+#: A classifier and a fingerprint by bit majority are not expressible; tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), "pipeline-" + name.split()[0].lower())
+    return STAGES[-1][1](spark, docs, sf_dir)

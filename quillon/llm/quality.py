@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from quillon.llm.common import whole
 
@@ -142,7 +143,7 @@ def _scorer(weights: np.ndarray | None):
                 for i, text in enumerate(batch.column(1)):
                     z = float(features(text.as_py()) @ weights[:-1] + weights[-1])
                     out[i] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out)], ["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out)], ["key", "held_out", "score"])
 
     return score
 
@@ -161,7 +162,21 @@ def scored(
     are not read.
     """
     weights = learned(docs, labels, ~held_out, id_col, text_col, label_col, most_positive, most_unlabelled)
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text"), held_out.alias("held_out"))
-    out = rows.mapInArrow(_scorer(weights), f"doc_id {kind}, held_out boolean, score double")
+    out = _scores(docs, F.col(id_col), weights, text_col, held_out).withColumnRenamed("key", "doc_id")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def _scores(docs: DataFrame, key: Column, weights: np.ndarray | None, text_col: str, held_out: Column) -> DataFrame:
+    rows = docs.select(key.alias("key"), whole(text_col).alias("text"), held_out.alias("held_out"))
+    schema = StructType([rows.schema["key"], StructField("held_out", BooleanType()), StructField("score", DoubleType())])
+    return rows.mapInArrow(_scorer(weights), schema)
+
+
+def accepted(
+    docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+    most_positive: int = 2000, most_unlabelled: int = 4000, threshold: float = 0.3,
+) -> DataFrame:
+    """The rows of ``docs`` that :func:`scored` predicts to have label 1, all columns as they were and in no join."""
+    weights = learned(docs, labels, ~held_out, id_col, text_col, label_col, most_positive, most_unlabelled)
+    found = _scores(docs, F.struct(*docs.columns), weights, text_col, held_out)
+    return found.where(F.col("score") >= threshold).select("key.*")
