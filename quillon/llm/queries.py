@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from quillon.llm.common import remainder, table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillon.llm.suffix_dedup import repeats_removed
+
+    return repeats_removed(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.llm.simhash import near_duplicates
 
@@ -71,6 +77,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_simhash": op2_simhash,
     "op3_ogg": op3_ogg,
     "op4_pii": op4_pii,
