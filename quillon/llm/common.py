@@ -24,11 +24,13 @@ def remainder(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def skew_join(many: DataFrame, few: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Join a table with hot keys to an aggregate of one row per key.
+def skew_join(many: DataFrame, few: DataFrame, key: str, how: str = "inner", only: Column | None = None) -> DataFrame:
+    """Join a table with hot keys to an aggregate of one row per key; ``only`` is a further join condition.
 
     The key is given twice: the aggregate's own partitioning then does not serve the join, both sides are
     dealt out for it, and adaptive execution can split the hot partitions of ``many``.
     """
-    twice = F.col(key).alias("__twice")
-    return many.select("*", twice).join(few.select("*", twice), [key, "__twice"], how).drop("__twice")
+    left = many.select("*", F.col(key).alias("__l"))
+    right = few.select(*[c for c in few.columns if c != key], F.col(key).alias("__k"), F.col(key).alias("__r"))
+    on = (F.col(key) == F.col("__k")) & (F.col("__l") == F.col("__r"))
+    return left.join(right, on if only is None else on & only, how).drop("__l", "__r", "__k")

@@ -16,8 +16,9 @@ from quillon.staging import staged
 
 #: Three segments: of at most four differing bits, one segment holds one at most.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-#: Above so many distinct fingerprints a signature also takes in one exact block of the other bits.
-REFINE_ABOVE = 20_000_000
+#: Above so many distinct fingerprints a signature also takes in one exact block of the other bits:
+#: five times the signatures, 400 times the buckets, the same links.
+REFINE_ABOVE = 1_000_000
 
 
 def shingle_hashes(text: str, words: int = 4, seed: int = 42) -> list[int]:
@@ -111,15 +112,18 @@ def linked(fps: DataFrame, bits: int = 4) -> DataFrame:
     if bits > 4:
         raise ValueError("three segments find links of at most four bits")
     index = fps.select(F.explode(signatures(F.col("fp"), fps.count() > REFINE_ABOVE)).alias("key"), "fp")
-    ends = index.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi")
-    shared = staged(skew_join(index, ends, "key"), "simhash-buckets")
-    star = shared.where((F.col("fp") != F.col("lo")) & near("fp", "lo", bits)).select(F.col("fp").alias("src"), F.col("lo").alias("dst"))
-    other = shared.where((F.col("fp") != F.col("hi")) & near("fp", "hi", bits)).select(F.col("fp").alias("src"), F.col("hi").alias("dst"))
+    ends = index.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count("*").alias("n")).where("n > 1")
+    # The checks stand in the join: strangers that meet in a bucket of two are not even emitted.
+    to_lo, to_hi = (F.col("fp") != F.col("lo")) & near("fp", "lo", bits), (F.col("fp") != F.col("hi")) & near("fp", "hi", bits)
+    shared = staged(skew_join(index, ends, "key", only=(F.col("n") > 2) | to_lo | to_hi), "simhash-buckets")
+    star = shared.where(to_lo).select(F.col("fp").alias("src"), F.col("lo").alias("dst"))
+    other = shared.where(to_hi).select(F.col("fp").alias("src"), F.col("hi").alias("dst"))
     first = connected_components(star.unionByName(other))
     first = staged(first, "simhash-first")
     sizes = first.groupBy("component").agg(F.count("*").alias("members"))
     known = first.join(sizes, "component").select(F.col("node").alias("fp"), "component", "members")
-    placed = shared.select("key", "fp").join(known, "fp", "left").select(
+    # Buckets of two are settled; in larger ones members may link to others than the two ends.
+    placed = shared.where("n > 2").select("key", "fp").join(known, "fp", "left").select(
         "key", "fp", F.coalesce("component", "fp").alias("component"), F.coalesce("members", F.lit(1)).alias("members")
     )
     placed = staged(placed, "simhash-placed")
