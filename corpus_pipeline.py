@@ -37,11 +37,10 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, as often as it takes them (the last, at the cut of the budget, whole)."""
-    taken = mixed(docs).where("taken > 0").select(
-        F.col("doc_id").alias("__id"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("__times")
-    )
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id")))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(docs.columns)
+    times = F.ceil(F.col("taken") / F.col("size")).cast("int")
+    taken = mixed(docs).where("taken > 0").select(F.col("doc_id").alias("taken_id"), F.array_repeat(F.lit(0), times).alias("times"))
+    rows = docs.join(taken, docs.doc_id.eqNullSafe(taken.taken_id)).select(*[docs[c] for c in docs.columns], F.explode(taken.times))
+    return rows.select(*rows.columns[:-1])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

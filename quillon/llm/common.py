@@ -24,6 +24,13 @@ def remainder(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def skew_join(many: DataFrame, few: DataFrame, key: str, how: str = "inner", only: Column | None = None) -> DataFrame:
     """Join a table with hot keys to an aggregate of one row per key; ``only`` is a further join condition.
 

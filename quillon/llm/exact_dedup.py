@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import SPACE, whole
+from quillon.llm.common import SPACE, fresh, whole
 from quillon.staging import staged
 
 #: A cut falls behind the first of these letter pairs after ``least`` characters. Being chosen by the
@@ -115,11 +115,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Of rows that agree in id and text, one stays.
     """
-    keep = (
-        exact_groups(docs, id_col, text_col)
-        .where("kept")
-        .select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    )
-    rows = docs.withColumn("__text_hash", F.xxhash64(whole(text_col)))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
-    return rows.join(keep, same, "left_semi").dropDuplicates([id_col, "__text_hash"]).drop("__text_hash")
+    keep = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("keep_id"), F.col("text_hash").alias("keep_hash"))
+    hash_col = fresh(docs, "text_hash")
+    rows = docs.withColumn(hash_col, F.xxhash64(whole(text_col)))
+    same = rows[id_col].eqNullSafe(keep["keep_id"]) & (rows[hash_col] == keep["keep_hash"])
+    return rows.join(keep, same, "left_semi").dropDuplicates([id_col, hash_col]).drop(hash_col)

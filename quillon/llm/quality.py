@@ -113,17 +113,19 @@ def learned(
 
     The class prior is the share of label 1 among the labelled rows that may be learned from.
     """
-    known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__label"))
-    ids = docs.where(learn).select(id_col).join(known, F.col(id_col) == F.col("__id")).where("__id is not null")
-    shares = {r[0]: r[1] for r in ids.groupBy("__label").count().collect()}
+    known = labels.where(F.col(label_col).isNotNull()).where(F.col(id_col).isNotNull())
+    known = known.groupBy(F.col(id_col).alias("known_id")).agg(F.max(label_col).alias("label"))
+    ids = docs.where(learn).select(F.col(id_col).alias("id")).join(known, F.col("id") == F.col("known_id"))
+    shares = {r[0]: r[1] for r in ids.groupBy("label").count().collect()}
     n_positive, n_labelled = shares.get(1, 0), sum(shares.values())
     if not n_positive:
         return None
     # The bounded sample is taken before the join: few rows carry their texts into it.
     place = F.pmod(F.xxhash64(F.lit("quality"), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
-    few = known.where("__label = 1 and __id is not null")
-    trusted = docs.where(learn).where(place < F.lit(min(1.0, most_positive / n_positive))).join(few, F.col(id_col) == F.col("__id"), "left_semi")
-    positive = sampled(trusted, id_col, text_col, n_positive, most_positive)
+    few = known.where("label = 1")
+    some = docs.where(learn).where(place < F.lit(min(1.0, most_positive / n_positive))).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    trusted = some.join(few, F.col("id") == F.col("known_id"), "left_semi")
+    positive = sampled(trusted, "id", "text", n_positive, most_positive)
     n_docs = docs.where(learn).count()
     unlabelled = sampled(docs.where(learn), id_col, text_col, n_docs, most_unlabelled)
     if not len(positive) or not len(unlabelled):

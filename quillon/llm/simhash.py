@@ -172,5 +172,5 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Of rows that share that id, all stay. Components whose ids are all null stay whole.
     """
     found = near_duplicates(docs, id_col, text_col)
-    gone = found.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+    gone = found.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["gone_id"]), "left_anti")
