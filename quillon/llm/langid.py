@@ -89,9 +89,9 @@ def phrases(lanes: np.ndarray, nexts: np.ndarray) -> np.ndarray:
         c = row[:n]
         here = flat[state[:n] * width + c]
         over = here < 0
-        count[:n] += over
+        count[:n] += over | (state[:n] == 0)  # a phrase begins at the root
         state[:n] = np.where(over, np.maximum(root[c], 0), here)
-    return count + 1
+    return count
 
 
 def rates(texts: list[np.ndarray], automata: list[np.ndarray]) -> np.ndarray:
