@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
@@ -17,7 +18,7 @@ from quillon.llm.common import whole
 
 META = "▁"
 #: Words remembered per task, and the longest that is.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 #: normalizer_spec { add_dummy_prefix: false }, as a message to merge into a model's.
 NO_PREFIX = b"\x1a\x02\x18\x00"
 #: Parts of so many characters are merged without a heap.
@@ -102,15 +103,18 @@ class Agenda:
                 offer(left[i], i)
         return [s for s in symbols if s is not None]
 
-    def learn(self, texts: list[str]) -> set[str]:
-        """Merge the parts of ``texts`` that are not known yet, check them against the library in one batch.
+    def split(self, text: str) -> list[str]:
+        return self.parts(META + text.replace(" ", META)) if text else []
+
+    def learn(self, texts: list[list[str]]) -> set[str]:
+        """Merge the parts of split ``texts`` that are not known yet, check them against the library in one batch.
 
         Returns the parts on which the two differ; for those the library's ids are kept.
         """
         if len(self.seen) > CACHE_WORDS:
             self.seen.clear()
         seen = self.seen
-        new = [p for p in {p for t in texts if t for p in self.parts(META + t.replace(" ", META))} if p not in seen]
+        new = list(set(chain.from_iterable(texts)).difference(seen))
         differ = set()
         for part, theirs in zip(new, self.exact.encode(new, num_threads=1) if new else [], strict=True):
             mine = self.merge(part)
@@ -120,11 +124,9 @@ class Agenda:
             seen[part] = (mine, ",".join(map(str, mine)))
         return differ
 
-    def encode(self, text: str) -> tuple[list[int], str]:
-        """The ids, and their decimals joined by commas; :meth:`learn` has seen the text."""
-        if not text:
-            return [], ""
-        found = [self.seen[p] for p in self.parts(META + text.replace(" ", META))]
+    def encode(self, parts: list[str]) -> tuple[list[int], str]:
+        """The ids of a split text whose parts are learned, and their decimals joined by commas."""
+        found = [self.seen[p] for p in parts]
         return list(chain.from_iterable([ids for ids, _ in found])), ",".join([s for _, s in found])
 
 
@@ -136,6 +138,7 @@ def _coder(model_file: str, texts_out: bool):
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         agenda = Agenda(model_file)
         library = agenda.library
+        gc.disable()  # the remembered words hold no cycles; walking through them again and again is most of the cost
         for batch in batches:
             at = 0
             while at < batch.num_rows:
@@ -144,9 +147,10 @@ def _coder(model_file: str, texts_out: bool):
                 while at + len(texts) < batch.num_rows and (not texts or chars < BATCH_CHARS):
                     texts.append(batch.column(1)[at + len(texts)].as_py())
                     chars += len(texts[-1])
-                differ = agenda.learn(texts)
-                mine = [agenda.encode(t) for t in texts]
-                agree = [not differ or differ.isdisjoint(agenda.parts(META + t.replace(" ", META))) for t in texts]
+                parts = [agenda.split(t) for t in texts]
+                differ = agenda.learn(parts)
+                mine = [agenda.encode(p) for p in parts]
+                agree = [not differ or differ.isdisjoint(p) for p in parts]
                 decoded = [library.decode(ids) for ids, _ in mine]
                 columns = [
                     batch.column(0)[at : at + len(texts)],
@@ -161,6 +165,7 @@ def _coder(model_file: str, texts_out: bool):
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names)
                 at += len(texts)
+        gc.enable()
 
     return code
 
