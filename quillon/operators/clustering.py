@@ -109,7 +109,7 @@ def layer_stats(edges: DataFrame) -> DataFrame:
 
 def weight_walk(features: DataFrame, tokens: DataFrame, k: int = 5, least: float = 0.02) -> DataFrame:
     """Edges input token → output token of each feature: best inputs by gate, best outputs by ``top_k``, normalised per layer."""
-    ins = features.crossJoin(F.broadcast(tokens.select("token_id", F.col("token").alias("subject"), "embedding")))
+    ins = features.drop("token_id").crossJoin(F.broadcast(tokens.select("token_id", F.col("token").alias("subject"), "embedding")))
     ins = ins.select("layer", "feature", "subject", "token_id", F.round(dot("gate", "embedding"), 9).alias("c_in"), "top_k").where(F.col("c_in") >= least)
     order = Window.partitionBy("layer", "feature").orderBy(F.desc("c_in"), "token_id")
     ins = ins.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)

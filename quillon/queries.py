@@ -497,3 +497,191 @@ def g23(spark: SparkSession, d: str) -> DataFrame:
 @query("g24_counts", GRAPH_SQL + " SELECT relation, source, count(*) AS edges, round(avg(confidence), 6) AS avg_confidence FROM edges GROUP BY 1, 2")
 def g24(spark: SparkSession, d: str) -> DataFrame:
     return six(G.counts(G.business_graph(spark, d)), "avg_confidence")
+
+
+# --- patches ---------------------------------------------------------------------------------------------
+
+# Patch 0 renames every 7th feature, patch 1 deletes every 14th, patch 2 gives every 21st a new gate (its neighbour's) and label.
+PATCHED_SQL = MODEL_SQL + """, ops AS (
+  SELECT 0 AS patch_no, feature AS op_no, 'update' AS op, layer, feature, 'Renamed' AS target FROM features WHERE feature % 7 = 0
+  UNION ALL SELECT 1, feature, 'delete', layer, feature, NULL FROM features WHERE feature % 14 = 0
+  UNION ALL SELECT 2, feature, 'insert', layer, feature, 'Inserted' FROM features WHERE feature % 21 = 0
+), last_op AS (SELECT *, row_number() OVER (PARTITION BY layer, feature ORDER BY patch_no DESC, op_no DESC) AS n FROM ops),
+patched AS (
+  SELECT f.layer, f.feature, CASE WHEN o.op IS NULL THEN f.token WHEN o.op = 'delete' THEN NULL ELSE o.target END AS token,
+    CASE WHEN o.op IS NULL THEN f.c_score WHEN o.op = 'delete' THEN NULL WHEN o.op = 'insert' THEN 0.9 ELSE f.c_score END AS c_score,
+    CASE WHEN f.feature % 21 = 0 THEN g.gate WHEN f.feature % 14 = 0 THEN NULL ELSE f.gate END AS gate
+  FROM features f LEFT JOIN last_op o ON o.n = 1 AND o.layer = f.layer AND o.feature = f.feature LEFT JOIN gates g ON g.vec_id = (f.feature + 1) % (SELECT count(*) FROM embeddings)
+)"""
+
+
+def patch_ops(m: Model) -> DataFrame:
+    f = m.features
+    null, none = F.lit(None), F.lit(None).cast("array<double>")
+
+    def ops(no: int, op: str, every: int, target, gate) -> DataFrame:
+        return f.where(F.col("feature") % every == 0).select(
+            F.lit(no).alias("patch_no"), F.col("feature").cast("int").alias("op_no"), F.lit(op).alias("op"), "layer", "feature", target.cast("string").alias("target"), null.cast("long").alias("token_id"),
+            null.cast("double").alias("confidence"), gate.alias("gate"), null.cast("string").alias("entity"), null.cast("string").alias("relation"))
+
+    near = f.select(((F.col("feature") - 1 + m.size) % m.size).alias("feature"), F.col("gate").alias("near"))
+    inserts = ops(2, "insert", 21, F.lit("Inserted"), none).drop("gate").join(near, "feature").withColumnRenamed("near", "gate")
+    return ops(0, "update", 7, F.lit("Renamed"), none).unionByName(ops(1, "delete", 14, null, none)).unionByName(inserts)
+
+
+@query("p1_apply_patches", PATCHED_SQL + " SELECT layer, feature, token, round(c_score, 6) AS c_score, round(gate[1], 6) AS g1 FROM patched")
+def p1(spark: SparkSession, d: str) -> DataFrame:
+    m = derive(spark, d)
+    return six(P.overlay(m.features, patch_ops(m)).select("layer", "feature", "token", "c_score", F.col("gate")[0].alias("g1")), "c_score", "g1")
+
+
+@query("p2_remove_patch", MODEL_SQL + """ SELECT layer, feature, CASE WHEN feature % 21 = 0 THEN 'Inserted' WHEN feature % 7 = 0 THEN 'Renamed' ELSE token END AS token FROM features""")
+def p2(spark: SparkSession, d: str) -> DataFrame:
+    m = derive(spark, d)
+    return P.overlay(m.features, P.without_patch(patch_ops(m), 1)).select("layer", "feature", "token")
+
+
+@query("p4_overlay_knn", PATCHED_SQL + """, asked AS (SELECT token_id AS id, word AS text FROM tokens WHERE token_id % 20 = 3), ask_q AS (SELECT a.id, list_transform(t.embedding, lambda x: x * 80.0) AS q FROM asked a JOIN tokens t ON a.text = t.word),
+sc AS (SELECT q.id, f.layer, f.feature, f.token, round(list_inner_product(f.gate, q.q), 9) AS score FROM patched f CROSS JOIN ask_q q WHERE f.gate IS NOT NULL),
+h AS (SELECT *, row_number() OVER (PARTITION BY id, layer ORDER BY abs(score) DESC, feature) AS rank FROM sc) SELECT id, layer, feature, token, rank, round(score, 6) AS score FROM h WHERE rank <= 5""")
+def p4(spark: SparkSession, d: str) -> DataFrame:
+    m = derive(spark, d)
+    view = P.overlay(m.features, patch_ops(m)).where("gate is not null")
+    return six(K.gate_knn(K.embedded(asked(m), m), view, 5).select("id", "layer", "feature", "token", "rank", "score"), "score")
+
+
+@query("p8_patch_counts", MODEL_SQL + """ SELECT 0 AS patch_no, 0 AS inserts, count(*) AS updates, 0 AS deletes FROM features WHERE feature % 7 = 0 UNION ALL SELECT 1, 0, 0, count(*) FROM features WHERE feature % 14 = 0
+UNION ALL SELECT 2, count(*), 0, 0 FROM features WHERE feature % 21 = 0""")
+def p8(spark: SparkSession, d: str) -> DataFrame:
+    return P.patch_counts(patch_ops(derive(spark, d)))
+
+
+@query("p9_free_feature", MODEL_SQL + " SELECT layer, min(feature) AS feature FROM features WHERE token IS NULL GROUP BY layer")
+def p9(spark: SparkSession, d: str) -> DataFrame:
+    return P.free_feature(derive(spark, d).features)
+
+
+@query("p10_find_features", MODEL_SQL + " SELECT DISTINCT f.layer, f.feature, f.token FROM features f JOIN features_top t ON t.vec_id = f.feature WHERE contains(lower(t.token), 'th') OR contains(lower(f.token), 'th')")
+def p10(spark: SparkSession, d: str) -> DataFrame:
+    return P.find_features(derive(spark, d).features, "TH").select("layer", "feature", "token")
+
+
+KNN_SQL = ASK_SQL + """, entries AS (SELECT label AS layer, vec_id, gate AS key FROM gates WHERE vec_id % 9 = 0 AND vec_id % 27 <> 0),
+s AS (SELECT q.id, e.layer, e.vec_id, round(list_inner_product(e.key, q.q) / (sqrt(list_inner_product(e.key, e.key)) * sqrt(list_inner_product(q.q, q.q))), 9) AS cosine FROM entries e CROSS JOIN ask_q q),
+r AS (SELECT *, row_number() OVER (PARTITION BY id, layer ORDER BY cosine DESC, vec_id) AS rank FROM s)"""
+
+
+def knn_ops(m: Model) -> DataFrame:
+    base = m.features.where("feature % 9 = 0").select(
+        F.lit(0).alias("patch_no"), F.col("feature").cast("int").alias("op_no"), F.lit("insert_knn").alias("op"), "layer", "feature", F.concat(F.lit("T"), "feature").alias("target"),
+        F.lit(None).cast("long").alias("token_id"), F.lit(0.9).alias("confidence"), "gate", F.concat(F.lit("E"), "feature").alias("entity"), F.lit("is").alias("relation"))
+    gone = base.where("feature % 27 = 0").withColumns({"patch_no": F.lit(1), "op": F.lit("delete_knn"), "entity": F.lower("entity"), "relation": F.lit(None).cast("string"), "gate": F.lit(None).cast("array<double>")})
+    return base.unionByName(gone)
+
+
+@query("p6_knn_store", KNN_SQL + " SELECT id, layer, 'T' || vec_id AS target, round(cosine, 6) AS cosine, rank FROM r WHERE rank <= 2")
+def p6(spark: SparkSession, d: str) -> DataFrame:
+    m = derive(spark, d)
+    q = K.embedded(asked(m), m).crossJoin(spark.range(m.layers).select(F.col("id").cast("int").alias("layer")))
+    return six(P.knn_query(P.knn_entries(knn_ops(m)), q, 2).select("id", "layer", "target", "cosine", "rank"), "cosine")
+
+
+# --- clustering, probing, traces -----------------------------------------------------------------------------
+
+
+@query("c1_kmeans")
+def c1(spark: SparkSession, d: str) -> DataFrame:
+    m = derive(spark, d)
+    got, _ = C.kmeans(m.features.select(F.col("feature").alias("id"), F.col("gate").alias("v")), 8, 10)
+    return got.select("id", "cluster", F.round("distance", 6).alias("distance"))
+
+
+@query("c2_tfidf_labels", MODEL_SQL + """, w AS (SELECT f.layer AS cluster, lower(t.token) AS w FROM features f JOIN features_top t ON t.vec_id = f.feature WHERE f.token IS NOT NULL),
+good AS (SELECT * FROM w WHERE octet_length(encode(w)) >= 3 AND 2 * length(regexp_replace(w, '[^A-Za-z0-9]', '', 'g')) >= length(w)), tf AS (SELECT cluster, w, count(*) AS n FROM good GROUP BY 1, 2),
+sc AS (SELECT t.cluster, t.w, t.n, t.n / CAST(a.total AS DOUBLE) * ln(CAST((SELECT count(*) FROM features WHERE token IS NOT NULL) AS DOUBLE) / e.total) AS score FROM tf t JOIN (SELECT cluster, sum(n) AS total FROM tf GROUP BY 1) a ON a.cluster = t.cluster
+  JOIN (SELECT w, sum(n) AS total FROM tf GROUP BY 1) e ON e.w = t.w), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(score, 9) DESC, n DESC, w) AS r FROM sc)
+SELECT cluster, string_agg(w, '/' ORDER BY r) AS label FROM r WHERE r <= 3 GROUP BY cluster""")
+def c2(spark: SparkSession, d: str) -> DataFrame:
+    rows = derive(spark, d).with_meta.select(F.col("layer").alias("cluster"), "feature", F.array_join(F.transform("top_k", lambda t: t["token"]), "|").alias("text"))
+    return C.tfidf_labels(rows).select("cluster", "label")
+
+
+@query("c7_probe", ASK_SQL + " SELECT layer, feature, count(*) AS entities, min(id) AS first FROM hits WHERE rank <= 3 AND score > 5 GROUP BY layer, feature")
+def c7(spark: SparkSession, d: str) -> DataFrame:
+    m = derive(spark, d)
+    return C.probe(K.embedded(asked(m), m), m.features).select("layer", "feature", F.size("entities").cast("long").alias("entities"), F.col("entities")[0].alias("first"))
+
+
+@query("c22_nearest_centre", """WITH g AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), c AS (SELECT vec_id AS cluster, v AS centre FROM g WHERE vec_id < 10),
+s AS (SELECT g.vec_id, c.cluster, round(list_inner_product(g.v, c.centre) / (sqrt(list_inner_product(g.v, g.v)) * sqrt(list_inner_product(c.centre, c.centre))), 9) AS s FROM g CROSS JOIN c), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, cluster) AS n FROM s)
+SELECT vec_id AS id, cluster, round(s, 6) AS cosine FROM r WHERE n = 1""")
+def c22(spark: SparkSession, d: str) -> DataFrame:
+    g = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return six(C.classify_direction(g, g.where("id < 10").select(F.col("id").alias("cluster"), F.col("v").alias("centre"))), "cosine")
+
+
+WALKER_SQL = MODEL_SQL + """, ci AS (SELECT f.layer, f.feature, t.token AS subject, t.token_id, round(list_inner_product(f.gate, t.embedding), 9) AS c_in FROM features f CROSS JOIN tokens t),
+cr AS (SELECT *, row_number() OVER (PARTITION BY layer, feature ORDER BY c_in DESC, token_id) AS r FROM ci WHERE c_in >= 0.02),
+ed AS (SELECT c.layer, c.feature, c.subject, o.token AS object, c.c_in, o.logit AS c_out FROM cr c JOIN features_top o ON o.vec_id = c.feature AND o.logit >= 0.02 WHERE c.r <= 5),
+walked AS (SELECT *, c_in * c_out / max(c_in * c_out) OVER (PARTITION BY layer) AS confidence, c_in / max(c_in) OVER (PARTITION BY layer) AS selectivity FROM ed)"""
+
+
+@query("w1_weight_walk", WALKER_SQL + " SELECT layer, feature, subject, object, round(confidence, 6) AS confidence, round(selectivity, 6) AS selectivity FROM walked")
+def w1(spark: SparkSession, d: str) -> DataFrame:
+    m = derive(spark, d)
+    return six(C.weight_walk(m.with_meta, m.tokens).select("layer", "feature", "subject", "object", "confidence", "selectivity"), "confidence", "selectivity")
+
+
+@query("w2_layer_stats", WALKER_SQL + """ SELECT layer, count(*) AS edges, round(avg(confidence), 6) AS mean_confidence, round(max(confidence), 6) AS max_confidence, round(min(confidence), 6) AS min_confidence, round(avg(selectivity), 6) AS mean_selectivity,
+  count(*) FILTER (WHERE subject = object) AS self_loops, count(*) FILTER (WHERE confidence >= 0.25) AS confidence_ge_25, count(*) FILTER (WHERE selectivity >= 0.75) AS selectivity_ge_75 FROM walked GROUP BY layer""")
+def w2(spark: SparkSession, d: str) -> DataFrame:
+    m = derive(spark, d)
+    stats = C.layer_stats(C.weight_walk(m.with_meta, m.tokens))
+    names = ["mean_confidence", "max_confidence", "min_confidence", "mean_selectivity"]
+    return six(stats.select("layer", "edges", *names, "self_loops", "confidence_ge_25", "selectivity_ge_75"), *names)
+
+
+TRACE_SQL = "WITH " + TOKENS_SQL + """, tn AS (SELECT vec_id // 10 AS trace_id, vec_id % 10 AS layer, gate AS residual FROM gates WHERE vec_id < 200),
+lg AS (SELECT n.trace_id, n.layer, t.token_id, round(list_inner_product(n.residual, t.embedding), 9) AS logit FROM tn n CROSS JOIN tokens t),
+pr AS (SELECT *, exp(logit) / sum(exp(logit)) OVER (PARTITION BY trace_id, layer) AS probability, rank() OVER (PARTITION BY trace_id, layer ORDER BY logit DESC) AS rank FROM lg)"""
+
+
+@query("w7_answer_trajectory", TRACE_SQL + " SELECT trace_id, layer, rank, round(probability, 6) AS probability FROM pr WHERE token_id = 5")
+def w7(spark: SparkSession, d: str) -> DataFrame:
+    m = derive(spark, d)
+    nodes = m.features.where("feature < 200").select(F.floor(F.col("feature") / 10).alias("trace_id"), (F.col("feature") % 10).alias("layer"), F.col("gate").alias("residual"))
+    return six(C.answer_trajectory(nodes, m.tokens, 5), "probability")
+
+
+@query("m1_predictions", TRACE_SQL + """, m AS (SELECT trace_id * 10 + layer AS id, token_id, tanh(logit / 0.5) * 0.5 / 0.7 AS x FROM lg), p AS (SELECT id, token_id, exp(x) / sum(exp(x)) OVER (PARTITION BY id) AS probability, row_number() OVER (PARTITION BY id ORDER BY round(x, 12) DESC, token_id) AS rank FROM m)
+SELECT id, token_id, round(probability, 6) AS probability, rank FROM p WHERE rank <= 3""")
+def m1(spark: SparkSession, d: str) -> DataFrame:
+    m = derive(spark, d)
+    nodes = m.features.where("feature < 200").select(F.col("feature").alias("id"), F.col("gate").alias("residual"))
+    logits = nodes.crossJoin(F.broadcast(m.tokens.select("token_id", "embedding"))).select("id", "token_id", F.round(T.dot("residual", "embedding"), 9).alias("logit"))
+    return six(C.softmax_top(logits, 3, 0.7, 0.5), "probability")
+
+
+# --- events ---------------------------------------------------------------------------------------------------
+
+
+@query("st_event_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+def st1(spark: SparkSession, d: str) -> DataFrame:
+    from quillon.streaming.events import event_windows
+
+    return event_windows(spark.read.parquet(f"{d}/events.parquet"))
+
+
+@query("st_sessions", """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '30 minutes' AS "end", count(*) AS n FROM s GROUP BY user_id, k""")
+def st2(spark: SparkSession, d: str) -> DataFrame:
+    from quillon.streaming.events import sessions
+
+    return sessions(spark.read.parquet(f"{d}/events.parquet"))
+
+
+@query("st_token_windows", "SELECT conv_id AS id, turn // 4 AS window, min(turn) AS first, max(turn) AS last, max_by(role, turn) AS boundary FROM conversations GROUP BY 1, 2")
+def st3(spark: SparkSession, d: str) -> DataFrame:
+    from quillon.streaming.events import token_windows
+
+    return token_windows(spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("id"), F.col("turn").alias("pos"), F.col("role").alias("value")), 4)
