@@ -61,7 +61,7 @@ def with_own_text(rows: DataFrame, bad: DataFrame) -> DataFrame:
     """``norm`` stays where the recipe holds an identifier in ``bad``, and is null elsewhere."""
     hit = rows.select("row", F.explode("recipe").alias("id")).join(bad, "id", "left_semi").select("row").distinct()
     hit = hit.withColumn("hit", F.lit(True))
-    return rows.join(hit, "row", "left").withColumn("norm", F.when("hit", F.col("norm"))).drop("hit")
+    return rows.join(hit, "row", "left").withColumn("norm", F.when(F.col("hit"), F.col("norm"))).drop("hit")
 
 
 def exact_groups(
