@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quillon.functions.text import band, classify_relation, cosine_unless_zero, dot, is_content, is_readable, score_to_distance
 from quillon.plans.model import Model, words_of
 
 GATE_THRESHOLD, DESCRIBE_TOP, SIMILAR_TOP = 5.0, 20, 50
+#: Queries that travel with the tasks as one matrix.
+MOST_QUERIES = 4096
 
 
 def token_ids(texts: DataFrame, model: Model, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -34,12 +41,46 @@ def gate_scores(queries: DataFrame, features: DataFrame) -> DataFrame:
     return features.crossJoin(queries).withColumn("score", F.round(dot("gate", "q"), 9)).drop("q", "gate")
 
 
+def _best_of_batches(ids: pa.Array, q: np.ndarray, k: int, names: list[str]):
+    """Per Arrow batch and layer: the scores of all queries by one matrix product, and of these only the best ``k`` and their equals."""
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gates = batch.column(names.index("gate"))
+            if not batch.num_rows:
+                continue
+            scores = np.round(gates.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) @ q.T, 9)
+            layers = batch.column(names.index("layer")).to_numpy(zero_copy_only=False)
+            rest = batch.select([n for n in names if n != "gate"])
+            for layer in np.unique(layers):
+                rows = np.flatnonzero(layers == layer)
+                size = np.abs(scores[rows])
+                least = np.partition(size, -k, axis=0)[-k] if len(rows) > k else np.full(len(q), -1.0)
+                row, query = np.nonzero(size >= least)
+                out = rest.take(pa.array(rows[row]))
+                yield pa.RecordBatch.from_arrays([*out.columns, ids.take(pa.array(query)), pa.array(scores[rows[row], query])], [*out.schema.names, "id", "score"])
+
+    return score
+
+
 def gate_knn(queries: DataFrame, features: DataFrame, k: int, first: int | None = None, last: int | None = None) -> DataFrame:
-    """Per query and layer the ``k`` features of the largest absolute score; ties by feature. ``first`` to ``last`` bounds the features."""
+    """Per query and layer the ``k`` features of the largest absolute score; ties by feature. ``first`` to ``last`` bounds the features.
+
+    Up to ``MOST_QUERIES`` queries travel with the tasks as one matrix, features stream by in Arrow batches,
+    and of each batch only candidates for the best ``k`` reach the exchange. More queries are joined instead.
+    """
     if first is not None:
         features = features.where((F.col("feature") >= first) & (F.col("feature") < last))
     order = Window.partitionBy("id", "layer").orderBy(F.abs("score").desc(), "feature")
-    return gate_scores(queries, features).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    stated = queries.select("id", "q").limit(MOST_QUERIES + 1).toArrow()
+    if stated.num_rows > MOST_QUERIES or not stated.num_rows:
+        scored = gate_scores(queries, features)
+    else:
+        q = np.array(stated.column("q").to_pylist(), dtype=np.float64)
+        kept = features.where("gate is not null")
+        schema = StructType([*[f for f in kept.schema if f.name != "gate"], queries.schema["id"], StructField("score", DoubleType())])
+        scored = kept.mapInArrow(_best_of_batches(stated.column("id").combine_chunks(), q, k, kept.columns), schema)
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def also(top_k: Column | str = "top_k", n: int = 3, *keep: Column) -> Column:
