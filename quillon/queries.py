@@ -11,6 +11,7 @@ from quillon.functions import text as T
 from quillon.operators import clustering as C
 from quillon.operators import graph as G
 from quillon.operators import knowledge as K
+from quillon.operators import models as R
 from quillon.operators import patches as P
 from quillon.plans.model import Model, derive
 
@@ -685,3 +686,60 @@ def st3(spark: SparkSession, d: str) -> DataFrame:
     from quillon.streaming.events import token_windows
 
     return token_windows(spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("id"), F.col("turn").alias("pos"), F.col("role").alias("value")), 4)
+
+
+# --- registry, routing, approximate search ----------------------------------------------------------------------
+
+
+@query("v17_route", ASK_SQL + """, rt AS (SELECT q.id, g.label AS layer, g.vec_id AS expert, round(list_inner_product(g.gate, q.q) + (g.vec_id % 3) * 0.5, 9) AS score FROM gates g CROSS JOIN ask_q q WHERE g.vec_id < 80),
+rr AS (SELECT *, row_number() OVER (PARTITION BY id, layer ORDER BY score DESC, expert) AS rank FROM rt)
+SELECT id, layer, expert, rank, round(score, 6) AS score, round(exp(score - max(score) OVER (PARTITION BY id, layer)) / sum(exp(score)) OVER (PARTITION BY id, layer) * exp(max(score) OVER (PARTITION BY id, layer)), 6) AS probability FROM rr WHERE rank <= 3""")
+def v17(spark: SparkSession, d: str) -> DataFrame:
+    m = derive(spark, d)
+    return six(R.route(K.embedded(asked(m), m).withColumnRenamed("q", "x"), router(m), 3), "score", "probability")
+
+
+def router(m: Model) -> DataFrame:
+    return m.features.where("feature < 80").select("layer", F.col("feature").alias("expert"), F.col("gate").alias("w"), ((F.col("feature") % 3) * 0.5).alias("bias"), F.lit(1.0).alias("scale"))
+
+
+@query("v18_route_totals")
+def v18(spark: SparkSession, d: str) -> DataFrame:
+    m = derive(spark, d)
+    return six(R.routed_totals(R.route(K.embedded(asked(m), m).withColumnRenamed("q", "x"), router(m), 3)), "mean_probability")
+
+
+@query("v8_approximate_knn")
+def v8(spark: SparkSession, d: str) -> DataFrame:
+    m = derive(spark, d)
+    return six(R.approximate_knn(K.embedded(asked(m), m), m.features.select("layer", "feature", "gate"), 10), "score")
+
+
+@query("c12_gate_tokens", MODEL_SQL + """, ww AS (SELECT * FROM tokens WHERE octet_length(encode(trim(token))) >= 3 AND regexp_matches(trim(token), '^[A-Za-z0-9''-]+$')),
+sg AS (SELECT f.layer, f.feature, w.token_id, round(list_inner_product(f.gate, w.embedding), 9) AS score FROM features f CROSS JOIN ww w), rg AS (SELECT *, row_number() OVER (PARTITION BY layer, feature ORDER BY score DESC, token_id) AS r FROM sg)
+SELECT layer, feature, token_id, round(score, 6) AS score FROM rg WHERE r = 1""")
+def c12(spark: SparkSession, d: str) -> DataFrame:
+    m = derive(spark, d)
+    return six(R.gate_tokens(m.features, m.tokens), "score")
+
+
+@query("w6_token_gate_index", MODEL_SQL + """, ac AS (SELECT f.layer, f.feature, t.token_id, list_inner_product(f.gate, t.embedding) AS x FROM features f CROSS JOIN tokens t), sl AS (SELECT layer, feature, token_id, round(x / (1 + exp(-x)), 9) AS act FROM ac),
+rk AS (SELECT *, row_number() OVER (PARTITION BY token_id ORDER BY abs(act) DESC, layer, feature) AS rank FROM sl) SELECT layer, feature, token_id, round(act, 6) AS act, rank FROM rk WHERE rank <= 5""")
+def w6(spark: SparkSession, d: str) -> DataFrame:
+    m = derive(spark, d)
+    return six(R.token_gate_index(m.features, m.tokens, 5), "act")
+
+
+@query("w10_walk_residuals", MODEL_SQL + """, rs AS (SELECT vec_id // 10 AS id, CAST(vec_id % 10 AS INT) AS layer, gate AS q FROM gates WHERE vec_id < 100), s AS (SELECT r.id, f.layer, f.feature, f.token, round(list_inner_product(f.gate, r.q), 9) AS score FROM features f JOIN rs r ON r.layer = f.layer),
+k AS (SELECT *, row_number() OVER (PARTITION BY id, layer ORDER BY abs(score) DESC, feature) AS rank FROM s) SELECT id, layer, rank, feature, round(score, 6) AS score, token FROM k WHERE rank <= 20 AND token IS NOT NULL""")
+def w10(spark: SparkSession, d: str) -> DataFrame:
+    m = derive(spark, d)
+    r = m.features.where("feature < 100").select(F.floor(F.col("feature") / 10).alias("id"), (F.col("feature") % 10).cast("int").alias("layer"), F.col("gate").alias("q"))
+    return six(R.walk_residuals(r, m.features), "score")
+
+
+@query("w11_covariance", """WITH g AS (SELECT label AS layer, list_transform(embedding[1:4], lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), ij AS (SELECT i, j FROM range(4) a(i), range(4) b(j))
+SELECT layer, i, j, round(avg(v[i + 1] * v[j + 1]), 6) AS value FROM g CROSS JOIN ij GROUP BY layer, i, j""")
+def w11(spark: SparkSession, d: str) -> DataFrame:
+    g = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("label").alias("layer"), F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("v"))
+    return six(R.covariance(g), "value")
