@@ -35,11 +35,13 @@ def business_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
         return df.select(s.alias("subject"), F.lit(r).alias("relation"), o.alias("object"), c.cast("double").alias("confidence"), F.lit(source).alias("source"))
 
     k = lambda letter, col: F.concat(F.lit(letter), F.col(col).cast("string"))
+    # Rounded by floor, which is the same on any engine.
+    share = lambda col: F.floor((F.col(col) + 1000) / 11000 * 10000 + 0.5) / 10000
     supplies = t("lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("n"))
     parts = [
         named(t("nation"), k("N", "n_nationkey"), "in_region", k("R", "n_regionkey"), F.lit(1.0), "manual"),
-        named(t("customer"), k("C", "c_custkey"), "in_nation", k("N", "c_nationkey"), F.round((F.col("c_acctbal") + 1000) / 11000, 4), "document"),
-        named(t("supplier"), k("S", "s_suppkey"), "in_nation", k("N", "s_nationkey"), F.round((F.col("s_acctbal") + 1000) / 11000, 4), "wikidata"),
+        named(t("customer"), k("C", "c_custkey"), "in_nation", k("N", "c_nationkey"), share("c_acctbal"), "document"),
+        named(t("supplier"), k("S", "s_suppkey"), "in_nation", k("N", "s_nationkey"), share("s_acctbal"), "wikidata"),
         named(supplies, k("S", "l_suppkey"), "supplies", k("P", "l_partkey"), F.round(0.5 + (F.col("n") + F.col("l_partkey") * 7) % 50 / 100, 4), "parametric"),
         named(t("part"), k("P", "p_partkey"), "has_brand", F.col("p_brand"), F.lit(0.8), "installed"),
     ]

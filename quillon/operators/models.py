@@ -73,7 +73,7 @@ def signs(v: F.Column, planes: list[list[float]]) -> F.Column:
     return F.concat(*[F.when(dot(v, F.array(*map(F.lit, p))) >= 0, "1").otherwise("0") for p in planes])
 
 
-def approximate_knn(queries: DataFrame, features: DataFrame, k: int, tables: int = 12, bits: int = 4, seed: int = 42) -> DataFrame:
+def approximate_knn(queries: DataFrame, features: DataFrame, k: int, tables: int = 20, bits: int = 4, seed: int = 42) -> DataFrame:
     """As the exact search, over features that share a code of random hyperplanes with the query or its opposite; scores are exact."""
     rng = np.random.default_rng(seed)
     first = features.select(F.size("gate")).first()

@@ -337,8 +337,8 @@ def s8(spark: SparkSession, d: str) -> DataFrame:
 GRAPH_SQL = """
 WITH raw AS (
   SELECT 'N' || n_nationkey AS subject, 'in_region' AS relation, 'R' || n_regionkey AS object, 1.0::DOUBLE AS confidence, 'manual' AS source FROM nation
-  UNION ALL SELECT 'C' || c_custkey, 'in_nation', 'N' || c_nationkey, round((c_acctbal + 1000) / 11000, 4), 'document' FROM customer
-  UNION ALL SELECT 'S' || s_suppkey, 'in_nation', 'N' || s_nationkey, round((s_acctbal + 1000) / 11000, 4), 'wikidata' FROM supplier
+  UNION ALL SELECT 'C' || c_custkey, 'in_nation', 'N' || c_nationkey, floor((c_acctbal + 1000) / 11000 * 10000 + 0.5) / 10000, 'document' FROM customer
+  UNION ALL SELECT 'S' || s_suppkey, 'in_nation', 'N' || s_nationkey, floor((s_acctbal + 1000) / 11000 * 10000 + 0.5) / 10000, 'wikidata' FROM supplier
   UNION ALL SELECT 'S' || l_suppkey, 'supplies', 'P' || l_partkey, round(0.5 + ((n + l_partkey * 7) % 50) / 100.0::DOUBLE, 4), 'parametric' FROM (SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem GROUP BY 1, 2)
   UNION ALL SELECT 'P' || p_partkey, 'has_brand', p_brand, 0.8::DOUBLE, 'installed' FROM part
 ), edges AS (SELECT subject || '|' || relation || '|' || object AS seq, * FROM raw)"""
