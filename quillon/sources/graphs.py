@@ -16,7 +16,7 @@ COMPACT = "s string, r string, o string, c double, src string, meta map<string,s
 def format_of(path: str) -> str:
     """The format that an extension means; an unknown one is an error."""
     name = path.rstrip("/").lower()
-    for ending, kind in ((".infer.json", "json"), (".json", "json"), (".ndjson", "log"), (".jsonl", "log"), (".csv", "csv"), (".bin", "packed"), (".parquet", "parquet")):
+    for ending, kind in ((".json", "json"), (".ndjson", "log"), (".jsonl", "log"), (".csv", "csv"), (".bin", "packed"), (".parquet", "parquet")):
         if name.endswith(ending):
             return kind
     raise ValueError(f"no graph format for {path}")
@@ -67,6 +67,7 @@ def write_csv(edges: DataFrame, path: str) -> None:
     edges.select(text.alias("value")).write.text(path)
 
 
+# The first bytes of packed files, and the order of the sources in them.
 MAGIC = b"LARQ"
 SOURCES = ("unknown", "parametric", "document", "installed", "wikidata", "manual")
 

@@ -28,8 +28,8 @@ def test_csv(spark, tmp_path):
 
 def test_json_and_log(spark, tmp_path):
     edges = [{"s": "a", "r": "r", "o": "b", "c": 1.5, "src": "manual", "meta": {"layer": "3"}, "inj": [3, 0.5]}, {"s": "c", "r": "r", "o": "d"}]
-    (tmp_path / "g.infer.json").write_text(json.dumps({"edges": edges}, indent=1))
-    got = {r.subject: r for r in graphs.load(spark, str(tmp_path / "g.infer.json")).collect()}
+    (tmp_path / "g.json").write_text(json.dumps({"edges": edges}, indent=1))
+    got = {r.subject: r for r in graphs.load(spark, str(tmp_path / "g.json")).collect()}
     assert (got["a"].confidence, got["a"].metadata, got["a"].injection.layer, got["c"].source, got["c"].confidence) == (1.0, {"layer": "3"}, 3, "unknown", 1.0)
     log = tmp_path / "log.ndjson"
     log.mkdir()
