@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +23,10 @@ from quillon.llm.common import skew_join, whole
 from quillon.staging import new_path, staged
 
 GRAM = 32
-#: Names that occur more often are compared by a shuffle of all their strings, not within one partition.
-HOT = 3000
+#: Names that occur more often than this are split before they are compared within one partition.
+HOT = 2000
+#: Strings in a block of a name that is split.
+BLOCK = 24
 #: Sampled suffixes that one partition compares, about.
 PER_PARTITION = 20_000
 
@@ -118,7 +121,7 @@ def _sampled(length: int):
 
 
 def _cut(length: int):
-    """The bytes around each sampled position of interest: all strings that it is the sample of, overlaid."""
+    """The bytes around each sampled position of interest: all strings that it is the sample of, overlaid; equal ones of a text in one row."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,12 +129,15 @@ def _cut(length: int):
             size = 0
             for t1, t2, text, wanted in zip(*(batch.column(i) for i in range(4)), strict=True):
                 raw = text.as_py().encode("utf-8", "surrogatepass")
+                firsts: dict[tuple[int, bool, bytes], list[int]] = {}
                 for w in wanted.as_py():
                     p = w["place"] >> 20
                     first, last = p - (w["place"] >> 10 & 1023), p - (w["place"] & 1023)
-                    for column, value in zip(rows, (t1.as_py(), t2.as_py(), w["name"], w["hot"], first, raw[first : last + length]), strict=True):
+                    firsts.setdefault((w["name"], w["hot"], raw[first : last + length]), []).append(first)
+                for (name, hot, cut), at in firsts.items():
+                    for column, value in zip(rows, (t1.as_py(), t2.as_py(), name, hot, at, cut), strict=True):
                         column.append(value)
-                    size += last + length - first
+                    size += len(cut)
                 if size > 8 << 20:
                     yield _cuts(rows)
                     rows, size = [[] for _ in range(6)], 0
@@ -142,8 +148,8 @@ def _cut(length: int):
 
 
 def _cuts(rows: list[list]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["t1", "t2", "name", "hot", "first", "bytes"])
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["t1", "t2", "name", "hot", "firsts", "bytes"])
 
 
 def _strings(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -169,7 +175,7 @@ def _compared(length: int):
         for batch in batches:
             t1.append(batch.column(0).to_numpy())
             t2.append(batch.column(1).to_numpy())
-            first.append(batch.column(4).to_numpy())
+            first.append(batch.column(3).to_numpy())
             for n, r, o in _strings(batch, length):
                 name.append(n)
                 row.append((r + base).astype(np.int32))
@@ -210,13 +216,85 @@ def _spread(length: int):
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            t1, t2, first = (batch.column(i).to_numpy() for i in (0, 1, 4))
+            t1, t2, first, times = (batch.column(i).to_numpy() for i in (0, 1, 3, 5))
             for n, r, o in _strings(batch, length):
-                yield pa.RecordBatch.from_arrays([pa.array(n.view(np.int64)), pa.array(t1[r]), pa.array(t2[r]), pa.array(first[r] + o)], ["string", "t1", "t2", "start"])
+                columns = [n.view(np.int64), t1[r], t2[r], first[r] + o, times[r]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["string", "t1", "t2", "start", "n"])
 
     return spread
 
 
+def _blocked(length: int, width: int):
+    """Cuts parted into blocks of at most ``width`` strings, by distance to their sample.
+
+    All strings of a block share the bytes that are named here, so equal strings have the same name again.
+    """
+
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[list] = [[] for _ in range(6)]
+            for t1, t2, name, first, cut, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at = int(np.argmax(names(np.frombuffer(cut, np.uint8), GRAM).view(np.int64) == name))
+                last = len(cut) - length
+                for b in range(at // width + 1):
+                    lo, hi = max(0, at - (b + 1) * width + 1), min(last, at - b * width)
+                    if lo <= hi:
+                        core = cut[at - b * width : at - (b + 1) * width + 1 + length]
+                        key = xxhash.xxh64_intdigest(core, b)
+                        for column, value in zip(rows, (t1, t2, key - ((key >> 63) << 64), [first + lo], cut[lo : hi + length], n), strict=True):
+                            column.append(value)
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["t1", "t2", "name", "firsts", "bytes", "n"])
+
+    return block
+
+
+def _collapsed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The different cuts of ``rows`` (``t1, t2, name, firsts, bytes, n``), and spans of the rows whose cut occurs twice.
+
+    A cut that occurs twice is repeated as a whole. Equal cuts are added up in each task first, then across.
+    Rows with ``n`` over 1 stand for cuts whose spans are known, and give none.
+    """
+    one = F.min(F.struct("t1", "t2", F.col("firsts")[0].alias("first"))).alias("one")
+    groups = rows.groupBy("name", "bytes").agg(F.sum("n").alias("n"), one)
+    groups = staged(groups.select("one.t1", "one.t2", "name", "one.first", "bytes", "n").withColumn("cut", F.xxhash64("name", "bytes")), "suffix-groups")
+    often = groups.where("n > 1").select("cut", F.col("bytes").alias("same"))
+    again = skew_join(rows.where(F.col("n") == F.size("firsts")).withColumn("cut", F.xxhash64("name", "bytes")), often, "cut", only=F.col("bytes") == F.col("same"))
+    again = again.select("t1", "t2", F.explode("firsts").alias("start"), F.octet_length("bytes").alias("size"))
+    return groups, again.select("t1", "t2", "start", (F.col("start") + F.col("size")).alias("end"))
+
+
+def _crowded(groups: DataFrame) -> DataFrame:
+    """``groups`` with ``crowded`` where over ``HOT`` different cuts share the name."""
+    many = groups.groupBy("name").agg(F.count("*").alias("cuts")).where(F.col("cuts") > HOT).select("name", F.lit(True).alias("crowded"))
+    return staged(skew_join(groups, many, "name", "left"), "suffix-crowded")
+
+
+def _spans(cuts: DataFrame, length: int) -> DataFrame:
+    """Spans of repeated strings: ``t1, t2, start, end``.
+
+    Of names that occur often, equal cuts are collapsed. Names that many different cuts share even so are
+    named anew, by more bytes, for blocks of their strings, which are collapsed in turn. What is left is
+    compared within a partition, or by a shuffle of single strings where still over ``HOT`` cuts share a name.
+    """
+    columns = ["t1", "t2", "name", "first", "bytes"]
+    groups, whole_cuts = _collapsed(cuts.where("hot").select("t1", "t2", "name", "firsts", "bytes", F.size("firsts").cast("long").alias("n")))
+    groups = _crowded(groups)
+    schema = "t1 long, t2 long, name long, firsts array<long>, bytes binary, n long"
+    blocks = groups.where("crowded").select(*columns, "n").mapInArrow(_blocked(length, BLOCK), schema)
+    parts, whole_blocks = _collapsed(staged(blocks, "suffix-blocks"))
+    parts = _crowded(parts)
+    cold = cuts.where("not hot").select("t1", "t2", "name", F.explode("firsts").alias("first"), "bytes")
+    cold = cold.unionByName(groups.where("crowded is null").select(columns)).unionByName(parts.where("crowded is null").select(columns))
+    n = max(int(cuts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-cold.count() // PER_PARTITION))
+    near = cold.repartition(n, "name").mapInArrow(_compared(length), "t1 long, t2 long, start long, end long")
+    strings = parts.where("crowded").select(*columns, "n").mapInArrow(_spread(length), "string long, t1 long, t2 long, start long, n long")
+    strings = staged(strings, "suffix-strings")
+    twice = strings.groupBy("string").agg(F.sum("n").alias("times")).where("times > 1").select("string")
+    far = skew_join(strings.where("n = 1"), twice, "string").select("t1", "t2", "start", (F.col("start") + length).alias("end"))
+    return near.unionByName(whole_cuts).unionByName(whole_blocks).unionByName(far)
+
+
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs of the bytes that ``spans`` cover."""
     out: list[tuple[int, int]] = []
@@ -270,8 +348,8 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal texts are worked on once. Of every text suffixes are sampled and named; names that occur once are
     left behind. Around the others all strings are cut out, which is the only text that moves again, and
-    compared with those of the same name: sorted within a partition, or by a shuffle of single strings for
-    names that occur over ``HOT`` times.
+    compared with those of the same name, sorted within a partition; names that occur over ``HOT`` times are
+    split first (:func:`_spans`).
     """
     if not GRAM < length <= 1000:
         raise ValueError(f"length must be over {GRAM} and at most 1000")
@@ -289,14 +367,8 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = skew_join(sampled, counts, "name")
     wanted = wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("name", "hot", "place")).alias("wanted"))
     cuts = texts.select("t1", "t2", "text").join(wanted, ["t1", "t2"]).select("t1", "t2", "text", "wanted")
-    cuts = staged(cuts.mapInArrow(_cut(length), "t1 long, t2 long, name long, hot boolean, first long, bytes binary"), "suffix-cuts")
-    cold = cuts.where("not hot")
-    parts = max(n, -(-cold.count() // PER_PARTITION))
-    spans = cold.repartition(parts, "name").mapInArrow(_compared(length), "t1 long, t2 long, start long, end long")
-    strings = staged(cuts.where("hot").mapInArrow(_spread(length), "string long, t1 long, t2 long, start long"), "suffix-hot")
-    twice = strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").select("string")
-    hot = skew_join(strings, twice, "string").select("t1", "t2", "start", (F.col("start") + length).alias("end"))
-    spans = spans.unionByName(hot).groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    cuts = staged(cuts.mapInArrow(_cut(length), "t1 long, t2 long, name long, hot boolean, firsts array<long>, bytes binary"), "suffix-cuts")
+    spans = _spans(cuts, length).groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     schema = "t1 long, t2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string"
     done = texts.join(spans, ["t1", "t2"], "left").select("t1", "t2", "text", "n_rows", "spans")
     done = staged(done.mapInArrow(_removed(length, keep_text), schema + ", kept binary" * keep_text), "suffix-done")
