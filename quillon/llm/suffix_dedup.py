@@ -260,8 +260,8 @@ def _collapsed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     groups = staged(groups.select("one.t1", "one.t2", "name", "one.first", "bytes", "n").withColumn("cut", F.xxhash64("name", "bytes")), "suffix-groups")
     often = groups.where("n > 1").select("cut", F.col("bytes").alias("same"))
     again = skew_join(rows.where(F.col("n") == F.size("firsts")).withColumn("cut", F.xxhash64("name", "bytes")), often, "cut", only=F.col("bytes") == F.col("same"))
-    again = again.select("t1", "t2", F.explode("firsts").alias("start"), F.octet_length("bytes").alias("size"))
-    return groups, again.select("t1", "t2", "start", (F.col("start") + F.col("size")).alias("end"))
+    size = F.octet_length("bytes")
+    return groups, again.select("t1", "t2", F.transform("firsts", lambda a: F.struct(a.alias("start"), (a + size).alias("end"))).alias("spans"))
 
 
 def _crowded(groups: DataFrame) -> DataFrame:
@@ -271,7 +271,7 @@ def _crowded(groups: DataFrame) -> DataFrame:
 
 
 def _spans(cuts: DataFrame, length: int) -> DataFrame:
-    """Spans of repeated strings: ``t1, t2, start, end``.
+    """Spans of repeated strings: ``t1, t2, spans``, several rows a text.
 
     Of names that occur often, equal cuts are collapsed. Names that many different cuts share even so are
     named anew, by more bytes, for blocks of their strings, which are collapsed in turn. What is left is
@@ -292,7 +292,8 @@ def _spans(cuts: DataFrame, length: int) -> DataFrame:
     strings = staged(strings, "suffix-strings")
     twice = strings.groupBy("string").agg(F.sum("n").alias("times")).where("times > 1").select("string")
     far = skew_join(strings.where("n = 1"), twice, "string").select("t1", "t2", "start", (F.col("start") + length).alias("end"))
-    return near.unionByName(whole_cuts).unionByName(whole_blocks).unionByName(far)
+    single = near.unionByName(far).select("t1", "t2", F.array(F.struct("start", "end")).alias("spans"))
+    return single.unionByName(whole_cuts).unionByName(whole_blocks)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -368,7 +369,7 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("name", "hot", "place")).alias("wanted"))
     cuts = texts.select("t1", "t2", "text").join(wanted, ["t1", "t2"]).select("t1", "t2", "text", "wanted")
     cuts = staged(cuts.mapInArrow(_cut(length), "t1 long, t2 long, name long, hot boolean, firsts array<long>, bytes binary"), "suffix-cuts")
-    spans = _spans(cuts, length).groupBy("t1", "t2").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = _spans(cuts, length).groupBy("t1", "t2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     schema = "t1 long, t2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string"
     done = texts.join(spans, ["t1", "t2"], "left").select("t1", "t2", "text", "n_rows", "spans")
     done = staged(done.mapInArrow(_removed(length, keep_text), schema + ", kept binary" * keep_text), "suffix-done")
