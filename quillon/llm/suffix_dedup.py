@@ -373,4 +373,5 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     schema = "t1 long, t2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string"
     done = texts.join(spans, ["t1", "t2"], "left").select("t1", "t2", "text", "n_rows", "spans")
     done = staged(done.mapInArrow(_removed(length, keep_text), schema + ", kept binary" * keep_text), "suffix-done")
+    spark.sql(f"DROP TABLE {name}")  # the entry of the catalogue; the files lie in the shared folder
     return keyed.drop("text").join(done, ["t1", "t2"]).drop("t1", "t2")
