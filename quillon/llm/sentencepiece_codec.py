@@ -18,7 +18,7 @@ from quillon.llm.common import whole
 
 META = "▁"
 #: Words remembered per task, and the longest that is.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 500_000
 #: normalizer_spec { add_dummy_prefix: false }, as a message to merge into a model's.
 NO_PREFIX = b"\x1a\x02\x18\x00"
 #: Parts of so many characters are merged without a heap.
