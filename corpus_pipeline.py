@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import remainder, table
+from quillon.llm.common import fresh, remainder, table
 from quillon.llm.exact_dedup import exact_dedup
 from quillon.llm.mixing import mixed
 from quillon.llm.quality import accepted
@@ -37,9 +37,11 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, as often as it takes them (the last, at the cut of the budget, whole)."""
+    row = fresh(docs, "row")
+    docs = staged(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
     times = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    taken = mixed(docs).where("taken > 0").select(F.col("doc_id").alias("taken_id"), F.array_repeat(F.lit(0), times).alias("times"))
-    rows = docs.join(taken, docs.doc_id.eqNullSafe(taken.taken_id)).select(*[docs[c] for c in docs.columns], F.explode(taken.times))
+    taken = mixed(docs, row_col=row).where("taken > 0").select(F.col("row").alias("taken_row"), F.array_repeat(F.lit(0), times).alias("times"))
+    rows = docs.join(taken, docs[row] == taken.taken_row).select(*[docs[c] for c in docs.columns if c != row], F.explode(taken.times))
     return rows.select(*rows.columns[:-1])
 
 

@@ -56,6 +56,7 @@ def mixed(
     weights: tuple[int, ...] = (5, 2, 1),
     cap: int = 3,
     seed: str = "mix",
+    row_col: str | None = None,
 ) -> DataFrame:
     """Words that a mix of all sources takes of each row: ``doc_id, size, source_size, target, taken``.
 
@@ -66,14 +67,15 @@ def mixed(
 
     A row of no words is taken with 0 words. Null texts count as empty, null sources are one source,
     repeated rows are queued apart, ties are broken by the shuffle digest and the id. An empty table
-    gives an empty result. Extra columns are not read.
+    gives an empty result. Extra columns are not read. ``row_col`` names a column that numbers the rows; it
+    is then returned as ``row``, since neither ids nor texts tell repeated rows apart.
 
     A hot source is never gathered: its shuffled order is cut into slices of about ``SLICE_ROWS`` rows by
     the digest, and virtual time is cut into slices of equal width, through which the merged queues run
     at an even rate of words; only the slices' sums are added up in order.
     """
     sized = docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"),
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         word_count(text_col).alias("size"),
@@ -121,5 +123,5 @@ def mixed(
     taken = taken.select("row", F.greatest(F.lit(0), F.least("size", F.lit(budget or 0) - F.col("ahead") - F.col("in_slot"))).alias("part"))
     taken = taken.groupBy("row").agg(F.sum("part").alias("taken"))
     return rows.join(taken, "row", "left").select(
-        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+        *(["row"] if row_col else []), "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
     )

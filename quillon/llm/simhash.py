@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import skew_join, whole
+from quillon.llm.common import fresh, skew_join, whole
 from quillon.operators.components import connected_components
 from quillon.staging import staged
 
@@ -64,13 +64,15 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     flush()
                     n = 0
         flush()
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), *batch.columns[2:]], ["doc_id", "fp", *batch.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp`` (signed 64 bits) of every row; null and wordless texts have 0."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashed: bool = False) -> DataFrame:
+    """``doc_id, fp`` (signed 64 bits) of every row; null and wordless texts have 0. ``hashed`` adds ``text_hash``."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text")).mapInArrow(_fingerprints, f"doc_id {kind}, fp long")
+    more = [F.xxhash64(whole(text_col)).alias("text_hash")] if hashed else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text"), *more)
+    return rows.mapInArrow(_fingerprints, f"doc_id {kind}, fp long" + (", text_hash long" if hashed else ""))
 
 
 def signatures(fp: Column, refined: bool) -> Column:
@@ -157,20 +159,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Repeated rows are returned as often as they came. An empty table gives an empty result. Extra columns
     are not read.
     """
-    rows = staged(fingerprints(docs, id_col, text_col), "simhash-fingerprints")
+    found = placed_rows(fingerprints(docs, id_col, text_col), bits)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def placed_rows(rows: DataFrame, bits: int = 4) -> DataFrame:
+    """The ``rows`` of :func:`fingerprints` with the ``component_id`` of each."""
+    rows = staged(rows, "simhash-fingerprints")
     fps = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     groups = staged(linked(fps.select("fp"), bits), "simhash-linked")
     named = fps.join(groups, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     ids = staged(named.join(ids, "component").select("fp", "component_id"), "simhash-ids")
-    return rows.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(ids, "fp")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with the smallest id of their component, all columns as they were.
 
-    Of rows that share that id, all stay. Components whose ids are all null stay whole.
+    Of rows that share that id, all stay. Components whose ids are all null stay whole. Rows are told
+    apart by id and text, on which alone the decision rests: others of a removed row's id, or of null id, stay.
     """
-    found = near_duplicates(docs, id_col, text_col)
-    gone = found.where("doc_id <> component_id or (doc_id is null and component_id is not null)").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["gone_id"]), "left_anti")
+    found = placed_rows(fingerprints(docs, id_col, text_col, hashed=True))
+    gone = found.where("doc_id <> component_id or (doc_id is null and component_id is not null)")
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    hash_col = fresh(docs, "text_hash")
+    rows = docs.withColumn(hash_col, F.xxhash64(whole(text_col)))
+    same = rows[id_col].eqNullSafe(gone["gone_id"]) & (rows[hash_col] == gone["gone_hash"])
+    return rows.join(gone, same, "left_anti").drop(hash_col)

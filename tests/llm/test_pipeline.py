@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -59,3 +60,27 @@ def test_run(spark):
     made = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "n_tokens", "ids_sha256"} <= set(made.columns) and made.count() > 100
     assert len(AWKWARD) and re.match("quality", corpus_pipeline.STAGES[0][0])
+
+
+def test_near_removes_rows_not_ids(spark):
+    """Clean rows stay beside a removed one of their id or of null id."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(500)]
+    a, b, c, d, e = (" ".join(rng.choice(words) for _ in range(80)) for _ in range(5))
+    rows = [(1, a), (None, a.upper()), (None, b), (None, c), (7, a.title()), (7, d), (8, e)]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.near(spark, docs, SF).collect())
+    assert kept == Counter([(1, a), (None, b), (None, c), (7, d), (8, e)])
+
+
+def test_mixing_takes_rows_not_ids(spark):
+    """Rows of one id or of null id come back as often as the mix takes each, with their own texts."""
+    rows = [(i % 3 or None, " ".join(f"w{i}" for _ in range(i + 3)), "en", "ab"[i % 2]) for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1)
+    numbered = docs.withColumn("n", F.monotonically_increasing_id())
+    want = Counter()
+    for r in mixed(numbered, row_col="n").collect():
+        if r.taken:
+            want[rows[r.row][1]] += -(-r.taken // r.size)
+    assert Counter(r.text for r in corpus_pipeline.mixing(spark, docs, SF).collect()) == want
+    assert max(want.values()) <= 3
