@@ -17,6 +17,9 @@ KINDS = ("email", "ip", "card", "phone")
 #: Words of letters, of three at least; the same pattern serves Python's and Java's regular expressions.
 TERM = "[A-Za-zÀ-ÖØ-öø-ɏ]{3,}"
 
+#: So many revealing terms go along with the tasks; of more, all terms of the texts are joined to them.
+KNOWN_TERMS = 200_000
+
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 # A match of these never ends within digits that go on, so none begins there: the look-behind only saves work.
@@ -67,29 +70,54 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind == 'email' else value if kind == 'ip' else re.sub('[^0-9]', '', value)}"
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]], reach: int) -> list[tuple[str, str, int, int]]:
-    """``entity, term, start, end`` of the terms within ``reach`` terms of a protected value, outside all spans."""
-    covered = sorted((a, b) for _, a, b in spans)
-    free = lambda a, b: all(b <= x or a >= y for x, y in covered)
-    out = []
-    for kind, a, b in spans:
-        name = entity(kind, text[a:b])
-        lo = max(0, a - reach * 32)
-        before = [m for m in _TERM.finditer(text, lo, a) if m.start() > lo or not lo or not _TERM.match(text[lo - 1] * 3)]  # no part of a word
-        after = []
-        for m in _TERM.finditer(text, b):
-            if len(after) == reach:
-                break
-            after.append(m)
-        near = [m for m in before[-reach:] + after if not covered or free(*m.span())]
-        out += [(name, m[0].lower(), *m.span()) for m in near]
-    return out
+def free_terms(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """``term, start, end`` of the terms of the whole text outside all spans."""
+    covered: list[list[int]] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if covered and a <= covered[-1][1]:
+            covered[-1][1] = max(b, covered[-1][1])
+        else:
+            covered.append([a, b])
+    at = 0
+    for m in _TERM.finditer(text):
+        while at < len(covered) and covered[at][1] <= m.start():
+            at += 1
+        if at == len(covered) or m.end() <= covered[at][0]:
+            yield m[0].lower(), *m.span()
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        entities, terms = [], []
+        for text in batch.column(1):
+            text = text.as_py()
+            spans = base_spans(text)
+            entities.append(sorted({entity(kind, text[a:b]) for kind, a, b in spans}))
+            terms.append(sorted({t for t, _, _ in free_terms(text, spans)}) if spans else [])
+        columns = [pa.array(c, pa.list_(pa.string())) for c in (entities, terms)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["row", "entities", "terms"])
+
+
+def met(docs: DataFrame, text_col: str) -> DataFrame:
+    """``row, entities, terms`` of every row: distinct, of the whole text; texts without an entity give no terms."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), whole(text_col).alias("text"))
+    return rows.mapInArrow(_met, "row long, entities array<string>, terms array<string>")
+
+
+_BASE = "n_email long, n_ip long, n_card long, n_phone long, base string"
+_MET = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+_TERMS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("disclosure", pa.float64()), ("action", pa.string())]))
+
 
+def _found(known: dict[str, float] | None, removal: float):
+    names = ["row", "doc_id", "text", "n_email", "n_ip", "n_card", "n_phone", "base", "met" if known is None else "terms"]
+    types = [pa.int64()] * 4 + [pa.string(), _MET if known is None else _TERMS]
 
-def _found(reach: int, kind: str):
-    names = ["row", "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base", "near"]
-    near = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    types = [pa.int64()] * 4 + [pa.string(), near]
+    def marked(text: str, spans: list[tuple[str, int, int]]) -> list[dict] | None:
+        if known is None:
+            return [{"term": t, "start": a, "end": b} for t, a, b in free_terms(text, spans)]
+        hits = [(a, b, known[t]) for t, a, b in free_terms(text, spans) if t in known] if known else []
+        return [{"start": a, "end": b, "disclosure": d, "action": "remove" if d >= removal else "generalise"} for a, b, d in hits] or None
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,37 +126,58 @@ def _found(reach: int, kind: str):
                 text = text.as_py()
                 spans = base_spans(text)
                 line = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
-                context = [dict(zip(("entity", "term", "start", "end"), c, strict=True)) for c in contexts(text, spans, reach)] if spans else None
-                rows.append([*(sum(k == s[0] for s in spans) for k in KINDS), line, context])
+                rows.append([*(sum(k == s[0] for s in spans) for k in KINDS), line, marked(text, spans)])
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, types, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names)
 
     return find
 
 
-def found_base(docs: DataFrame, id_col: str, text_col: str, reach: int) -> DataFrame:
+def found_base(docs: DataFrame, id_col: str, text_col: str, known: dict[str, float] | None, removal: float) -> DataFrame:
+    """Every row with its base spans, and in ``terms`` the ``known`` revealing terms (if None, in ``met`` all terms)."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), whole(text_col).alias("text"))
-    schema = f"row long, doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base string, near array<struct<entity:string,term:string,start:int,end:int>>"
-    return rows.mapInArrow(_found(reach, kind), schema)
+    last = "met array<struct<term:string,start:int,end:int>>" if known is None else "terms array<struct<start:int,end:int,disclosure:double,action:string>>"
+    return rows.mapInArrow(_found(known, removal), f"row long, doc_id {kind}, text string, {_BASE}, {last}")
 
 
 def term_counts(docs: DataFrame, text_col: str) -> DataFrame:
     """``term, n_term``: the number of rows whose whole text has the term."""
-    terms = F.array_distinct(F.regexp_extract_all(F.lower(whole(text_col)), F.lit(TERM), F.lit(0)))
+    terms = F.array_distinct(F.regexp_extract_all(whole(text_col), F.lit(TERM), F.lit(0)))
+    terms = F.array_distinct(F.transform(terms, F.lower))  # cut first, as Python does: some capitals become two characters
     return docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
 
 
-def revealing(near: DataFrame, counts: DataFrame, n_rows: int, share: float, support: int) -> DataFrame:
+def together(rows: DataFrame, entities: DataFrame, counts: DataFrame, n_rows: int, share: float, support: int) -> DataFrame:
+    """``row, entity, term`` of the pairs of a whole text that may reveal, from the rows of :func:`met`.
+
+    Nothing that could reveal is left out: both sides of a pair are in ``support`` rows at least, and as a pair
+    is met at most as often as its entity, the disclosure falls short where the term is in over
+    ``n_entity**share * n_rows**(1 - share)`` rows. Terms that are too frequent for every entity go before the pairs.
+    """
+    entities = entities.where(F.col("n_entity") >= support)
+    bound = F.when(F.col("n_entity") < n_rows, F.pow(F.col("n_entity").cast("double"), F.lit(share)) * F.lit(float(max(n_rows, 1)) ** (1 - share)) * (1 + 1e-9))
+    bound = F.coalesce(bound, F.lit(float("inf")))
+    entities = staged(entities.withColumn("bound", bound), "pii-entities")
+    most = entities.agg(F.max("bound")).first()[0] or 0.0
+    kept = counts.where((F.col("n_term") >= support) & (F.col("n_term") <= most))
+    terms = skew_join(rows.select("row", F.explode("terms").alias("term")), kept, "term")
+    named = skew_join(rows.select("row", F.explode("entities").alias("entity")), entities, "entity")
+    named = named.select(F.col("row").alias("e_row"), "entity", "bound")
+    return terms.join(named, (F.col("row") == F.col("e_row")) & (F.col("n_term") <= F.col("bound"))).select("row", "entity", "term")
+
+
+def revealing(near: DataFrame, counts: DataFrame, n_rows: int, share: float, support: int, entities: DataFrame | None = None) -> DataFrame:
     """``entity, term, disclosure``: pairs of which the term gives away at least ``share`` of the entity's information.
 
-    ``near`` holds ``row, entity, term``. Disclosure is the pointwise mutual information of term and entity,
+    ``near`` holds ``row, entity, term``; ``entities`` the rows of each entity (``n_entity``), else counted in ``near``. Disclosure is the pointwise mutual information of term and entity,
     estimated from numbers of rows over the whole corpus, divided by the entity's own information; 1 if the
     term occurs nowhere but with the entity. Pairs met in fewer than ``support`` rows are no evidence.
     """
     pairs = near.select("row", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
     pairs = staged(pairs.where(F.col("n_both") >= support), "pii-pairs")
-    entities = near.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    if entities is None:
+        entities = near.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     both = skew_join(skew_join(pairs, entities, "entity"), counts, "term", "left")
     n_term = F.greatest(F.coalesce("n_term", "n_both"), "n_both")
     mutual = F.log(F.col("n_both") * F.lit(float(n_rows)) / (n_term * F.col("n_entity")))
@@ -136,33 +185,44 @@ def revealing(near: DataFrame, counts: DataFrame, n_rows: int, share: float, sup
     return both.withColumn("disclosure", F.when(own > 0, mutual / own).otherwise(0.0)).where(F.col("disclosure") >= share).select("entity", "term", "disclosure")
 
 
+def _detected(docs: DataFrame, id_col: str, text_col: str, share: float, removal: float, support: int) -> DataFrame:
+    """The columns of :func:`detected` and ``text``."""
+    rows = staged(met(docs, text_col), "pii-met")
+    n_rows = rows.count()
+    entities = staged(rows.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity")), "pii-counts")
+    counts = staged(term_counts(docs, text_col), "pii-terms")
+    pairs = revealing(together(rows, entities, counts, n_rows, share, support), counts, n_rows, share, support, entities)
+    terms = staged(pairs.groupBy("term").agg(F.max("disclosure").alias("disclosure")), "pii-revealing")
+    if terms.limit(KNOWN_TERMS + 1).count() <= KNOWN_TERMS:
+        return found_base(docs, id_col, text_col, {r.term: r.disclosure for r in terms.toLocalIterator()}, removal)
+    found = staged(found_base(docs, id_col, text_col, None, removal), "pii-base")
+    hits = skew_join(found.select("row", F.explode("met").alias("m")).select("row", "m.*"), terms, "term")
+    action = F.when(F.col("disclosure") >= removal, "remove").otherwise("generalise").alias("action")
+    spans = hits.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure", action))).alias("terms"))
+    return found.drop("met").join(spans, "row", "left")
+
+
 def detected(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-    reach: int = 10, share: float = 0.8, removal: float = 0.95, support: int = 3,
+    share: float = 0.8, removal: float = 0.95, support: int = 3,
 ) -> DataFrame:
     """``row, doc_id, n_email, n_ip, n_card, n_phone, base, terms`` of every row.
 
     ``base`` lists the spans of the base patterns as ``kind:start:end``; ``terms`` the spans (``start, end,
-    disclosure, action``) of terms near a protected value that reveal it, by co-occurrence over the whole
-    corpus: from ``share`` of its information on they are to be generalised, from ``removal`` on removed.
-    Texts without a protected value have no terms. Null texts count as empty; repeated rows are counted
-    and returned apart; an empty table gives an empty result; extra columns are not read.
+    disclosure, action``) of all occurrences of terms that reveal a protected value, by co-occurrence in whole
+    texts over the whole corpus: from ``share`` of its information on they are to be generalised, from
+    ``removal`` on removed. A term that reveals one value is marked in every text, with or without the value,
+    with its greatest disclosure. Null texts count as empty; repeated rows are counted and returned apart; an
+    empty table gives an empty result; extra columns are not read.
     """
-    rows = staged(found_base(docs, id_col, text_col, reach), "pii-base")
-    near = rows.select("row", F.explode("near").alias("n")).select("row", "n.*")
-    n_rows = rows.count()
-    pairs = staged(revealing(near, term_counts(docs, text_col), n_rows, share, support), "pii-revealing")
-    hits = near.join(pairs, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("disclosure").alias("disclosure"))
-    action = F.when(F.col("disclosure") >= removal, "remove").otherwise("generalise").alias("action")
-    spans = hits.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure", action))).alias("terms"))
-    return rows.drop("near").join(spans, "row", "left")
+    return _detected(docs, id_col, text_col, share, removal, support).drop("text")
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
     """``doc_id, text`` with base spans replaced by their kind, terms that reveal them generalised or removed."""
-    found = detected(docs, id_col, text_col, **options).select(
-        F.col("doc_id").alias("__id"), "base", F.transform("terms", lambda t: F.concat_ws(":", t["action"], t["start"], t["end"])).alias("terms")
-    ).dropDuplicates(["__id", "base"])
+    options = {"share": 0.8, "removal": 0.95, "support": 3, **options}
+    found = _detected(docs, id_col, text_col, **options)
+    terms = F.transform("terms", lambda t: F.concat_ws(":", t["action"], t["start"], t["end"])).alias("terms")
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,6 +239,4 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text"))
-    both = texts.join(found, F.col("doc_id").eqNullSafe(F.col("__id")), "left").select("doc_id", "text", "base", "terms")
-    return both.mapInArrow(clean, f"doc_id {kind}, text string")
+    return found.select("doc_id", "text", "base", terms).mapInArrow(clean, f"doc_id {kind}, text string")

@@ -216,6 +216,30 @@ def test_pii_terms(spark, awkward, empty):
     assert pii.detected(empty).count() == 0
 
 
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_pii_whole_texts(spark, monkeypatch, most):
+    """A revealing term counts however far from the value it stands, and is marked wherever it stands."""
+    monkeypatch.setattr(pii, "KNOWN_TERMS", most)
+    far = " ".join(f"filler{c}" for c in "abcdefghijklmnopqrstuvwxyz" * 3)
+    texts = [f"Zebulon {far} write to zeb@corp.example {far} Zebulon" for _ in range(9)] + ["Zebulon alone"] + [far] * 190
+    rows = [(i if i % 2 else None, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.detected(docs, share=0.8).select("n_email", "terms").collect()
+    marked = [r for r in found if r.terms]
+    assert len(found) == 200 and len(marked) == 10
+    by_value = {True: [], False: []}
+    for r in marked:
+        by_value[r.n_email == 1].append([(t.start, t.end) for t in r.terms])
+    ends = [(m.start(), m.end()) for m in re.finditer("Zebulon", texts[0])]
+    write = texts[0].index("write")
+    assert by_value[True] == [sorted([*ends, (write, write + 5)])] * 9 and by_value[False] == [[(0, 7)]]
+    entity, n = 9, 200
+    z = next(t.disclosure for r in marked if r.n_email == 0 for t in r.terms)
+    assert z == pytest.approx(np.log(9 * n / (10 * entity)) / np.log(n / entity))
+    clean = Counter(r.text for r in pii.sanitised(docs).collect())
+    assert sum(n for t, n in clean.items() if "Zebulon" in t or "@" in t) == 0 and clean[far] == 190
+
+
 def test_pii_disclosure(spark):
     near = spark.createDataFrame([(r, "e", t) for r in range(3) for t in ("x", "y")] + [(9, "f", "y")], "row long, entity string, term string")
     counts = spark.createDataFrame([("x", 3), ("y", 50)], "term string, n_term long")
