@@ -212,14 +212,19 @@ def show_relations(model: Model, limit: int = 30) -> DataFrame:
     by = rows.groupBy(F.lower("token").alias("relation")).agg(
         F.count("*").alias("count"), F.max("c_score").alias("max_score"),
         F.array_join(F.transform(F.array_sort(F.collect_set("layer")), lambda x: x.cast("string")), ",").alias("layers"),
-        F.sort_array(F.collect_list(F.struct("layer", "feature", "examples"))).alias("e"),
     )
-    examples = F.slice(F.array_distinct(F.flatten(F.transform("e", lambda x: x["examples"]))), 1, 3)
-    return by.orderBy(F.desc("count"), "relation").limit(limit).select("relation", "count", "max_score", "layers", F.array_join(examples, ", ").alias("examples"))
-
-
-def feature_diff(a: Model, b: Model, layer: int | None = None, top: int = 20) -> DataFrame:
-    """Features that were removed, modified or added from ``a`` to ``b``; added ones come last; ``top`` rows."""
+    by = by.orderBy(F.desc("count"), "relation").limit(limit)
+    # Each example at its first position, and three of them, are found in the tasks: no label's features are gathered.
+    each = rows.select(F.lower("token").alias("relation"), "layer", "feature", F.posexplode("examples").alias("nth", "example"))
+    each = each.groupBy("relation", "example").agg(F.min(F.struct("layer", "feature", "nth")).alias("at"))
+    each = each.withColumn("i", F.row_number().over(Window.partitionBy("relation").orderBy("at"))).where("i <= 3")
+    three = each.groupBy("relation").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "example"))), lambda x: x["example"]), ", ").alias("examples"))
+    named = by.join(three, "relation", "left").orderBy(F.desc("count"), "relation")
+    return named.select("relation", "count", "max_score", "layers", F.coalesce("examples", F.lit("")).alias("examples"))
+
+
+def feature_diff(a: Model, b: Model, layer: int | None = None, top: int | None = 20) -> DataFrame:
+    """Features that were removed, modified or added from ``a`` to ``b``; added ones come last; ``top`` rows, or all, unsorted."""
     rows_a = a.with_meta.select("layer", "feature", F.col("token").alias("token_a"), F.col("c_score").alias("score_a"))
     rows_b = b.with_meta.select("layer", "feature", F.col("token").alias("token_b"), F.col("c_score").alias("score_b"))
     both = rows_a.join(rows_b, ["layer", "feature"], "full")
@@ -228,4 +233,4 @@ def feature_diff(a: Model, b: Model, layer: int | None = None, top: int = 20) ->
     status = F.when(F.col("token_b").isNull(), "removed").when(F.col("token_a").isNull(), "added").when(
         (F.col("token_a") != F.col("token_b")) | (F.abs(F.col("score_a") - F.col("score_b")) > 0.01), "modified")
     both = both.withColumn("status", status).where("status is not null")
-    return both.orderBy(F.col("status") == "added", "layer", "feature").limit(top)
+    return both if top is None else both.orderBy(F.col("status") == "added", "layer", "feature").limit(top)

@@ -305,7 +305,7 @@ def f17(spark: SparkSession, d: str) -> DataFrame:
     a, b = derive(spark, d), derive(spark, d, 11, 3)
     a = Model(a.name, a.tokens, a.features.where("layer <> 9"), a.layers, a.size)
     b = Model(b.name, b.tokens, b.features.where("layer <> 0"), b.layers, b.size)
-    return six(K.feature_diff(a, b, top=1_000_000), "score_a", "score_b")
+    return six(K.feature_diff(a, b, top=None), "score_a", "score_b")
 
 
 TOKEN_LIST_SQL = "WITH t AS (SELECT DISTINCT p_name AS t FROM part UNION SELECT DISTINCT c_mktsegment FROM customer UNION SELECT r_name FROM region UNION SELECT n_name FROM nation UNION SELECT p_brand FROM part)"
