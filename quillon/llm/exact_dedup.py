@@ -2,20 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import SPACE, fresh, whole
 from quillon.staging import staged
 
-#: A cut falls behind the first of these letter pairs after ``least`` characters. Being chosen by the
-#: text and not by an offset, cuts meet again soon after an insertion.
-CUT = "e[nrs]|on|st"
+#: A window is a cut where its bytes have an odd (1) or even (0) number of one bits, in this order.
+CUT_BITS = "10011010111100010"
+#: Bytes from one byte of a window to the next: every script's characters, of 1 to 4 bytes, come round in the same phase.
+STRIDE = 12
 
 
-def chunk_pattern(least: int = 1024, most: int = 4096, cut: str = CUT) -> str:
-    """A regular expression whose successive matches tile a text: ``least`` to ``most`` characters up to a cut."""
-    return rf"(?s).{{{least},{most}}}?(?:{cut}|\z)|.{{1,{most}}}"
+def _parity(bit: str) -> str:
+    return "[" + "".join(f"\\x{b:02x}" for b in range(256) if b.bit_count() % 2 == int(bit)) + "]"
+
+
+def cut_window(bits: int) -> str:
+    """A regular expression that one of ``2**bits`` places of a text of bytes meets, whatever its script."""
+    return ("." * (STRIDE - 1)).join(_parity(b) for b in CUT_BITS[:bits])
+
+
+def chunk_pattern(least: int = 1024, most: int = 4096) -> str:
+    """A regular expression whose successive matches tile a text of bytes, written as Latin-1 characters.
+
+    A chunk ends behind the first window (:func:`cut_window`) that begins ``least`` to ``most`` bytes after its start; one is
+    expected every ``least / 4`` bytes. Being chosen by the bytes and not by an offset, cuts meet again soon after an
+    insertion. Only text in which no window is met, as a run of one character, is cut every ``most`` bytes.
+    """
+    bits = min(len(CUT_BITS), max(1, (least // 4).bit_length() - 1))
+    return rf"(?s).{{{least},{most}}}?(?:{cut_window(bits)}|\z)|.{{1,{most}}}"
+
+
+def _chunks(norm: Column, least: int, most: int) -> Column:
+    """The chunks of a normalised text, each as Latin-1 characters for its UTF-8 bytes."""
+    return F.regexp_extract_all(F.decode(norm.cast("binary"), "ISO-8859-1"), F.lit(chunk_pattern(least, most)), F.lit(0))
 
 
 def recipes(docs: DataFrame, id_col: str, text_col: str, least: int, most: int, keep_text: bool = False) -> DataFrame:
@@ -32,10 +53,7 @@ def recipes(docs: DataFrame, id_col: str, text_col: str, least: int, most: int,
         "n_points",
         "text_hash",
         F.sha2("norm", 256).alias("text_sha256"),
-        F.transform(
-            F.regexp_extract_all("norm", F.lit(chunk_pattern(least, most)), F.lit(0)),
-            lambda c: F.unhex(F.sha2(c, 256)),
-        ).alias("recipe"),
+        F.transform(_chunks(F.col("norm"), least, most), lambda c: F.unhex(F.sha2(c, 256))).alias("recipe"),
         (F.col("norm") if keep_text else F.lit(None).cast("string")).alias("norm"),
     )
 
@@ -46,13 +64,8 @@ def ambiguous_chunks(docs: DataFrame, text_col: str = "text", least: int = 1024,
     Chunks are deduplicated by their whole content, before the shuffle within each task and after it
     across tasks, so a content moves about once however often it occurs; only identifiers go on from there.
     """
-    chunks = docs.select(
-        F.explode(
-            F.regexp_extract_all(
-                F.regexp_replace(whole(text_col), f"{SPACE}+", ""), F.lit(chunk_pattern(least, most)), F.lit(0)
-            )
-        ).alias("chunk")
-    )
+    norm = F.regexp_replace(whole(text_col), f"{SPACE}+", "")
+    chunks = docs.select(F.explode(_chunks(norm, least, most)).alias("chunk"))
     contents = chunks.select(F.unhex(F.sha2("chunk", 256)).alias("id"), "chunk").groupBy("id", "chunk").agg(F.lit(1))
     return contents.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
 
@@ -77,7 +90,8 @@ def exact_groups(
     A document that holds an identifier with two contents is compared by its whole normalised text too.
 
     Of a group the row with the most code points stays, then the smallest id, then the first row read:
-    repeated rows leave one. A null id loses against any other. Null texts count as empty; empty texts
+    repeated rows leave one. Ids may be of any type that has an order; a null id loses against any other. A very long
+    text is one list of 32-byte identifiers. Null texts count as empty; empty texts
     are equal to each other and to texts of white space. An empty table gives an empty result; other
     columns, whatever their names, are not read.
     """
@@ -85,7 +99,8 @@ def exact_groups(
     bad = staged(ambiguous_chunks(docs, text_col, least, most), "ambiguous-chunks")
     if not bad.isEmpty():
         rows = with_own_text(staged(recipes(docs, id_col, text_col, least, most, keep_text=True), "recipes"), bad)
-    best = F.max(F.struct("n_points", (-F.col("doc_id")).alias("less"), (-F.col("row")).alias("first"), "doc_id"))
+    # The least of these is the row that stays; a null id comes after any other.
+    best = F.min(F.struct((-F.col("n_points")).alias("less"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row"))
     groups = (
         rows.groupBy("recipe", "norm")
         .agg(best.alias("best"), F.count("*").alias("group_size"))
@@ -94,7 +109,7 @@ def exact_groups(
             F.col("norm").alias("g_norm"),
             F.size("recipe").alias("g_chunks"),
             F.col("best.doc_id").alias("keep_id"),
-            (-F.col("best.first")).alias("keep_row"),
+            F.col("best.row").alias("keep_row"),
             "group_size",
         )
     )

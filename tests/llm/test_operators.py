@@ -457,3 +457,37 @@ def test_chunks_tile_texts():
     long = "then the rest of it stands on firm ground " * 60
     a, b = ({m[0] for m in pattern.finditer(t)} for t in (long, "inserted " + long))
     assert len(a & b) > 0.8 * len(a)
+
+
+@pytest.mark.parametrize("first,last", [(0x4E00, 0x9FA5), (0x3041, 0x3096), (0x5D0, 0x5EA), (0x430, 0x44F), (0x30, 0x39), (0x41, 0x5A), (0x1F600, 0x1F63F)])
+def test_chunks_meet_again_in_every_script(first, last):
+    """One inserted character changes few chunks, whether of Chinese, kana, Hebrew, Cyrillic, digits, capitals or emoji."""
+    import random
+
+    rng = random.Random(first)
+    text = "".join(chr(rng.randint(first, last)) for _ in range(100_000))
+    pattern = re.compile(exact_dedup.chunk_pattern().replace(r"\z", r"\Z"))
+    a, b = ([m[0] for m in pattern.finditer(t.encode().decode("latin-1"))] for t in (text, text[:5000] + chr(first) + text[5000:]))
+    assert "".join(a).encode("latin-1").decode() == text
+    assert len(a) > 20 and len(set(a) & set(b)) > 0.8 * len(set(a))
+
+
+def test_exact_chunks_as_in_the_engine(spark):
+    """Spark's cuts are those of the pattern on bytes, for every script."""
+    texts = ["日本語のテキスト" * 700, "x" * 9000, "Ünïcödé and plain " * 300, "\x80\xff😀" * 900, ""]
+    norm = [SPACES.sub("", t) for t in texts]
+    pattern = re.compile(exact_dedup.chunk_pattern().replace(r"\z", r"\Z"))
+    rows = exact_dedup.recipes(texts_df(spark, texts), "doc_id", "text", 1024, 4096).collect()
+    for r in rows:
+        chunks = [m[0] for m in pattern.finditer(norm[r.doc_id].encode().decode("latin-1"))]
+        assert [bytes(x) for x in r.recipe] == [hashlib.sha256(c.encode()).digest() for c in chunks]
+
+
+@pytest.mark.parametrize("kind,ids", [("long", [-(2**63), 2**63 - 1, None, 0]), ("string", ["b", "a", None, "c"]), ("decimal(20,0)", [5, 4, None, 6])])
+def test_exact_ids_of_any_type(spark, kind, ids):
+    docs = spark.createDataFrame([("same",)] * 4, "text string").coalesce(1).withColumn("n", F.monotonically_increasing_id())
+    names = spark.createDataFrame([(i, str(x) if x is not None else None) for i, x in enumerate(ids)], "n long, x string")
+    docs = docs.join(names, "n").select(F.col("x").cast(kind).alias("doc_id"), "text")
+    rows = exact_dedup.exact_groups(docs).collect()
+    least = min(x for x in ids if x is not None)
+    assert {r.keep_id for r in rows} == {least} and [r.doc_id for r in rows if r.kept] == [least]
