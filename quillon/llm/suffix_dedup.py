@@ -1,17 +1,20 @@
-"""Removal of long repeated byte strings by sorting sampled suffixes.
-
-The difference-cover scheme: suffixes at sampled positions are named first; any other suffix is its first
-bytes up to the next sample followed by that sample's name, so all suffixes can be compared by way of
-the samples; equal prefixes are then adjacent. What the cover has to warrant is that two equal strings
-have samples at the same distance. Here the cover is chosen by content instead of by residues (in each
-string of ``length`` bytes, the leftmost of its least ``GRAM``-byte names), which warrants the same with a
-seventieth of the positions instead of a tenth.
+"""Removal of long repeated byte strings by suffix sorting with a difference cover.
+
+Suffixes are dealt out to tasks, sorted there by the difference cover modulo 3 (:mod:`quillon.llm.suffix_array`:
+sampled triples, recursion on their names, merge of the rest), and neighbours' prefixes compared byte by byte.
+
+What is dealt out, and where, follows from the content: in each string of ``length`` bytes the leftmost of its
+least ``GRAM``-byte names is a sample, so equal strings have equal samples at the same distance. Samples whose
+name occurs once cannot lie in a repeated string; around the others all strings are cut out, and the cuts of one
+name sorted together. Names are hashes and say only what is compared with what: strings count as repeated where
+their bytes are equal.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import count, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -20,15 +23,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import skew_join, whole
+from quillon.llm.suffix_array import repeated_starts
 from quillon.staging import new_path, staged
 
 GRAM = 32
 #: Names that occur more often than this are split before they are compared within one partition.
-HOT = 2000
+HOT = 500
 #: Strings in a block of a name that is split.
 BLOCK = 24
 #: Sampled suffixes that one partition compares, about.
 PER_PARTITION = 20_000
+#: Bytes of cuts whose suffixes are sorted at once, about.
+SORTED_BYTES = 1_000_000
+#: Positions of one text that are sampled at once.
+WINDOW = 1 << 22
+#: Bytes of text in a bucket, about.
+BUCKET_BYTES = 128 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _ONE = np.ones(1, np.uint64)
@@ -95,27 +105,39 @@ def samples(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.n
     return np.array(at), np.array(name, np.uint64), np.array(first), np.array(last)
 
 
+def windowed_samples(data: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """:func:`samples` of a text of any size, ``WINDOW`` starts at a time."""
+    for a in range(0, max(0, len(data) - length + 1), WINDOW):
+        at, name, first, last = samples(data[a : a + WINDOW + length - 1], length)
+        yield at + a, name, first + a, last + a
+
+
 def _bytes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
 
 
+def _samples(held: list[tuple]) -> pa.RecordBatch:
+    columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+    place = (columns[3] << 20) | ((columns[3] - columns[4]) << 10) | (columns[3] - columns[5])
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns[:3], place)], ["t1", "t2", "name", "place"])
+
+
 def _sampled(length: int):
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t1, t2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             held: list[tuple] = []
-            count = 0
+            n = 0
             for i, text in enumerate(batch.column(2)):
                 data = _bytes(text.as_py())
-                if len(data) >= length:
-                    at, name, first, last = samples(data, length)
+                for at, name, first, last in windowed_samples(data, length):
                     held.append((np.full(len(at), t1[i]), np.full(len(at), t2[i]), name.view(np.int64), at, first, last))
-                    count += len(at)
-                if held and (count > 200_000 or i == batch.num_rows - 1):
-                    columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-                    place = (columns[3] << 20) | ((columns[3] - columns[4]) << 10) | (columns[3] - columns[5])
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (*columns[:3], place)], ["t1", "t2", "name", "place"])
-                    held, count = [], 0
+                    n += len(at)
+                    if n > 200_000:
+                        yield _samples(held)
+                        held, n = [], 0
+            if held:
+                yield _samples(held)
 
     return sample
 
@@ -152,76 +174,59 @@ def _cuts(rows: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["t1", "t2", "name", "hot", "firsts", "bytes"])
 
 
-def _strings(batch: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Names of all strings of the cuts of a batch, with the row and the offset of each."""
-    cuts = batch.column(batch.schema.get_field_index("bytes")).to_pylist()
-    order = sorted(range(len(cuts)), key=lambda i: len(cuts[i]))
-    for a in range(0, len(order), 2000):
-        rows = np.array(order[a : a + 2000])
-        sizes = np.array([len(cuts[i]) for i in rows])
-        grid = np.zeros((len(rows), sizes.max()), np.uint8)
-        grid[np.arange(sizes.max()) < sizes[:, None]] = np.frombuffer(b"".join(cuts[i] for i in rows), np.uint8)
-        found = names(grid, length)
-        row, offset = np.nonzero(np.arange(found.shape[1]) <= (sizes - length)[:, None])
-        yield found[row, offset], rows[row], offset
-
-
 def _compared(length: int):
-    """Sort the strings of one partition by name and keep those that equal a neighbour, as runs of starts."""
+    """Sort the suffixes of one partition's cuts, name by name, and keep runs of starts whose strings equal a neighbour's."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t1, t2, first, name, row, offset = [], [], [], [], [], []
-        base = 0
+        rows = []
         for batch in batches:
-            t1.append(batch.column(0).to_numpy())
-            t2.append(batch.column(1).to_numpy())
-            first.append(batch.column(3).to_numpy())
-            for n, r, o in _strings(batch, length):
-                name.append(n)
-                row.append((r + base).astype(np.int32))
-                offset.append(o.astype(np.int16))
-            base += batch.num_rows
-        if not base:
-            return
-        h, row, offset = np.concatenate(name), np.concatenate(row), np.concatenate(offset)
-        order = np.argsort(h, kind="stable")
-        h = h[order]
-        equal = h[1:] == h[:-1]
-        twice = np.zeros(len(h), bool)
-        twice[1:] |= equal
-        twice[:-1] |= equal
-        hits = order[twice]
-        row, offset = row[hits], offset[hits].astype(np.int64)
-        if not len(row):
-            return
-        t1, t2, first = np.concatenate(t1), np.concatenate(t2), np.concatenate(first)
-        order = np.lexsort((offset, row))
-        row, offset = row[order], offset[order]
-        new = np.concatenate(([True], (row[1:] != row[:-1]) | (offset[1:] != offset[:-1] + 1)))
-        begin = np.flatnonzero(new)
-        end = np.append(begin[1:], len(row)) - 1
-        r = row[begin]
-        for a in range(0, len(r), 100_000):
-            s = slice(a, a + 100_000)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(t1[r[s]]), pa.array(t2[r[s]]), pa.array(first[r[s]] + offset[begin[s]]), pa.array(first[r[s]] + offset[end[s]] + length)],
-                ["t1", "t2", "start", "end"],
-            )
+            rows += zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), *(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True)
+        rows.sort()
+        spans: list[tuple[int, int, int, int]] = []
+        different: list[tuple[bytes, list[tuple[int, int, int]]]] = []
+        size = 0
+        for _, of_name in groupby(rows, lambda r: r[0]):
+            cuts = [(cut, [r[2:] for r in same]) for cut, same in groupby(of_name, lambda r: r[1])]
+            for cut, places in cuts:
+                if len(places) > 1:  # equal cuts are repeated as a whole
+                    spans += [(t1, t2, first, first + len(cut)) for t1, t2, first in places]
+            if len(cuts) > 1:
+                different += cuts
+                size += sum(len(cut) for cut, _ in cuts)
+                if size > SORTED_BYTES:
+                    spans += _runs(different, length)
+                    different, size = [], 0
+        if different:
+            spans += _runs(different, length)
+        for a in range(0, len(spans), 100_000):
+            columns = zip(*spans[a : a + 100_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["t1", "t2", "start", "end"])
 
     return compare
 
 
-def _spread(length: int):
-    """A row for each string of the cuts, for names that are too frequent to be compared in one partition."""
+def _runs(cuts: list[tuple[bytes, list[tuple[int, int, int]]]], length: int) -> Iterator[tuple[int, int, int, int]]:
+    """Spans of the repeated strings of ``cuts`` that stand at one place."""
+    row, offset = repeated_starts([cut for cut, _ in cuts], length)
+    if not len(row):
+        return
+    new = np.concatenate(([True], (row[1:] != row[:-1]) | (offset[1:] != offset[:-1] + 1)))
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], len(row)) - 1
+    for r, a, b in zip(row[begin].tolist(), offset[begin].tolist(), offset[end].tolist(), strict=True):
+        if len(cuts[r][1]) == 1:
+            t1, t2, first = cuts[r][1][0]
+            yield t1, t2, first + a, first + b + length
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            t1, t2, first, times = (batch.column(i).to_numpy() for i in (0, 1, 3, 5))
-            for n, r, o in _strings(batch, length):
-                columns = [n.view(np.int64), t1[r], t2[r], first[r] + o, times[r]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["string", "t1", "t2", "start", "n"])
 
-    return spread
+def _parts(rows: list[list]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["t1", "t2", "name", "firsts", "bytes", "n"])
+
+
+def _name(core: bytes, seed: int) -> int:
+    key = xxhash.xxh64_intdigest(core, seed)
+    return key - ((key >> 63) << 64)
 
 
 def _blocked(length: int, width: int):
@@ -239,16 +244,33 @@ def _blocked(length: int, width: int):
                 for b in range(at // width + 1):
                     lo, hi = max(0, at - (b + 1) * width + 1), min(last, at - b * width)
                     if lo <= hi:
-                        core = cut[at - b * width : at - (b + 1) * width + 1 + length]
-                        key = xxhash.xxh64_intdigest(core, b)
-                        for column, value in zip(rows, (t1, t2, key - ((key >> 63) << 64), [first + lo], cut[lo : hi + length], n), strict=True):
+                        key = _name(cut[at - b * width : at - (b + 1) * width + 1 + length], b)
+                        for column, value in zip(rows, (t1, t2, key, [first + lo], cut[lo : hi + length], n), strict=True):
                             column.append(value)
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["t1", "t2", "name", "firsts", "bytes", "n"])
+            yield _parts(rows)
 
     return block
 
 
+def _strings(length: int):
+    """Cuts parted into their strings, each named by all its bytes."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[list] = [[] for _ in range(6)]
+            for t1, t2, _, first, cut, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for i in range(len(cut) - length + 1):
+                    string = cut[i : i + length]
+                    for column, value in zip(rows, (t1, t2, _name(string, 0), [first + i], string, n), strict=True):
+                        column.append(value)
+                if len(rows[0]) > 50_000:
+                    yield _parts(rows)
+                    rows = [[] for _ in range(6)]
+            yield _parts(rows)
+
+    return part
+
+
 def _collapsed(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The different cuts of ``rows`` (``t1, t2, name, firsts, bytes, n``), and spans of the rows whose cut occurs twice.
 
@@ -274,8 +296,8 @@ def _spans(cuts: DataFrame, length: int) -> DataFrame:
     """Spans of repeated strings: ``t1, t2, spans``, several rows a text.
 
     Of names that occur often, equal cuts are collapsed. Names that many different cuts share even so are
-    named anew, by more bytes, for blocks of their strings, which are collapsed in turn. What is left is
-    compared within a partition, or by a shuffle of single strings where still over ``HOT`` cuts share a name.
+    named anew, by more bytes, for blocks of their strings, which are collapsed in turn, and where over ``HOT``
+    blocks share even that, by single strings, which are equal or not. What is left is sorted within a partition.
     """
     columns = ["t1", "t2", "name", "first", "bytes"]
     groups, whole_cuts = _collapsed(cuts.where("hot").select("t1", "t2", "name", "firsts", "bytes", F.size("firsts").cast("long").alias("n")))
@@ -284,16 +306,14 @@ def _spans(cuts: DataFrame, length: int) -> DataFrame:
     blocks = groups.where("crowded").select(*columns, "n").mapInArrow(_blocked(length, BLOCK), schema)
     parts, whole_blocks = _collapsed(staged(blocks, "suffix-blocks"))
     parts = _crowded(parts)
+    strings = parts.where("crowded").select(*columns, "n").mapInArrow(_strings(length), schema)
+    _, whole_strings = _collapsed(staged(strings, "suffix-strings"))
     cold = cuts.where("not hot").select("t1", "t2", "name", F.explode("firsts").alias("first"), "bytes")
     cold = cold.unionByName(groups.where("crowded is null").select(columns)).unionByName(parts.where("crowded is null").select(columns))
     n = max(int(cuts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-cold.count() // PER_PARTITION))
     near = cold.repartition(n, "name").mapInArrow(_compared(length), "t1 long, t2 long, start long, end long")
-    strings = parts.where("crowded").select(*columns, "n").mapInArrow(_spread(length), "string long, t1 long, t2 long, start long, n long")
-    strings = staged(strings, "suffix-strings")
-    twice = strings.groupBy("string").agg(F.sum("n").alias("times")).where("times > 1").select("string")
-    far = skew_join(strings.where("n = 1"), twice, "string").select("t1", "t2", "start", (F.col("start") + length).alias("end"))
-    single = near.unionByName(far).select("t1", "t2", F.array(F.struct("start", "end")).alias("spans"))
-    return single.unionByName(whole_cuts).unionByName(whole_blocks)
+    single = near.select("t1", "t2", F.array(F.struct("start", "end")).alias("spans"))
+    return single.unionByName(whole_cuts).unionByName(whole_blocks).unionByName(whole_strings)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -332,10 +352,32 @@ def _removed(length: int, keep_text: bool):
     return remove
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, seed: int) -> DataFrame:
     """The text's 128-bit key beside id and text."""
     text = whole(text_col)
-    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"))
+    return docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.lit(seed), text).alias("t1"), F.xxhash64(text, F.lit(seed)).alias("t2"))
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, str]:
+    """Rows with their text's key; the different texts, in a table bucketed by key; and that table's name.
+
+    Later joins move the small side only. Rows of a key agree in the SHA-256 of their text, else another seed is taken.
+    """
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length(whole(text_col)))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    for seed in count():
+        keyed = _keyed(docs, id_col, text_col, seed)
+        digest = F.unhex(F.sha2("text", 256))
+        texts = keyed.groupBy("t1", "t2").agg(
+            F.first("text").alias("text"), F.count("*").alias("n_rows"), (F.min(digest) == F.max(digest)).alias("one_text"))
+        path = new_path(spark, "texts")
+        name = "texts_" + path.rpartition("-")[2]
+        texts.write.bucketBy(n, "t1", "t2").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
+        texts = spark.table(name)
+        if texts.where("not one_text").isEmpty():
+            return keyed, texts.drop("one_text"), name
+        spark.sql(f"DROP TABLE {name}")
 
 
 def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, keep_text: bool = False) -> DataFrame:
@@ -345,33 +387,29 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``start:end``), with ``keep_text`` also ``kept``, the remaining bytes. Texts are taken as UTF-8; strings
     never cross rows, are judged on the input, and may overlap, within one text too. Null texts count as
     empty; texts shorter than ``length`` stay whole. Rows of equal text, repeated ones too, are copies of
-    each other. An empty table gives an empty result; extra columns are not read.
+    each other. An empty table gives an empty result; extra columns are not read. A text is held whole in one task,
+    and sampled ``WINDOW`` positions at a time, at about 40 bytes each.
 
     Equal texts are worked on once. Of every text suffixes are sampled and named; names that occur once are
-    left behind. Around the others all strings are cut out, which is the only text that moves again, and
-    compared with those of the same name, sorted within a partition; names that occur over ``HOT`` times are
-    split first (:func:`_spans`).
+    left behind. Around the others all strings are cut out, which is the only text that moves again; the suffixes of
+    the cuts of a name are sorted within a partition and neighbours compared by their bytes; names that occur over
+    ``HOT`` times are split first (:func:`_spans`).
     """
     if not GRAM < length <= 1000:
         raise ValueError(f"length must be over {GRAM} and at most 1000")
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = _keyed(docs, id_col, text_col)
-    texts = keyed.groupBy("t1", "t2").agg(F.first("text").alias("text"), F.count("*").alias("n_rows"))
-    # Bucketed by its key: later joins move the small side only.
-    path = new_path(spark, "texts")
-    name = "texts_" + path.rpartition("-")[2]
-    texts.write.bucketBy(n, "t1", "t2").option("path", path).option("compression", "zstd").format("parquet").saveAsTable(name)
-    texts = spark.table(name)
-    sampled = staged(texts.select("t1", "t2", "text").mapInArrow(_sampled(length), "t1 long, t2 long, name long, place long"), "suffix-samples")
-    counts = sampled.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name", (F.col("n") > HOT).alias("hot"))
-    wanted = skew_join(sampled, counts, "name")
-    wanted = wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("name", "hot", "place")).alias("wanted"))
-    cuts = texts.select("t1", "t2", "text").join(wanted, ["t1", "t2"]).select("t1", "t2", "text", "wanted")
-    cuts = staged(cuts.mapInArrow(_cut(length), "t1 long, t2 long, name long, hot boolean, firsts array<long>, bytes binary"), "suffix-cuts")
-    spans = _spans(cuts, length).groupBy("t1", "t2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    schema = "t1 long, t2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string"
-    done = texts.join(spans, ["t1", "t2"], "left").select("t1", "t2", "text", "n_rows", "spans")
-    done = staged(done.mapInArrow(_removed(length, keep_text), schema + ", kept binary" * keep_text), "suffix-done")
-    spark.sql(f"DROP TABLE {name}")  # the entry of the catalogue; the files lie in the shared folder
+    keyed, texts, name = _texts(docs, id_col, text_col)
+    try:
+        sampled = staged(texts.select("t1", "t2", "text").mapInArrow(_sampled(length), "t1 long, t2 long, name long, place long"), "suffix-samples")
+        counts = sampled.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name", (F.col("n") > HOT).alias("hot"))
+        wanted = skew_join(sampled, counts, "name")
+        wanted = wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("name", "hot", "place")).alias("wanted"))
+        cuts = texts.select("t1", "t2", "text").join(wanted, ["t1", "t2"]).select("t1", "t2", "text", "wanted")
+        cuts = staged(cuts.mapInArrow(_cut(length), "t1 long, t2 long, name long, hot boolean, firsts array<long>, bytes binary"), "suffix-cuts")
+        spans = _spans(cuts, length).groupBy("t1", "t2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        schema = "t1 long, t2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string"
+        done = texts.join(spans, ["t1", "t2"], "left").select("t1", "t2", "text", "n_rows", "spans")
+        done = staged(done.mapInArrow(_removed(length, keep_text), schema + ", kept binary" * keep_text), "suffix-done")
+    finally:
+        spark.sql(f"DROP TABLE {name}")  # the entry of the catalogue; the files lie in the shared folder
     return keyed.drop("text").join(done, ["t1", "t2"]).drop("t1", "t2")

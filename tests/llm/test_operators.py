@@ -40,7 +40,7 @@ def brute_repeats(texts, size=200):
     return out
 
 
-@pytest.mark.parametrize("hot", [3000, 1])
+@pytest.mark.parametrize("hot", [3000, 1, 4])
 def test_suffix_dedup(spark, prose, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     texts = [*prose, None, "", "é" * 99, "é" * 100, "é" * 101, "z" * 1500, prose[0], prose[0]]
@@ -68,6 +68,56 @@ def test_suffix_samples_cover_equal_strings():
     assert (suffix_dedup.names(long, 200)[5000] == suffix_dedup.names(long[5000:5200], 200)).all()
 
 
+def test_suffix_order():
+    from quillon.llm.suffix_array import suffix_order
+
+    rng = np.random.default_rng(0)
+    for _ in range(2000):
+        a = rng.integers(1, int(rng.integers(2, 5)), int(rng.integers(0, 40)))
+        b = bytes(a.astype(np.uint8))
+        assert suffix_order(a).tolist() == sorted(range(len(b)), key=lambda i: b[i:])
+    a = rng.integers(1, 3, 5000)
+    a[2500:] = a[:2500]
+    b = bytes(a.astype(np.uint8))
+    assert suffix_order(a).tolist() == sorted(range(len(b)), key=lambda i: b[i:])
+    assert suffix_order(np.ones(9999, int)).tolist() == list(range(9998, -1, -1))
+
+
+@pytest.mark.parametrize("length", [33, 40, 200])
+def test_suffix_repeated_starts(length):
+    """Against all strings of the cuts, in a text of few letters with copied stretches."""
+    from quillon.llm.suffix_array import repeated_starts
+
+    rng = np.random.default_rng(length)
+    cuts = [rng.integers(97, 99, int(rng.integers(1, 500))).astype(np.uint8).tobytes() for _ in range(60)]
+    for i in range(0, 60, 3):
+        a = int(rng.integers(0, 100))
+        cuts[i] = cuts[i][:50] + cuts[i - 1][a : a + int(rng.integers(length - 2, length + 40))] + cuts[i][50:]
+    cuts += [b"z" * 300, b"z" * (length - 1), cuts[5][:length]]
+    seen = Counter(c[i : i + length] for c in cuts for i in range(len(c) - length + 1))
+    want = [(k, i) for k, c in enumerate(cuts) for i in range(len(c) - length + 1) if seen[c[i : i + length]] > 1]
+    assert [tuple(x) for x in repeated_starts(cuts, length).T.tolist()] == want and want
+
+
+def test_suffix_names_decide_nothing(monkeypatch):
+    """Cuts that share a name by chance have only their equal bytes in common; long texts are sampled window by window."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    cuts = [rng.bytes(300) for _ in range(6)]
+    cuts += [cuts[0][40:270] + cuts[1][:60], cuts[2]]
+    schema = ["t1", "t2", "name", "first", "bytes"]
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i in range(8)]), pa.array([0] * 8), pa.array([77] * 8), pa.array([1000] * 8), pa.array(cuts, pa.binary())], schema)
+    got = sorted(tuple(r.values()) for b in suffix_dedup._compared(200)(iter([batch])) for r in b.to_pylist())
+    assert got == [(0, 0, 1040, 1270), (2, 0, 1000, 1300), (6, 0, 1000, 1230), (7, 0, 1000, 1300)]
+    data = np.frombuffer(rng.bytes(5000), np.uint8)
+    whole = {(int(p), int(f), int(e)) for p, _, f, e in zip(*suffix_dedup.samples(data, 200), strict=True)}
+    monkeypatch.setattr(suffix_dedup, "WINDOW", 700)
+    parts = [x for a in suffix_dedup.windowed_samples(data, 200) for x in zip(*(c.tolist() for c in a), strict=True)]
+    assert [f for _, _, f, _ in parts] == [0, *[e + 1 for *_, e in parts[:-1]]] and parts[-1][3] == 4800
+    assert {p for p, *_ in parts} == {p for p, *_ in whole}
+
+
 # 2 ---------------------------------------------------------------------------------------------------
 
 
