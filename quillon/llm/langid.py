@@ -2,46 +2,54 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import unicodedata
+from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import whole
+from quillon.staging import staged
 
-#: Lower-cased code points below this are told apart; all others are one symbol.
-CODES = 0x250
-#: Characters that one lane parses, and characters parsed at once.
+#: Symbols that one lane parses, and characters parsed at once.
 LANE, BATCH_CHARS = 128, 2_000_000
 
 
-def symbols_of(text: str) -> np.ndarray:
-    """Symbols of a text: lower-cased letters of the Latin blocks, runs of anything else as one separator."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    out = TABLE[np.minimum(codes, CODES)]
-    if len(out) > 1:
-        out = out[np.concatenate(([True], (out[1:] != 0) | (out[:-1] != 0)))]
-    return out
+@cache
+def _letters() -> np.ndarray:
+    """For every code point 1 where it is a letter or a mark on one, else 0."""
+    return np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(sys.maxunicode + 1)], np.int32)
 
 
-def _table() -> np.ndarray:
-    """0: no letter, 1: a letter beyond the Latin blocks (the last entry), from 2 on: letters."""
-    table = np.zeros(CODES + 1, np.int32)
-    letters = [c for c in range(CODES) if chr(c).isalpha() and chr(c) == chr(c).lower()]
-    table[letters] = np.arange(len(letters)) + 2
-    table[CODES] = 1
+def alphabet(letters: Iterable[str]) -> np.ndarray:
+    """The symbol of every code point. 0: no letter, 1: a letter that is not among ``letters``, from 2 on: those."""
+    table = _letters().copy()
+    codes = sorted({ord(c) for c in letters if table[ord(c)]})
+    table[codes] = np.arange(len(codes)) + 2
     return table
 
 
-TABLE = _table()
-SYMBOLS = int(TABLE.max()) + 1
+@cache
+def _latin() -> np.ndarray:
+    return alphabet(chr(c).lower() for c in range(0x250) if len(chr(c).lower()) == 1)
 
 
-def automaton(text: np.ndarray, symbols: int = SYMBOLS) -> np.ndarray:
+def symbols_of(text: str, table: np.ndarray | None = None) -> np.ndarray:
+    """Symbols of a lower-cased text by :func:`alphabet` (of the Latin letters by default), runs of anything else as one separator."""
+    table = _latin() if table is None else table
+    out = table[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+    if len(out) > 1:
+        out = out[np.concatenate(([True], (out[1:] != 0) | (out[:-1] != 0)))]
+    return out
+
+
+def automaton(text: np.ndarray, symbols: int | None = None) -> np.ndarray:
     """Transitions ``[state, symbol]`` of the suffix automaton of ``text``; -1 where a match ends. State 0 is the root."""
+    symbols = int(_latin().max()) + 1 if symbols is None else symbols
     nexts: list[dict[int, int]] = [{}]
     links, lengths = [-1], [0]
     last = 0
@@ -75,30 +83,57 @@ def automaton(text: np.ndarray, symbols: int = SYMBOLS) -> np.ndarray:
     return out
 
 
-def phrases(lanes: np.ndarray, nexts: np.ndarray) -> np.ndarray:
-    """How many longest matches tile each lane (columns of ``lanes``; -1 is padding), a new phrase where one ends.
+def phrases(lanes: np.ndarray, lengths: np.ndarray, before: np.ndarray, nexts: np.ndarray) -> np.ndarray:
+    """How many phrases begin in each lane (columns of ``lanes``, longest first) when texts are tiled by longest matches.
 
-    All lanes advance together, one symbol a step. A symbol that the automaton's text lacks is a phrase.
+    A text's lanes follow each other: ``before`` is the column of the lane ahead, -1 for a text's first. All lanes
+    advance together, one symbol a step, first as if a phrase began with each; then those that the lane ahead enters
+    amid a phrase again, from its last state on, until they fall in with what they were. A symbol that the
+    automaton's text lacks is a phrase.
     """
-    flat, root = nexts.ravel(), nexts[0]
-    width = nexts.shape[1]
-    state = np.zeros(lanes.shape[1], np.int64)
-    count = np.zeros(lanes.shape[1], np.int64)
-    for row in lanes:
-        n = int(np.searchsorted(-row, 1, "left")) if row[-1] < 0 else len(row)  # lanes are sorted by length
-        c = row[:n]
-        here = flat[state[:n] * width + c]
+    flat, root, width = nexts.ravel(), nexts[0], nexts.shape[1]
+    states, begins = np.zeros(lanes.shape, np.int32), np.zeros(lanes.shape, bool)
+    after = np.full(len(before), -1)
+    after[before[before >= 0]] = np.flatnonzero(before >= 0)
+
+    def advanced(state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        here = flat[state.astype(np.int64) * width + c]
         over = here < 0
-        count[:n] += over | (state[:n] == 0)  # a phrase begins at the root
-        state[:n] = np.where(over, np.maximum(root[c], 0), here)
-    return count
+        return np.where(over, np.maximum(root[c], 0), here), over | (state == 0)
+
+    state = np.zeros(lanes.shape[1], np.int32)
+    for t, row in enumerate(lanes):
+        n = int(np.searchsorted(-lengths, -t, "left"))
+        states[t, :n], begins[t, :n] = advanced(state[:n], row[:n])
+        state = states[t, :n]
+    entered = np.flatnonzero(before >= 0)
+    while len(entered):
+        ahead = before[entered]
+        state = states[lengths[ahead] - 1, ahead]
+        columns, state = entered[state != 0], state[state != 0]
+        changed = []
+        for t in range(len(lanes)):
+            n = int(np.searchsorted(-lengths[columns], -t, "left"))
+            changed.append(columns[n:])
+            columns, state = columns[:n], state[:n]
+            if not n:
+                break
+            state, begin = advanced(state, lanes[t, columns])
+            differ = state != states[t, columns]
+            states[t, columns], begins[t, columns] = state, begin
+            columns, state = columns[differ], state[differ]
+        changed.append(columns)
+        entered = after[np.concatenate(changed)]
+        entered = np.sort(entered[entered >= 0])
+    return begins.sum(0)
 
 
 def rates(texts: list[np.ndarray], automata: list[np.ndarray]) -> np.ndarray:
     """Phrases per symbol of each text (rows) against each automaton (columns)."""
-    pieces, owner = [], []
+    pieces, owner, ahead = [], [], []
     for i, t in enumerate(texts):
         for a in range(0, len(t), LANE):
+            ahead.append(len(pieces) - 1 if a else -1)
             pieces.append(t[a : a + LANE])
             owner.append(i)
     out = np.zeros((len(texts), len(automata)))
@@ -106,39 +141,51 @@ def rates(texts: list[np.ndarray], automata: list[np.ndarray]) -> np.ndarray:
         return out
     lengths = np.array([len(p) for p in pieces])
     order = np.argsort(-lengths, kind="stable")
-    lanes = np.full((len(pieces), LANE), -1, np.int32)
-    lanes[np.arange(LANE) < lengths[order][:, None]] = np.concatenate([pieces[i] for i in order])
+    lanes = np.zeros((len(pieces), LANE), np.int32)
+    lengths = lengths[order]
+    lanes[np.arange(LANE) < lengths[:, None]] = np.concatenate([pieces[i] for i in order])
     lanes = np.ascontiguousarray(lanes.T)
+    column = np.empty(len(pieces), np.int64)
+    column[order] = np.arange(len(pieces))
+    ahead = np.array(ahead)[order]
+    before = np.where(ahead >= 0, column[ahead], -1)
     owner = np.array(owner)[order]
-    size = np.maximum(1, np.bincount(owner, lengths[order], len(texts)))
+    size = np.maximum(1, np.bincount(owner, lengths, len(texts)))
     for j, nexts in enumerate(automata):
-        out[:, j] = np.bincount(owner, phrases(lanes, nexts), len(texts)) / size
+        out[:, j] = np.bincount(owner, phrases(lanes, lengths, before, nexts), len(texts)) / size
     return out
 
 
 def learned_texts(docs: DataFrame, learn: Column, lang_col: str, text_col: str, id_col: str, rows_per_lang: int, chars_per_row: int, chars_per_lang: int) -> dict[str, str]:
-    """Labelled text per language: from about ``rows_per_lang`` rows, chosen by a digest of the id, a bounded part of each."""
-    known = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
-    place = F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
-    bound = F.lit(0.0)
-    for lang, n in counts.items():
-        bound = F.when(F.col(lang_col) == lang, F.lit(min(1.0, rows_per_lang / n))).otherwise(bound)
-    rows = known.where(place < bound).select(lang_col, place.alias("place"), F.substring(text_col, 1, chars_per_row).alias("text")).toPandas()
-    rows = rows.drop_duplicates([lang_col, "text"]).sort_values([lang_col, "place", "text"])
-    out = {lang: " ".join(g.text)[:chars_per_lang] for lang, g in rows.groupby(lang_col)}
-    return {lang: t for lang, t in sorted(out.items()) if any(c.isalpha() for c in t)}
+    """Labelled text per language: different whole rows in the order of a digest, until ``chars_per_lang`` characters are reached.
+
+    From about ``rows_per_lang`` rows of at most ``chars_per_row`` characters; of a language without any such row the shortest.
+    """
+    known = docs.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"), F.char_length(text_col).alias("chars"))
+    counts = known.groupBy("lang").agg(F.count_if(F.col("chars") <= chars_per_row).alias("n"), F.min("chars").alias("least"))
+    counts = staged(counts.select(F.col("lang").alias("l"), "n", "least"), "langid-counts")
+    place = F.pmod(F.xxhash64(F.lit("langid"), "id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    few = F.col("chars") <= F.greatest(F.col("least"), F.lit(chars_per_row))
+    rows = known.where(F.col("text").rlike("\\p{L}")).join(counts, F.col("lang") == F.col("l")).where(few & (place < F.lit(rows_per_lang) / F.greatest("n", F.lit(1))))
+    rows = rows.groupBy("lang", "text").agg(F.min(place).alias("place")).toPandas()
+    out = {}
+    for lang, g in rows.sort_values(["lang", "place", "text"]).groupby("lang"):
+        taken, chars = [], 0
+        for text in g.text:
+            if chars >= chars_per_lang or (taken and chars + len(text) > 2 * chars_per_lang):
+                break
+            taken.append(text)
+            chars += len(text)
+        out[lang] = " ".join(taken)
+    return dict(sorted(out.items()))
 
 
 def _predictor(texts: dict[str, str], sharpness: float):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs = list(texts)
-        # Symbols that no language's text has are one more symbol, at which every match ends.
-        known = [symbols_of(texts[x]) for x in langs]
-        used = np.unique(np.concatenate([*known, np.zeros(1, np.int32)]))
-        narrow = np.full(SYMBOLS, len(used), np.int32)
-        narrow[used] = np.arange(len(used))
-        automata = [automaton(narrow[t], len(used) + 1) for t in known]
+        table = alphabet(c for t in texts.values() for c in t.lower())
+        automata = [automaton(symbols_of(texts[x], table), int(table.max()) + 1) for x in langs]
         names = np.array([*langs, "und"], dtype=object)
         for batch in batches:
             at = 0
@@ -147,7 +194,7 @@ def _predictor(texts: dict[str, str], sharpness: float):
                 chars = 0
                 while at + len(got) < batch.num_rows and (not got or chars < BATCH_CHARS):
                     text = batch.column(1)[at + len(got)].as_py() or ""
-                    got.append(narrow[symbols_of(text)] if any(map(str.isalpha, text)) else np.zeros(0, np.int32))
+                    got.append(symbols_of(text, table) if any(map(str.isalpha, text)) else np.zeros(0, np.int32))
                     chars += len(got[-1])
                 best, score = np.full(len(got), len(langs)), np.zeros(len(got))
                 if langs:
@@ -170,11 +217,11 @@ def identified(
 ) -> DataFrame:
     """``doc_id, held_out, lang_pred, score``: the language of every whole text.
 
-    Per language a suffix automaton is built of labelled text of rows that are not ``held_out``: a bounded
-    sample of ``rows_per_lang`` rows expected, ``chars_per_row`` characters of each and ``chars_per_lang`` in
-    all. Each whole text is parsed, greedily, into longest matches of each automaton; the language that
-    needs the fewest phrases per symbol wins, the first by name of equals. Long texts are parsed in lanes of
-    ``LANE`` symbols. ``score`` is the winner's share of ``exp(-sharpness * excess phrases)``.
+    Per language a suffix automaton is built of labelled text of rows that are not ``held_out``: whole rows of a
+    bounded sample (:func:`learned_texts`). Letters of every script that the sample holds are told apart. Each whole
+    text is parsed, greedily, into longest matches of each automaton; the language that needs the fewest phrases per
+    symbol wins, the first by name of equals. Very long texts are parsed in lanes of ``LANE`` symbols that carry
+    the match on. ``score`` is the winner's share of ``exp(-sharpness * excess phrases)``.
 
     Null texts and texts without a letter are ``und`` with score 0, as everything is if no row is labelled.
     Null ids count as the empty text in the deal into folds. Repeated rows are kept, an empty table gives an

@@ -358,6 +358,42 @@ def test_cross_parsing():
         assert round(g * len(s)) == brute_phrases(s, ref)
 
 
+def test_cross_parsing_of_long_texts():
+    """Matches go on over the ends of lanes: whole texts against one symbol at a time, among them the learned text itself."""
+    import random
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randrange(1, 9))) for _ in range(300)]
+    reference = " ".join(rng.choice(words) for _ in range(900))
+    texts = [reference, reference[100:3000], " ".join(rng.choice(words) for _ in range(1100)), "z" * 700, "ab" * 900, "a", "", reference[7:300] + "zz" + reference]
+    nexts = langid.automaton(langid.symbols_of(reference))
+    ref = "".join(map(chr, langid.symbols_of(reference) + 100))
+    assert max(map(len, texts)) > 5000
+    got = langid.rates([langid.symbols_of(t) for t in texts], [nexts])[:, 0]
+    for t, g in zip(texts, got, strict=True):
+        s = "".join(map(chr, langid.symbols_of(t) + 100))
+        assert round(g * len(s)) == brute_phrases(s, ref)
+    assert round(got[0] * len(ref)) == 1
+
+
+def test_langid_scripts(spark):
+    """Languages of one script beyond the Latin blocks are told apart; whole rows are learned from, copies once."""
+    import random
+
+    rng = random.Random(6)
+    makes = {"ru": range(0x430, 0x450), "uk": [*range(0x430, 0x440), 0x454, 0x456, 0x457, 0x491], "ja": range(0x3041, 0x3080), "hi": range(0x915, 0x930)}
+    words = {x: ["".join(chr(rng.choice(r)) for _ in range(rng.randrange(2, 7))) for _ in range(80)] for x, r in makes.items()}
+    rows = [(4 * i + k, " ".join(rng.choice(words[x]) for _ in range(30)), x) for i in range(40) for k, x in enumerate(makes)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = langid.identified(docs, F.lit(False)).join(docs, "doc_id").collect()
+    assert len(found) == 160 and sum(r.lang == r.lang_pred for r in found) > 0.95 * len(found)
+    more = [(None, "копия копия", "ru")] * 50 + [(900, " ".join(words["ru"] * 40), "long")]
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    learned = langid.learned_texts(docs, F.lit(True), "lang", "text", "doc_id", 200, 1000, 3000)
+    assert set(learned) == {*makes, "long"} and learned["ru"].count("копия копия") == 1 and learned["long"] == more[-1][1]
+    assert all(3000 <= len(learned[x]) <= 6000 for x in makes)
+
+
 def test_langid(spark, awkward, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = langid.identified(docs, remainder("doc_id", 4) == 2)
