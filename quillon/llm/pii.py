@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +14,8 @@ from quillon.llm.common import skew_join, whole
 from quillon.staging import staged
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words of letters, of three at least; the same pattern serves Python's and Java's regular expressions.
-TERM = "[A-Za-zÀ-ÖØ-öø-ɏ]{3,}"
+#: Words of letters of any script, of three at least; the same pattern serves Python and Spark.
+TERM = r"\p{L}{3,}"
 
 #: So many revealing terms go along with the tasks; of more, all terms of the texts are joined to them.
 KNOWN_TERMS = 200_000
@@ -26,7 +26,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TERM = re.compile(TERM)
+_TERM = regex.compile(TERM)
 
 
 def luhn(digits: str) -> bool:
@@ -116,7 +116,9 @@ def _found(known: dict[str, float] | None, removal: float):
     def marked(text: str, spans: list[tuple[str, int, int]]) -> list[dict] | None:
         if known is None:
             return [{"term": t, "start": a, "end": b} for t, a, b in free_terms(text, spans)]
-        hits = [(a, b, known[t]) for t, a, b in free_terms(text, spans) if t in known] if known else []
+        if known.keys().isdisjoint(t.lower() for t in set(_TERM.findall(text))):
+            return None
+        hits = [(a, b, known[t]) for t, a, b in free_terms(text, spans) if t in known]
         return [{"start": a, "end": b, "disclosure": d, "action": "remove" if d >= removal else "generalise"} for a, b, d in hits] or None
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,9 +180,8 @@ def revealing(near: DataFrame, counts: DataFrame, n_rows: int, share: float, sup
     pairs = staged(pairs.where(F.col("n_both") >= support), "pii-pairs")
     if entities is None:
         entities = near.select("row", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    both = skew_join(skew_join(pairs, entities, "entity"), counts, "term", "left")
-    n_term = F.greatest(F.coalesce("n_term", "n_both"), "n_both")
-    mutual = F.log(F.col("n_both") * F.lit(float(n_rows)) / (n_term * F.col("n_entity")))
+    both = skew_join(skew_join(pairs, entities, "entity"), counts, "term")  # a term that is not counted is no evidence
+    mutual = F.log(F.col("n_both") * F.lit(float(n_rows)) / (F.greatest("n_term", "n_both") * F.col("n_entity")))
     own = -F.log(F.col("n_entity") / F.lit(float(n_rows)))
     return both.withColumn("disclosure", F.when(own > 0, mutual / own).otherwise(0.0)).where(F.col("disclosure") >= share).select("entity", "term", "disclosure")
 

@@ -290,6 +290,61 @@ def test_pii_whole_texts(spark, monkeypatch, most):
     assert sum(n for t, n in clean.items() if "Zebulon" in t or "@" in t) == 0 and clean[far] == 190
 
 
+def brute_terms(texts, share=0.8, removal=0.95, support=3):
+    """``start, end, action`` per text by counting everything in Python; a term is a run of three letters at least."""
+    import math
+
+    def entities(text):
+        return {(k, text[a:b].lower() if k == "email" else text[a:b] if k == "ip" else re.sub("[^0-9]", "", text[a:b])) for k, a, b in brute_spans(text)}
+
+    def terms(text, free):
+        covered = [(a, b) for _, a, b in brute_spans(text)] if free else []
+        runs = re.finditer(r"[^\W\d_]+", text)
+        return [(m[0].lower(), *m.span()) for m in runs if len(m[0]) >= 3 and not any(a < m.end() and m.start() < b for a, b in covered)]
+
+    n_entity, n_term, n_both = Counter(), Counter(), Counter()
+    for text in texts:
+        es, ts = entities(text), {t for t, *_ in terms(text, True)}
+        n_entity.update(es)
+        n_term.update({t for t, *_ in terms(text, False)})
+        n_both.update((e, t) for e in es for t in ts)
+    known = {}
+    for (e, t), both in n_both.items():
+        if both >= support and n_entity[e] < len(texts):
+            d = math.log(both * len(texts) / (n_term[t] * n_entity[e])) / -math.log(n_entity[e] / len(texts))
+            if d >= share:
+                known[t] = max(known.get(t, 0), d)
+    return [[(a, b, "remove" if known[t] >= removal else "generalise") for t, a, b in terms(text, True) if t in known] for text in texts]
+
+
+def test_pii_query(spark, tmp_path, prose):
+    """The query's whole result against patterns and counts in Python, terms of other scripts and capitals included."""
+    from quillon.llm.queries import op4_pii
+
+    texts = [f"{name} wohnt bei {mail} {prose[i]}" for i, (name, mail) in enumerate([("Сергей", "s@corp.example"), ("李小龙先生", "10.1.2.3"), ("İstanbul", "+49 (30) 1234567"), ("Zoë", "4532 0151 1283 0366")] * 8)]
+    texts += [f"{prose[i]} İSTANBUL" for i in range(30)] + prose + [None, "", "Сергей один", "x" * 50_000 + " a@b.c"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in op4_pii(spark, str(tmp_path)).collect()}
+    plain = [t or "" for t in texts]
+    want = brute_terms(plain)
+    assert {plain[i][a:b] for i, found in enumerate(want) for a, b, _ in found} >= {"Сергей", "李小龙先生", "Zoë"}
+    for i, text in enumerate(plain):
+        base = [f"{k}:{a}:{b}" for k, a, b in brute_spans(text)]
+        assert rows[i].base_sha256 == sha(",".join(base))
+        assert rows[i].spans == ",".join([*base, *(f"term:{a}:{b}" for a, b, _ in want[i])])
+        assert [rows[i].n_email, rows[i].n_ip, rows[i].n_card, rows[i].n_phone] == [sum(b.startswith(k) for b in base) for k in PATTERNS]
+
+
+def test_pii_sanitised_rows(spark):
+    """Rows of null and of repeated ids keep their own spans."""
+    texts = ["mail a@b.example now", "card 4532 0151 1283 0366 here", "call +1 555 010 9999", "nothing at all"]
+    docs = spark.createDataFrame([(i, t) for i in (None, 7) for t in texts], "doc_id long, text string")
+    got = Counter((r.doc_id, r.text) for r in pii.sanitised(docs).collect())
+    clean = ["mail [email] now", "card [card] here", "call [phone]", "nothing at all"]
+    assert got == Counter((i, t) for i in (None, 7) for t in clean)
+
+
 def test_pii_disclosure(spark):
     near = spark.createDataFrame([(r, "e", t) for r in range(3) for t in ("x", "y")] + [(9, "f", "y")], "row long, entity string, term string")
     counts = spark.createDataFrame([("x", 3), ("y", 50)], "term string, n_term long")
