@@ -16,9 +16,11 @@ from quillon.staging import staged
 
 #: Three segments: of at most four differing bits, one segment holds one at most.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-#: Above so many distinct fingerprints a signature also takes in one exact block of the other bits:
-#: five times the signatures, 400 times the buckets, the same links.
-REFINE_ABOVE = 1_000_000
+#: Buckets of more members that do not all hang together are parted by an exact block of the other bits: of five
+#: blocks at most four differ, so the links stay the same.
+REFINE_ABOVE = 256
+#: Fingerprints whose signatures one task lists, about.
+PER_TASK = 20_000
 
 
 def shingle_hashes(text: str, words: int = 4, seed: int = 42) -> list[int]:
@@ -75,45 +77,59 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(_fingerprints, f"doc_id {kind}, fp long" + (", text_hash long" if hashed else ""))
 
 
-def signatures(fp: Column, refined: bool) -> Column:
-    """Array of the one-wildcard variants of each segment, as strings of bits packed into a long.
+def signatures(fp: Column) -> Column:
+    """Array of the one-wildcard variants of each segment: the wildcard's place above 22 bits of the segment.
 
-    Two fingerprints that differ in at most four bits share one. ``refined`` signatures also hold one of
-    five blocks of the bits outside the segment, of which at most four differ, so one block is equal.
+    Two fingerprints that differ in at most four bits share one.
     """
     out = []
     for start, width in SEGMENTS:
         part = F.shiftrightunsigned(fp, start).bitwiseAND(F.lit((1 << width) - 1))
-        rest = [b for b in range(64) if not start <= b < start + width]
-        blocks = [rest[i::5] for i in range(5)] if refined else [None]
         for bit in range(width):
             left = part.bitwiseAND(F.lit(((1 << width) - 1) & ~(1 << bit)))
-            for i, block in enumerate(blocks):
-                slot = F.lit((start + bit) * 8 + i)
-                key = F.shiftleft(slot.cast("long"), 22).bitwiseOR(left)
-                if block:
-                    mask = sum(1 << b for b in block)
-                    mask -= (mask >> 63) << 64
-                    key = F.xxhash64(key, fp.bitwiseAND(F.lit(mask)))
-                out.append(key)
+            out.append(F.lit((start + bit) << 22).bitwiseOR(left))
     return F.array(*out)
 
 
+def blocks(key: Column, fp: Column) -> Column:
+    """Array of names for the five blocks of the bits outside the segment that ``key`` is a signature of."""
+    place, out = F.shiftright(key, 22), None
+    for start, width in reversed(SEGMENTS):
+        rest = [b for b in range(64) if not start <= b < start + width]
+        names = []
+        for i in range(5):
+            mask = sum(1 << b for b in rest[i::5])
+            names.append(F.xxhash64(key, F.lit(i), fp.bitwiseAND(F.lit(mask - ((mask >> 63) << 64)))))
+        out = F.array(*names) if out is None else F.when(place < start + width, F.array(*names)).otherwise(out)
+    return out
+
+
 def near(a: str, b: str, bits: int) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits
 
 
+def _strangers(placed: DataFrame) -> DataFrame:
+    """Of ``key, fp, component, members`` the rows of keys with several components, with the largest (``main``) and the rows (``n``) of each."""
+    mains = placed.groupBy("key").agg(
+        F.max(F.struct("members", "component")).alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")
+    )
+    mains = mains.where("lo < hi").select("key", F.col("main.component").alias("main"), "n")
+    return staged(skew_join(placed, mains, "key"), "simhash-mixed")
+
+
 def linked(fps: DataFrame, bits: int = 4) -> DataFrame:
     """``fp, component`` of the distinct fingerprints ``fps`` that link to another one.
 
     Exact: the links are those between all pairs that differ in at most ``bits`` bits. Buckets of equal
     signatures are never expanded into pairs: first each member is checked against its bucket's least and
     greatest member; then, in the buckets that still hold several components, the members outside the
-    largest of them are compared with the rest, inside the join.
+    largest of them are compared with the rest, inside the join; buckets of over ``REFINE_ABOVE`` members
+    are parted by :func:`blocks` before.
     """
     if bits > 4:
         raise ValueError("three segments find links of at most four bits")
-    index = fps.select(F.explode(signatures(F.col("fp"), fps.count() > REFINE_ABOVE)).alias("key"), "fp")
+    tasks = max(fps.sparkSession.sparkContext.defaultParallelism, -(-fps.count() // PER_TASK))
+    index = fps.repartition(tasks, "fp").select(F.explode(signatures(F.col("fp"))).alias("key"), "fp")
     ends = index.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count("*").alias("n")).where("n > 1")
     # The checks stand in the join: strangers that meet in a bucket of two are not even emitted.
     to_lo, to_hi = (F.col("fp") != F.col("lo")) & near("fp", "lo", bits), (F.col("fp") != F.col("hi")) & near("fp", "hi", bits)
@@ -123,17 +139,14 @@ def linked(fps: DataFrame, bits: int = 4) -> DataFrame:
     first = connected_components(star.unionByName(other))
     first = staged(first, "simhash-first")
     sizes = first.groupBy("component").agg(F.count("*").alias("members"))
-    known = first.join(sizes, "component").select(F.col("node").alias("fp"), "component", "members")
+    known = skew_join(first, sizes, "component").select(F.col("node").alias("fp"), "component", "members")
     # Buckets of two are settled; in larger ones members may link to others than the two ends.
     placed = shared.where("n > 2").select("key", "fp").join(known, "fp", "left").select(
         "key", "fp", F.coalesce("component", "fp").alias("component"), F.coalesce("members", F.lit(1)).alias("members")
     )
-    placed = staged(placed, "simhash-placed")
-    mains = placed.groupBy("key").agg(
-        F.max(F.struct("members", "component")).alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi")
-    )
-    mains = mains.where("lo < hi").select("key", F.col("main.component").alias("main"))
-    mixed = staged(skew_join(placed, mains, "key").select("key", "fp", "component", "main"), "simhash-mixed")
+    mixed = _strangers(staged(placed, "simhash-placed"))
+    crowded = mixed.where(F.col("n") > REFINE_ABOVE).select(F.explode(blocks(F.col("key"), F.col("fp"))).alias("key"), "fp", "component", "members")
+    mixed = mixed.where(F.col("n") <= REFINE_ABOVE).unionByName(_strangers(staged(crowded, "simhash-crowded")))
     a = mixed.where("component <> main").select("key", F.col("fp").alias("a"), F.col("component").alias("ca"))
     b = mixed.select("key", F.col("fp").alias("b"), F.col("component").alias("cb"), "main")
     meet = (
@@ -143,10 +156,10 @@ def linked(fps: DataFrame, bits: int = 4) -> DataFrame:
     more = staged(more, "simhash-more")
     if more.isEmpty():
         return first.select(F.col("node").alias("fp"), "component")
-    over = connected_components(more).select(F.col("node").alias("component"), F.col("component").alias("above"))
+    over = staged(connected_components(more).select(F.col("node").alias("component"), F.col("component").alias("above")), "simhash-above")
     alone = more.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(first, "node", "left_anti")
     every = first.unionByName(alone.select("node", F.col("node").alias("component")))
-    return every.join(over, "component", "left").select(F.col("node").alias("fp"), F.coalesce("above", "component").alias("component"))
+    return skew_join(every, over, "component", "left").select(F.col("node").alias("fp"), F.coalesce("above", "component").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 4) -> DataFrame:
@@ -154,7 +167,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Texts are lower-cased in A-Z and cut at ASCII white space; the fingerprint is the bit-wise majority of
     the XXH64 of all shingles of four words. Rows link when their fingerprints differ in at most ``bits``
-    bits; ``component_id`` is the smallest id reachable. Null, empty and wordless texts have fingerprint 0
+    bits; ``component_id`` is the smallest id reachable. Very long texts are hashed as a whole, in one task. Null, empty and wordless texts have fingerprint 0
     and link like any other. Null ids never name a component; a component of null ids only has a null one.
     Repeated rows are returned as often as they came. An empty table gives an empty result. Extra columns
     are not read.
@@ -170,8 +183,8 @@ def placed_rows(rows: DataFrame, bits: int = 4) -> DataFrame:
     groups = staged(linked(fps.select("fp"), bits), "simhash-linked")
     named = fps.join(groups, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = staged(named.join(ids, "component").select("fp", "component_id"), "simhash-ids")
-    return rows.join(ids, "fp")
+    ids = staged(skew_join(named, ids, "component").select("fp", "component_id"), "simhash-ids")
+    return skew_join(rows, ids, "fp")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
