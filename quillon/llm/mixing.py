@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import WORD, whole
+from quillon.llm.common import WORD, skew_join, whole
 from quillon.staging import staged
 
 #: Rows of a source that one sort of its shuffled order holds, about.
 SLICE_ROWS = 4000
-#: Virtual time is cut into this many slices for each ``SLICE_ROWS`` queued rows.
+#: Rows in a range of the global sort by finish time, about.
+RANGE_ROWS = 50_000
+#: Sums of so many slices or ranges are added up by one task.
+SUMS = 1000
+#: Up to so many sources go along with the tasks.
 BROADCAST_SOURCES = 100_000
 
 
@@ -19,7 +23,7 @@ def word_count(text: str = "text") -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
-    """``source, source_size, n_docs, target`` from rows of ``source, size``.
+    """``source, nth, source_size, n_docs, target`` from rows of ``source, size``.
 
     The sources, by code point with null last, weigh ``weights`` in turn. The total of all sizes is dealt
     out by weight; no target exceeds ``cap`` times its source's size, and what is over is dealt out again
@@ -30,9 +34,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap:
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    nth = (F.row_number().over(by_name) - 1) % len(weights)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), nth + 1)
-    per = per.withColumn("weight", weight)
+    per = per.withColumn("nth", F.row_number().over(by_name) - 1)
+    per = per.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("nth") % len(weights) + 1))
     # A source is held at its cap before any other that has more room for its weight: in order of
     # room, the first source whose share does not exceed its cap ends the capped ones.
     room = Window.orderBy((F.col("source_size") * cap / F.col("weight")), F.col("source").asc_nulls_last())
@@ -45,7 +48,20 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap:
     per = per.withColumn("capped", capped)
     rate = F.min(F.when(~F.col("capped"), F.struct(F.col("source_size") * cap / F.col("weight"), F.col("source").isNull(), "source", "rate"))).over(everything)
     target = F.when(F.col("capped"), (F.col("source_size") * cap).cast("double")).otherwise(rate["rate"] * F.col("weight"))
-    return per.select("source", "source_size", "n_docs", target.alias("target"))
+    return per.select("source", "nth", "source_size", "n_docs", target.alias("target"))
+
+
+def words_ahead(sums: DataFrame, order: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``by, order, ahead``: the ``words`` of all rows before, in order within ``by``.
+
+    Added up by blocks of ``SUMS`` rows and within them, so that one task holds a share of the sums only.
+    """
+    sums = sums.withColumn("block", F.floor(F.col(order) / SUMS))
+    until = lambda order, *by: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = sums.groupBy(*by, "block").agg(F.sum("words").alias("words"))
+    blocks = blocks.select(*by, "block", F.coalesce(F.sum("words").over(until("block", *by)), F.lit(0)).alias("before"))
+    within = F.coalesce(F.sum("words").over(until(order, *by, "block")), F.lit(0))
+    return sums.withColumn("within", within).join(blocks, [*by, "block"]).select(*by, order, (F.col("before") + F.col("within")).alias("ahead"))
 
 
 def mixed(
@@ -62,17 +78,17 @@ def mixed(
 
     Weighted fair queueing: the rows of a source are queued in shuffled order, up to ``cap`` times in
     a row; each gets a virtual finish time, the cumulative words of its source divided by the source's
-    target. All sources' queues are merged by finish time and cut where the words of the total budget
+    target. All sources' queues are range-sorted by finish time and cut where the words of the total budget
     (all words there are) are used up; the row at the cut is taken in part.
 
     A row of no words is taken with 0 words. Null texts count as empty, null sources are one source,
-    repeated rows are queued apart, ties are broken by the shuffle digest and the id. An empty table
-    gives an empty result. Extra columns are not read. ``row_col`` names a column that numbers the rows; it
-    is then returned as ``row``, since neither ids nor texts tell repeated rows apart.
+    repeated rows are queued apart, ties are broken by the shuffle digest and the row. Rows that share an id,
+    or have none, are shuffled by their row number too. An empty table gives an empty result. Extra columns
+    are not read; of a text, however long, only its number of words goes on. ``row_col`` names a column
+    that numbers the rows; it is then returned as ``row``, since neither ids nor texts tell repeated rows apart.
 
     A hot source is never gathered: its shuffled order is cut into slices of about ``SLICE_ROWS`` rows by
-    the digest, and virtual time is cut into slices of equal width, through which the merged queues run
-    at an even rate of words; only the slices' sums are added up in order.
+    the digest; of slices and of ranges of finish times only the sums are added up in order.
     """
     sized = docs.select(
         (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"),
@@ -87,41 +103,40 @@ def mixed(
         sources = F.broadcast(sources)
     else:
         sources = sources.repartition("source")
-    rows = sized.join(sources, sized.source.eqNullSafe(sources.source)).drop(sources.source)
+    rows = sized.join(sources, sized.source.eqNullSafe(sources.source)).drop("source")
     # The shuffle: a digest in [0, 1) for each pass over the source.
     passes = F.least(F.lit(cap), F.floor(F.col("target") / F.greatest(F.col("source_size"), F.lit(1))).cast("int") + 1)
-    queue = rows.where("size > 0").withColumn("pass", F.explode(F.sequence(F.lit(0), passes - 1)))
-    digest = F.md5(F.concat_ws(":", F.lit(seed), "pass", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    queue = queue.withColumn("digest", digest).withColumn(
-        "place", F.conv(F.substring("digest", 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
-    )
-    n_slices = F.ceil(F.col("n_docs") / SLICE_ROWS)
-    queue = queue.withColumn("slice", F.floor(F.col("place") * n_slices))
-    queue = staged(queue, "mix-queue")
-    key = ["source", "pass", "slice"]
-    slices = queue.groupBy(key).agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("source", "pass").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = slices.select(*[F.col(k).alias(f"s_{k}") for k in key], F.coalesce(F.sum("words").over(before), F.lit(0)).alias("ahead"))
+    queue = _told_apart(rows.where("size > 0")).withColumn("pass", F.explode(F.sequence(F.lit(0), passes - 1)))
+    digest = F.md5(F.concat_ws(":", F.lit(seed), "pass", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "again"))
+    place = F.conv(F.substring("digest", 1, 8), 16, 10).cast("double") / F.lit(float(2**32))
+    queue = queue.withColumn("digest", digest).withColumn("slice", F.floor(place * F.ceil(F.col("n_docs") / SLICE_ROWS)))
+    queue = staged(queue.drop("again"), "mix-queue")
+    key = ["nth", "pass", "slice"]
+    ahead = words_ahead(staged(queue.groupBy(key).agg(F.sum("size").alias("words")), "mix-slices"), "slice", ("nth", "pass"))
     within = Window.partitionBy(key).orderBy("digest", "doc_id", "row").rowsBetween(Window.unboundedPreceding, 0)
-    timed = queue.withColumn("so_far", F.sum("size").over(within)).join(
-        slices,
-        F.col("source").eqNullSafe(F.col("s_source")) & (F.col("pass") == F.col("s_pass")) & (F.col("slice") == F.col("s_slice")),
-    )
+    timed = queue.withColumn("so_far", F.sum("size").over(within)).join(ahead, key)
     done = F.col("pass") * F.col("source_size") + F.col("ahead") + F.col("so_far")
-    timed = timed.select("row", "size", "digest", (done / F.col("target")).alias("finish"))
-    width = max(1, -(-n_docs // SLICE_ROWS)) if n_docs else 1
-    timed = staged(timed.withColumn("slot", F.floor(F.col("finish") * width)), "mix-times")
-    # Global order by finish time: slots of virtual time, sorted within.
-    slots = timed.groupBy("slot").agg(F.sum("size").alias("words"))
-    slots = slots.select(
-        F.col("slot").alias("o_slot"),
-        F.coalesce(F.sum("words").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"),
-    )
-    in_slot = Window.partitionBy("slot").orderBy("finish", "digest", "row").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = F.coalesce(F.sum("size").over(in_slot), F.lit(0))
-    taken = timed.withColumn("in_slot", ahead).join(slots, F.col("slot") == F.col("o_slot"))
-    taken = taken.select("row", F.greatest(F.lit(0), F.least("size", F.lit(budget or 0) - F.col("ahead") - F.col("in_slot"))).alias("part"))
-    taken = taken.groupBy("row").agg(F.sum("part").alias("taken"))
+    timed = staged(timed.select("row", "size", "digest", (done / F.col("target")).alias("finish")), "mix-times")
+    # The global sort by finish time: ranges, numbered in order, and sorted within.
+    ranges = max(1, -(-timed.count() // RANGE_ROWS))
+    ranged = timed.repartitionByRange(ranges, "finish", "digest", "row").withColumn("range", F.spark_partition_id())
+    ranged = staged(ranged, "mix-ranges")
+    ahead = words_ahead(staged(ranged.groupBy("range").agg(F.sum("size").alias("words")), "mix-range-sums"), "range")
+    within = Window.partitionBy("range").orderBy("finish", "digest", "row").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("size").over(within), F.lit(0)) + F.col("ahead")
+    taken = ranged.join(ahead, "range").withColumn("before", before)
+    taken = taken.groupBy("row").agg(F.sum(F.greatest(F.lit(0), F.least("size", F.lit(budget or 0) - F.col("before")))).alias("taken"))
     return rows.join(taken, "row", "left").select(
         *(["row"] if row_col else []), "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
     )
+
+
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``again``: the row number as text where several rows share the id, else null."""
+    many = staged(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("many")), "mix-repeated")
+    if many.isEmpty():
+        return rows.withColumn("again", F.lit(None).cast("string"))
+    nulls = not many.where("doc_id is null").isEmpty()
+    rows = skew_join(rows, many.where("doc_id is not null"), "doc_id", "left")
+    again = F.col("many") | (F.col("doc_id").isNull() & F.lit(nulls))
+    return rows.withColumn("again", F.when(again, F.col("row").cast("string"))).drop("many")
