@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from quillon.llm.common import whole
 
 META = "▁"
-#: Words remembered per task, and the longest that is.
-CACHE_WORDS = 500_000
+#: Parts remembered per task, their characters in all, and the longest that is remembered.
+CACHE_WORDS, CACHE_CHARS, CACHE_LONGEST = 500_000, 6_000_000, 100
 #: normalizer_spec { add_dummy_prefix: false }, as a message to merge into a model's.
 NO_PREFIX = b"\x1a\x02\x18\x00"
 #: Parts of so many characters are merged without a heap.
@@ -47,6 +47,8 @@ class Agenda:
         inner = "".join(re.escape(c) for c in sorted(merging - {META}))
         self.parts = re.compile(f"{META}+[{inner}]*|[{inner}]+|.", re.DOTALL).findall
         self.seen: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.chars = 0
+        self.long: list[str] = []
 
     def merge(self, part: str) -> tuple[int, ...]:
         """Join the adjacent pair whose piece scores highest, the leftmost of equals, until no pair is a piece."""
@@ -111,9 +113,12 @@ class Agenda:
 
         Returns the parts on which the two differ; for those the library's ids are kept.
         """
-        if len(self.seen) > CACHE_WORDS:
-            self.seen.clear()
         seen = self.seen
+        for part in self.long:
+            seen.pop(part, None)
+        if len(seen) > CACHE_WORDS or self.chars > CACHE_CHARS:
+            seen.clear()
+            self.chars = 0
         new = list(set(chain.from_iterable(texts)).difference(seen))
         differ = set()
         for part, theirs in zip(new, self.exact.encode(new, num_threads=1) if new else [], strict=True):
@@ -122,6 +127,8 @@ class Agenda:
                 differ.add(part)
                 mine = tuple(theirs)
             seen[part] = (mine, ",".join(map(str, mine)))
+        self.long = [part for part in new if len(part) > CACHE_LONGEST]
+        self.chars += sum(map(len, new)) - sum(map(len, self.long))
         return differ
 
     def encode(self, parts: list[str]) -> tuple[list[int], str]:
@@ -139,33 +146,35 @@ def _coder(model_file: str, texts_out: bool):
         agenda = Agenda(model_file)
         library = agenda.library
         gc.disable()  # the remembered words hold no cycles; walking through them again and again is most of the cost
-        for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                texts: list[str] = []
-                chars = 0
-                while at + len(texts) < batch.num_rows and (not texts or chars < BATCH_CHARS):
-                    texts.append(batch.column(1)[at + len(texts)].as_py())
-                    chars += len(texts[-1])
-                parts = [agenda.split(t) for t in texts]
-                differ = agenda.learn(parts)
-                mine = [agenda.encode(p) for p in parts]
-                agree = [not differ or differ.isdisjoint(p) for p in parts]
-                decoded = [library.decode(ids) for ids, _ in mine]
-                columns = [
-                    batch.column(0)[at : at + len(texts)],
-                    pa.array([len(ids) for ids, _ in mine], pa.int64()),
-                    pa.array([hashlib.sha256(s.encode()).hexdigest() for _, s in mine]),
-                    pa.array([_sha(d) for d in decoded]),
-                    pa.array(agree),
-                ]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "agenda_agrees"]
-                if texts_out:
-                    columns += [pa.array([ids for ids, _ in mine], pa.list_(pa.int32())), pa.array(decoded)]
-                    names += ["ids", "decoded"]
-                yield pa.RecordBatch.from_arrays(columns, names)
-                at += len(texts)
-        gc.enable()
+        try:
+            for batch in batches:
+                at = 0
+                while at < batch.num_rows:
+                    texts: list[str] = []
+                    chars = 0
+                    while at + len(texts) < batch.num_rows and (not texts or chars < BATCH_CHARS):
+                        texts.append(batch.column(1)[at + len(texts)].as_py())
+                        chars += len(texts[-1])
+                    parts = [agenda.split(t) for t in texts]
+                    differ = agenda.learn(parts)
+                    mine = [agenda.encode(p) for p in parts]
+                    agree = [not differ or differ.isdisjoint(p) for p in parts]
+                    decoded = [library.decode(ids) for ids, _ in mine]
+                    columns = [
+                        batch.column(0)[at : at + len(texts)],
+                        pa.array([len(ids) for ids, _ in mine], pa.int64()),
+                        pa.array([hashlib.sha256(s.encode()).hexdigest() for _, s in mine]),
+                        pa.array([_sha(d) for d in decoded]),
+                        pa.array(agree),
+                    ]
+                    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "agenda_agrees"]
+                    if texts_out:
+                        columns += [pa.array([ids for ids, _ in mine], pa.list_(pa.int32())), pa.array(decoded)]
+                        names += ["ids", "decoded"]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+                    at += len(texts)
+        finally:
+            gc.enable()
 
     return code
 
@@ -182,7 +191,8 @@ def coded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model
     With ``texts_out`` also ``ids`` and ``decoded``. No begin or end ids, no sampling. In each batch the parts
     not met before are checked against the library: where the agenda differs from it, ``agenda_agrees`` is
     false and the library's ids are returned. Null texts count as empty: no ids, empty decoded text. Repeated rows and null ids are
-    kept, an empty table gives an empty result, extra columns are not read.
+    kept, an empty table gives an empty result, extra columns are not read. A very long text is split and merged as a
+    whole, in one task; its parts of over ``CACHE_LONGEST`` characters are forgotten with the batch.
 
     The model file must be at the same place on all executors, as an installed vocabulary package is.
     """
