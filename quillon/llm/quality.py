@@ -90,10 +90,14 @@ def estimated_prior(scores_positive: np.ndarray, scores_unlabelled: np.ndarray)
     return float(np.clip(min((scores_unlabelled >= c).mean() / max((scores_positive >= c).mean(), 1e-9) for c in cuts), 0.05, 0.95))
 
 
+def place_of(id_col: str, text_col: str) -> Column:
+    """The place of a row in [0, 1), by a digest of id and text: rows that share an id are dealt apart."""
+    return F.pmod(F.xxhash64(F.lit("quality"), F.col(id_col), F.col(text_col)), F.lit(1 << 30)) / float(1 << 30)
+
+
 def sampled(rows: DataFrame, id_col: str, text_col: str, count: int, most: int) -> np.ndarray:
-    """Features of about ``most`` rows (expected), chosen by a digest of the id; computed on the executors."""
-    place = F.pmod(F.xxhash64(F.lit("quality"), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.where(place < F.lit(min(1.0, most / max(1, count)))).select(whole(text_col).alias("text"))
+    """Features of about ``most`` rows (expected), chosen by a digest, equal texts once; computed on the executors."""
+    chosen = rows.where(place_of(id_col, text_col) < F.lit(min(1.0, most / max(1, count)))).select(whole(text_col).alias("text")).distinct()
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,9 +125,8 @@ def learned(
     if not n_positive:
         return None
     # The bounded sample is taken before the join: few rows carry their texts into it.
-    place = F.pmod(F.xxhash64(F.lit("quality"), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
     few = known.where("label = 1")
-    some = docs.where(learn).where(place < F.lit(min(1.0, most_positive / n_positive))).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    some = docs.where(learn).where(place_of(id_col, text_col) < F.lit(min(1.0, most_positive / n_positive))).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     trusted = some.join(few, F.col("id") == F.col("known_id"), "left_semi")
     positive = sampled(trusted, "id", "text", n_positive, most_positive)
     n_docs = docs.where(learn).count()
@@ -160,8 +163,9 @@ def scored(
     learning on a bounded sample (``most_positive`` trusted positives and ``most_unlabelled`` texts, both
     expected numbers) of the rows that are not ``held_out``. Labels, languages, sources and ids are no
     inputs of a score. Null texts count as empty and get the score of an empty text; without any positive
-    label every score is 0.5. Repeated rows are kept, an empty table gives an empty result, extra columns
-    are not read.
+    label every score is 0.5. Repeated rows are kept, and learned from once; of an id with several labels the
+    greatest counts; an empty table gives an empty result; extra columns are not read. A very long text is measured
+    as a whole, in one task.
     """
     weights = learned(docs, labels, ~held_out, id_col, text_col, label_col, most_positive, most_unlabelled)
     out = _scores(docs, F.col(id_col), weights, text_col, held_out).withColumnRenamed("key", "doc_id")

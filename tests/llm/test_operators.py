@@ -502,6 +502,51 @@ def test_mixing(spark, prose, awkward, empty, monkeypatch, slice_rows):
     assert mixing.mixed(empty).count() == 0
 
 
+def brute_mix(rows, weights=(5, 2, 1), cap=3):
+    """Words taken of each row ``(id, text, source)``, by one queue after another in Python."""
+    size = [len((t or "").split()) for _, t, _ in rows]
+    names = sorted({s for *_, s in rows if s is not None}) + ([None] if any(s is None for *_, s in rows) else [])
+    words = {n: sum(z for z, (*_, s) in zip(size, rows, strict=True) if s == n) for n in names}
+    weight, total, capped = {n: weights[i % len(weights)] for i, n in enumerate(names)}, sum(size), set()
+    while True:
+        left, w = total - sum(cap * words[k] for k in capped), sum(weight[k] for k in names if k not in capped)
+        over = {k for k in names if k not in capped and left * weight[k] / w >= cap * words[k]}
+        if not over:
+            break
+        capped |= over
+    target = {k: float(cap * words[k]) if k in capped else left * weight[k] / w for k in names}
+    often = Counter(i for (i, *_), z in zip(rows, size, strict=True) if z)
+    queue = []
+    for n in names:
+        for p in range(min(cap, int(target[n] // max(words[n], 1)) + 1)):
+            of = []
+            for r, (i, _, s) in enumerate(rows):
+                if s == n and size[r]:
+                    again = f":{r}" if often[i] > 1 else ""
+                    of.append((hashlib.md5(f"mix:{p}:{'' if i is None else i}{again}".encode()).hexdigest(), r))
+            so_far = p * words[n]
+            for digest, r in sorted(of):
+                so_far += size[r]
+                queue.append((so_far / target[n], digest, r))
+    taken, left = [0] * len(rows), total
+    for _, _, r in sorted(queue):
+        part = max(0, min(size[r], left))
+        taken[r], left = taken[r] + part, left - part
+    return taken
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_mixing_queues(spark, prose, monkeypatch, small):
+    """The whole mix against queues in Python; rows of null and of repeated ids are told apart by their number."""
+    if small:
+        for name, value in (("SLICE_ROWS", 3), ("RANGE_ROWS", 7), ("SUMS", 2), ("BROADCAST_SOURCES", 0)):
+            monkeypatch.setattr(mixing, name, value)
+    rows = [([None, 5, 1000 + i][i % 3], t, ["a", "b", None, "c", "b"][i % 5]) for i, t in enumerate(prose)] + [(None, None, "a"), (5, "", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).withColumn("n", F.monotonically_increasing_id())
+    got = {r.row: r.taken for r in mixing.mixed(docs, row_col="n").collect()}
+    assert got == dict(enumerate(brute_mix(rows)))
+
+
 # 8 ---------------------------------------------------------------------------------------------------
 
 
@@ -523,6 +568,29 @@ def test_sentencepiece(spark, awkward, prose, empty):
     assert sentencepiece_codec.coded(empty).count() == 0
 
 
+def test_sentencepiece_forgets_long_parts():
+    agenda = sentencepiece_codec.Agenda(sentencepiece_codec.default_model())
+    for text in ("a" * 5000, "short words", "b" * 7000 + " tail"):
+        parts = agenda.split(text)
+        assert agenda.learn([parts]) == set() and agenda.encode(parts)[0] == agenda.library.encode(text)
+    assert agenda.learn([[]]) == set() and max(map(len, agenda.seen)) <= sentencepiece_codec.CACHE_LONGEST
+    assert agenda.chars == sum(map(len, agenda.seen))
+
+
+def test_sentencepiece_query(spark):
+    """The query's whole result against the library, and the agenda's own ids were right throughout."""
+    from quillon.llm.queries import op8_sentencepiece
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    library = sentencepiece_codec.Agenda(sentencepiece_codec.default_model()).library
+    rows = op8_sentencepiece(spark, sf).collect()
+    assert len(rows) == len(texts) and all(r.agenda_agrees for r in rows)
+    for r in rows:
+        ids = library.encode(texts[r.doc_id])
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids)))
+
+
 # 9 ---------------------------------------------------------------------------------------------------
 
 
@@ -552,6 +620,22 @@ def test_quality_risk():
     assert ((g > 0) == (np.arange(1000) < 700)).mean() > 0.93
 
 
+def test_quality_prior():
+    """The share of positives in a mixture, from scores alone."""
+    rng = np.random.default_rng(6)
+    for share in (0.2, 0.5, 0.8):
+        mixture = np.concatenate([rng.normal(3, 1, int(4000 * share)), rng.normal(-3, 1, 4000 - int(4000 * share))])
+        assert quality.estimated_prior(rng.normal(3, 1, 3000), mixture) == pytest.approx(share, abs=0.06)
+
+
+def test_quality_sample_of_hot_rows(spark):
+    """Rows without an id, or of one id, are sampled like others, and equal ones once."""
+    rows = [(None, f"text number {i}") for i in range(3000)] + [(7, f"another {i}") for i in range(3000)] + [(7, "the same")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = quality.sampled(docs, "doc_id", "text", len(rows), 900)
+    assert 400 < len(got) < 800
+
+
 # 10 --------------------------------------------------------------------------------------------------
 
 
