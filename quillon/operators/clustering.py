@@ -2,61 +2,113 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import dot, l2_normalize
+from quillon.functions.vocabularies import LABEL_STOP_WORDS
 from quillon.operators.knowledge import gate_knn
+from quillon.operators.products import best as best_of
+from quillon.operators.products import totals
 from quillon.staging import staged
 
 
+def _matrix(batch: pa.RecordBatch, column: int) -> np.ndarray:
+    return batch.column(column).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+
+
+def _assigned(centres: np.ndarray):
+    """``id, cluster, s`` of the nearest centre, the first of equals."""
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                s = np.round(_matrix(batch, 1) @ centres.T, 12)
+                at = s.argmax(1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.int32()), pa.array(s[np.arange(len(at)), at])], ["id", "cluster", "s"])
+
+    return assign
+
+
+def _sums(centres: np.ndarray):
+    """``cluster, n, total``: of each batch the vectors added up by nearest centre."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                u = _matrix(batch, 1)
+                at = np.round(u @ centres.T, 12).argmax(1)
+                found, n = np.unique(at, return_counts=True)
+                total = [u[at == c].sum(0) for c in found]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(n), pa.array(total, pa.list_(pa.float64()))], ["cluster", "n", "total"])
+
+    return add
+
+
 def kmeans(vectors: DataFrame, k: int, max_rounds: int = 50) -> tuple[DataFrame, DataFrame]:
     """Spherical k-means over ``id, v``: assignments ``id, cluster, distance`` and centres ``cluster, centre``.
 
     Begins with the vector of the largest norm, then each time with the one farthest from all centres;
-    assigns to the centre of the largest inner product, the first of equals. Centres are a bounded set.
+    assigns to the centre of the largest inner product, the first of equals; ends when no centre moves or after
+    ``max_rounds``. The ``k`` centres go along with the tasks, which add up their vectors before the exchange.
     """
     spark = vectors.sparkSession
     rows = staged(vectors.select("id", l2_normalize("v").alias("u"), F.sqrt(dot("v", "v")).alias("size")), "kmeans-rows")
-    if rows.isEmpty():
+    n = rows.count()
+    if not n:
         return rows.select("id", F.lit(0).alias("cluster"), F.lit(0.0).alias("distance")), spark.createDataFrame([], "cluster int, centre array<double>")
-    first = rows.orderBy(F.desc("size"), "id").first()
-    centres = [list(first["u"])]
-    near = rows.select("id", "u", (1 - dot("u", F.array(*map(F.lit, centres[0])))).alias("d"))
-    for _ in range(1, min(k, rows.count())):
-        far = near.orderBy(F.desc("d"), "id").first()
-        centres.append(list(far["u"]))
-        near = staged(near.select("id", "u", F.least("d", 1 - dot("u", F.array(*map(F.lit, centres[-1])))).alias("d")), "kmeans-near")
-    schema = "cluster int, centre array<double>"
-    old = None
+    kind = rows.schema["id"].dataType.simpleString()
+    assigned = lambda c: rows.select("id", "u").mapInArrow(_assigned(c), f"id {kind}, cluster int, s double")
+    centres = np.array([rows.orderBy(F.desc("size"), "id").first()["u"]])
+    for _ in range(1, min(k, n)):
+        far = assigned(centres).orderBy("s", "id").first()["id"]
+        centres = np.vstack([centres, rows.where(F.col("id") == F.lit(far)).first()["u"]])
     for _ in range(max_rounds):
-        table = spark.createDataFrame(list(enumerate(centres)), schema)
-        scored = rows.crossJoin(F.broadcast(table)).select("id", "u", "cluster", F.round(dot("u", "centre"), 12).alias("s"))
-        got = staged(scored.groupBy("id").agg(F.max_by(F.struct("cluster", "u", "s"), F.struct("s", -F.col("cluster"))).alias("b")).select("id", "b.*"), "kmeans-round")
-        if old is not None and got.join(old.select("id", F.col("cluster").alias("was")), "id").where("cluster <> was").isEmpty():
+        sums = rows.select("id", "u").mapInArrow(_sums(centres), "cluster int, n long, total array<double>")
+        sums = sums.select("cluster", "n", F.posexplode("total").alias("dim", "x")).groupBy("cluster", "dim").agg((F.sum("x") / F.sum("n")).alias("x")).collect()  # a few numbers a centre
+        moved = np.zeros_like(centres)
+        for r in sums:
+            moved[r["cluster"], r["dim"]] = r["x"]
+        size = np.sqrt((moved**2).sum(1, keepdims=True))
+        moved = np.where(size >= 1e-12, moved / np.maximum(size, 1e-12), 0.0)
+        still = np.abs(moved - centres).max() <= 1e-12
+        if still:
             break
-        means = got.select("cluster", F.posexplode("u").alias("dim", "x")).groupBy("cluster", "dim").agg(F.avg("x").alias("x"))
-        means = means.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda e: e["x"]).alias("m")).select("cluster", l2_normalize("m").alias("m"))
-        moved = {r["cluster"]: list(r["m"]) for r in means.collect()}  # one row a cluster
-        centres = [moved.get(i, [0.0] * len(c)) for i, c in enumerate(centres)]
-        old = got
-    return got.select("id", "cluster", (1 - F.col("s")).alias("distance")), spark.createDataFrame(list(enumerate(centres)), schema)
+        used, centres = centres, moved
+    else:  # the last round's assignments are those to the centres before it
+        return _result(assigned(used)), _centres(spark, centres)
+    return _result(assigned(centres)), _centres(spark, centres)
+
+
+def _result(assigned: DataFrame) -> DataFrame:
+    return assigned.select("id", "cluster", (1 - F.col("s")).alias("distance"))
+
+
+def _centres(spark, centres: np.ndarray) -> DataFrame:
+    return spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cluster int, centre array<double>")
 
 
 def tfidf_labels(members: DataFrame, top: int = 5) -> DataFrame:
-    """``cluster, label, tokens`` from rows ``cluster, feature, text`` (tokens parted by ``|``)."""
+    """``cluster, label, tokens`` from rows ``cluster, feature, text`` (tokens parted by ``|``).
+
+    Stop words and tokens that are short or hardly plain do not count; a cluster without any other is named ``cluster-`` and its number.
+    """
     n = members.select("feature").distinct().count()
     words = members.select("cluster", F.explode(F.split(F.lower("text"), r"\|")).alias("w")).withColumn("w", F.trim("w"))
-    words = words.where((F.octet_length("w") >= 3) & (2 * F.length(F.regexp_replace("w", "[^A-Za-z0-9]", "")) >= F.length("w")))
+    words = words.where((F.octet_length("w") >= 3) & (2 * F.length(F.regexp_replace("w", "[^A-Za-z0-9]", "")) >= F.length("w")) & ~F.col("w").isin(LABEL_STOP_WORDS))
     tf = words.groupBy("cluster", "w").agg(F.count("*").alias("n"))
     whole = tf.groupBy("cluster").agg(F.sum("n").alias("all"))
     everywhere = tf.groupBy("w").agg(F.sum("n").alias("everywhere"))
     scored = tf.join(whole, "cluster").join(everywhere, "w").withColumn("score", F.col("n") / F.col("all") * F.log(F.lit(float(n)) / F.col("everywhere")))
     best = scored.withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy(F.round("score", 9).desc(), F.desc("n"), "w"))).where(F.col("r") <= top)
     out = best.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "w"))), lambda e: e["w"]).alias("tokens"))
-    return out.select("cluster", F.array_join(F.slice("tokens", 1, 3), "/").alias("label"), "tokens")
+    out = members.select("cluster").distinct().join(out, "cluster", "left")
+    label = F.coalesce(F.array_join(F.slice("tokens", 1, 3), "/"), F.concat(F.lit("cluster-"), F.col("cluster").cast("string")))
+    return out.select("cluster", label.alias("label"), F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
 
 
 def pair_labels(pairs: DataFrame, relations: DataFrame) -> DataFrame:
@@ -90,11 +142,13 @@ def confirmed_pairs(probed: DataFrame, features: DataFrame, most: int = 20) -> D
 
 def classify_direction(vectors: DataFrame, centres: DataFrame) -> DataFrame:
     """``id, cluster, cosine`` of the nearest centre; zero vectors are in cluster 0 with 0."""
-    size = lambda c: F.sqrt(dot(c, c))
-    both = vectors.crossJoin(F.broadcast(centres)).where(size("centre") >= 1e-8)
-    scored = both.select("id", "cluster", F.when(size("v") >= 1e-8, F.round(dot("v", "centre") / (size("v") * size("centre")), 9)).alias("s"))
-    best = scored.groupBy("id").agg(F.max_by("cluster", F.struct("s", -F.col("cluster"))).alias("cluster"), F.max("s").alias("cosine"))
-    return best.select("id", F.when(F.col("cosine").isNull(), 0).otherwise(F.col("cluster")).alias("cluster"), F.coalesce("cosine", F.lit(0.0)).alias("cosine"))
+    unit = lambda c: F.transform(c, lambda x: x / F.sqrt(dot(c, c)))
+    long = lambda c: F.sqrt(dot(c, c)) >= 1e-8
+    v = vectors.where(long("v")).select("id", unit("v").alias("u"))
+    c = centres.where(long("centre")).select("cluster", unit("centre").alias("c"))
+    found = best_of(v, c, 1, [F.col("cluster")], left_vector="u", right_vector="c", key=["id"]).select(F.col("id").alias("found_id"), "cluster", "score")
+    every = vectors.join(found, F.col("id") == F.col("found_id"), "left")
+    return every.select("id", F.coalesce("cluster", F.lit(0)).alias("cluster"), F.coalesce("score", F.lit(0.0)).alias("cosine"))
 
 
 def layer_stats(edges: DataFrame) -> DataFrame:
@@ -109,33 +163,43 @@ def layer_stats(edges: DataFrame) -> DataFrame:
 
 def weight_walk(features: DataFrame, tokens: DataFrame, k: int = 5, least: float = 0.02) -> DataFrame:
     """Edges input token → output token of each feature: best inputs by gate, best outputs by ``top_k``, normalised per layer."""
-    ins = features.drop("token_id").crossJoin(F.broadcast(tokens.select("token_id", F.col("token").alias("subject"), "embedding")))
-    ins = ins.select("layer", "feature", "subject", "token_id", F.round(dot("gate", "embedding"), 9).alias("c_in"), "top_k").where(F.col("c_in") >= least)
-    order = Window.partitionBy("layer", "feature").orderBy(F.desc("c_in"), "token_id")
-    ins = ins.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
-    edges = ins.select("layer", "feature", "subject", "c_in", F.explode(F.slice("top_k", 1, k)).alias("o")).where(F.col("o.logit") >= least)
-    edges = edges.select("layer", "feature", "subject", F.col("o.token").alias("object"), "c_in", F.col("o.logit").alias("c_out"))
-    per = Window.partitionBy("layer")
+    words = tokens.select("token_id", F.col("token").alias("subject"), "embedding")
+    ins = best_of(features.select("layer", "feature", "gate"), words, k, [F.col("token_id")], left_vector="gate", right_vector="embedding", key=["layer", "feature"], least=least)
+    outs = features.select("layer", "feature", F.explode(F.slice("top_k", 1, k)).alias("o")).where(F.col("o.logit") >= least)
+    edges = ins.select("layer", "feature", "subject", F.col("score").alias("c_in")).join(outs, ["layer", "feature"])
+    edges = staged(edges.select("layer", "feature", "subject", F.col("o.token").alias("object"), "c_in", F.col("o.logit").alias("c_out")), "walk-edges")
     raw = F.col("c_in") * F.col("c_out")
-    return edges.select("*", F.concat(F.lit("L"), "layer", F.lit("-F"), "feature").alias("relation"), (raw / F.max(raw).over(per)).alias("confidence"), (F.col("c_in") / F.max("c_in").over(per)).alias("selectivity"))
+    most = edges.groupBy("layer").agg(F.max(raw).alias("most"), F.max("c_in").alias("most_in"))  # one row a layer
+    names = ["layer", "feature", "subject", "object", "c_in", "c_out"]
+    return edges.join(most, "layer").select(
+        *names, F.concat(F.lit("L"), "layer", F.lit("-F"), "feature").alias("relation"), (raw / F.col("most")).alias("confidence"), (F.col("c_in") / F.col("most_in")).alias("selectivity"))
 
 
 def softmax_top(logits: DataFrame, k: int, temperature: float = 1.0, softcap: float | None = None) -> DataFrame:
     """``id, token_id, probability, rank`` from ``id, token_id, logit``: softcap, temperature, softmax over all, the best ``k``."""
     x = F.col("logit") if softcap is None else F.tanh(F.col("logit") / softcap) * softcap
-    x = x / max(temperature, 1e-6)
-    per = Window.partitionBy("id")
-    rows = logits.withColumn("x", x).withColumn("e", F.exp(F.col("x") - F.max("x").over(per)))
-    rows = rows.withColumn("probability", F.col("e") / F.sum("e").over(per))
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("x"), "token_id")))
-    return rows.where(F.col("rank") <= k).select("id", "token_id", "probability", "rank")
+    rows = logits.withColumn("x", x / max(temperature, 1e-6))
+    most = rows.groupBy("id").agg(F.max("x").alias("most"))
+    sums = rows.join(most, "id").groupBy(F.col("id").alias("of")).agg(F.sum(F.exp(F.col("x") - F.col("most"))).alias("all"), F.first("most").alias("most"))
+    top = rows.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("x"), "token_id"))).where(F.col("rank") <= k)
+    return top.join(sums, F.col("id") == F.col("of")).select("id", "token_id", (F.exp(F.col("x") - F.col("most")) / F.col("all")).alias("probability"), "rank")
 
 
-def answer_trajectory(nodes: DataFrame, tokens: DataFrame, answer_id: int) -> DataFrame:
-    """``trace_id, layer, rank, probability`` of one token at each node's residual: how the answer comes up layer by layer."""
-    logits = nodes.crossJoin(F.broadcast(tokens.select("token_id", "embedding"))).select("trace_id", "layer", "token_id", F.round(dot("residual", "embedding"), 9).alias("logit"))
-    per = Window.partitionBy("trace_id", "layer")
-    rows = logits.withColumn("e", F.exp("logit")).withColumn("probability", F.col("e") / F.sum("e").over(per)).withColumn("rank", F.rank().over(per.orderBy(F.desc("logit"))))
-    return rows.where(F.col("token_id") == answer_id).select("trace_id", "layer", "rank", "probability")
+def predictions(nodes: DataFrame, tokens: DataFrame, k: int, temperature: float = 1.0, softcap: float | None = None) -> DataFrame:
+    """As :func:`softmax_top`, of the products of each node (``id, residual``) and all tokens' embeddings, which are never listed."""
+    words, t = tokens.select("token_id", "embedding"), max(temperature, 1e-6)
+    shift = lambda s: (s if softcap is None else np.tanh(s / softcap) * softcap) / t
+    top = best_of(nodes, words, k, [F.col("token_id")], left_vector="residual", right_vector="embedding", key=["id"])
+    sums = totals(nodes, words, left_vector="residual", right_vector="embedding", key=["id"], shift=shift).select("id", "log_sum")
+    x = F.col("score") if softcap is None else F.tanh(F.col("score") / softcap) * softcap
+    return top.join(sums, "id").select("id", "token_id", F.exp(x / t - F.col("log_sum")).alias("probability"), "rank")
 
 
+def answer_trajectory(nodes: DataFrame, tokens: DataFrame, answer_id: int) -> DataFrame:
+    """``trace_id, layer, rank, probability`` of one token at each node's residual: how the answer comes up layer by layer."""
+    words, key = tokens.select("token_id", "embedding"), ["trace_id", "layer"]
+    answer = words.where(F.col("token_id") == answer_id)
+    own = best_of(nodes.select(*key, F.col("residual").alias("copy"), "residual"), answer, 1, [F.col("token_id")], left_vector="copy", right_vector="embedding", key=key)
+    marked = own.select(*key, "residual", F.col("score").alias("mark"))
+    sums = totals(marked, words, left_vector="residual", right_vector="embedding", key=[*key, "mark"], above="mark")
+    return sums.select(*key, (F.col("n_above") + 1).cast("int").alias("rank"), F.exp(F.col("mark") - F.col("log_sum")).alias("probability"))

@@ -6,16 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
-from quillon.functions.text import band, classify_relation, cosine_unless_zero, dot, is_content, is_readable, score_to_distance
+from quillon.functions.text import band, classify_relation, cosine_unless_zero, is_content, is_readable, score_to_distance
+from quillon.operators.products import best, everything
 from quillon.plans.model import Model, words_of
 
 GATE_THRESHOLD, DESCRIBE_TOP, SIMILAR_TOP = 5.0, 20, 50
-#: Queries that travel with the tasks as one matrix.
-MOST_QUERIES = 4096
 
 
 def token_ids(texts: DataFrame, model: Model, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -31,56 +30,36 @@ def embedded(texts: DataFrame, model: Model, mode: str = "average", id_col: str
     ids = token_ids(texts, model, id_col, text_col)
     if mode == "last":
         ids = ids.groupBy("id").agg(F.max_by("token_id", "pos").alias("token_id"))
-    rows = ids.join(model.tokens.select("token_id", "embedding"), "token_id").select("id", F.posexplode("embedding").alias("dim", "x"))
-    means = rows.groupBy("id", "dim").agg(F.avg(F.col("x") * model.scale).alias("x"))
-    return means.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda e: e["x"]).alias("q"))
+    counted = ids.groupBy("id", "token_id").agg(F.count("*").alias("n"))
+    rows = counted.join(model.tokens.select("token_id", "embedding"), "token_id").select("id", "n", "embedding")
+    kind = rows.schema["id"].dataType.simpleString()
+    sums = rows.repartition("id").sortWithinPartitions("id").mapInArrow(_vector_sums, f"id {kind}, n long, total array<double>")
+    sums = sums.select("id", "n", F.posexplode("total").alias("dim", "x")).groupBy("id", "dim").agg((F.sum("x") * model.scale / F.sum("n")).alias("x"))
+    return sums.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda e: e["x"]).alias("q"))
+
+
+def _vector_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``id, n, total`` of each run of rows ``id, n, vector`` of one id: the vectors, ``n`` times each, added up."""
+    for batch in batches:
+        if batch.num_rows:
+            n = batch.column(1).to_numpy()
+            vectors = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(len(n), -1) * n[:, None]
+            differs = pc.fill_null(pc.not_equal(batch.column(0)[1:], batch.column(0)[:-1]), True)
+            first = np.flatnonzero([True, *differs.to_pylist()])
+            total = np.add.reduceat(vectors, first, axis=0)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(first)), pa.array(np.add.reduceat(n, first)), pa.array(list(total), pa.list_(pa.float64()))], ["id", "n", "total"])
 
 
 def gate_scores(queries: DataFrame, features: DataFrame) -> DataFrame:
     """Every query (a stated set of ``id, q``, in blocks against all features) with every feature's signed score."""
-    return features.crossJoin(queries).withColumn("score", F.round(dot("gate", "q"), 9)).drop("q", "gate")
-
-
-def _best_of_batches(ids: pa.Array, q: np.ndarray, k: int, names: list[str]):
-    """Per Arrow batch and layer: the scores of all queries by one matrix product, and of these only the best ``k`` and their equals."""
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gates = batch.column(names.index("gate"))
-            if not batch.num_rows:
-                continue
-            scores = np.round(gates.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) @ q.T, 9)
-            layers = batch.column(names.index("layer")).to_numpy(zero_copy_only=False)
-            rest = batch.select([n for n in names if n != "gate"])
-            for layer in np.unique(layers):
-                rows = np.flatnonzero(layers == layer)
-                size = np.abs(scores[rows])
-                least = np.partition(size, -k, axis=0)[-k] if len(rows) > k else np.full(len(q), -1.0)
-                row, query = np.nonzero(size >= least)
-                out = rest.take(pa.array(rows[row]))
-                yield pa.RecordBatch.from_arrays([*out.columns, ids.take(pa.array(query)), pa.array(scores[rows[row], query])], [*out.schema.names, "id", "score"])
-
-    return score
+    return everything(queries.select("id", "q"), features, left_vector="q", right_vector="gate")
 
 
 def gate_knn(queries: DataFrame, features: DataFrame, k: int, first: int | None = None, last: int | None = None) -> DataFrame:
-    """Per query and layer the ``k`` features of the largest absolute score; ties by feature. ``first`` to ``last`` bounds the features.
-
-    Up to ``MOST_QUERIES`` queries travel with the tasks as one matrix, features stream by in Arrow batches,
-    and of each batch only candidates for the best ``k`` reach the exchange. More queries are joined instead.
-    """
+    """Per query and layer the ``k`` features of the largest absolute score; ties by feature. ``first`` to ``last`` bounds the features."""
     if first is not None:
         features = features.where((F.col("feature") >= first) & (F.col("feature") < last))
-    order = Window.partitionBy("id", "layer").orderBy(F.abs("score").desc(), "feature")
-    stated = queries.select("id", "q").limit(MOST_QUERIES + 1).toArrow()
-    if stated.num_rows > MOST_QUERIES or not stated.num_rows:
-        scored = gate_scores(queries, features)
-    else:
-        q = np.array(stated.column("q").to_pylist(), dtype=np.float64)
-        kept = features.where("gate is not null")
-        schema = StructType([*[f for f in kept.schema if f.name != "gate"], queries.schema["id"], StructField("score", DoubleType())])
-        scored = kept.mapInArrow(_best_of_batches(stated.column("id").combine_chunks(), q, k, kept.columns), schema)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best(queries.select("id", "q"), features, k, [F.col("feature")], left_vector="q", right_vector="gate", key=["id"], per="layer", magnitude=True)
 
 
 def also(top_k: Column | str = "top_k", n: int = 3, *keep: Column) -> Column:
@@ -134,7 +113,7 @@ def similarity(pairs: DataFrame, model: Model, max_layers: int = 0) -> DataFrame
 
 
 def ranked(candidates: DataFrame, query: str, model: Model, limit: int = 0) -> DataFrame:
-    """``id, similarity, distance`` of the texts of ``candidates`` to one query, best first; null and empty texts are left out."""
+    """``id, similarity, distance`` of the texts of ``candidates`` to one query, best first; texts that are null or hold no word are left out."""
     rows = candidates.where("text is not null and text <> ''").select("id", F.col("text").alias("a"), F.lit(query).alias("b"))
     out = similarity(rows, model).where("similarity is not null").withColumn("distance", score_to_distance(F.col("similarity")))
     out = out.orderBy(F.round("similarity", 6).desc(), "id")
@@ -164,12 +143,12 @@ def describe(entities: DataFrame, model: Model, threshold: float | None = None,
     others = F.transform(F.filter("top_k", lambda t: (t["logit"] > 0) & (t["token"] != F.col("token")) & (F.lower(t["token"]) != F.lower(F.col("entity")))), lambda t: t["token"])
     hits = hits.withColumn("secondaries", F.filter(F.slice(others, 1, 5), is_content))
     hits = hits.where((F.size("secondaries") > 0) | (F.col("score") >= 20)).withColumn("pos", F.col("layer") * 100_000 + F.col("rank"))
-    best = hits.groupBy("id", F.lower("token").alias("label")).agg(
+    found = hits.groupBy("id", F.lower("token").alias("label")).agg(
         F.min_by("token", "pos").alias("target"),
         F.max_by(F.struct("score", "layer", "secondaries"), F.struct("score", -F.col("pos"))).alias("best"),
     )
     relation = classify_relation(F.col("best.layer"), F.lit(model.layers), F.col("target"), F.col("best.score"), F.col("best.secondaries"))
-    return best.select("id", relation.alias("relation"), "target", F.col("best.score").alias("confidence"), F.col("best.layer").alias("layer"))
+    return found.select("id", relation.alias("relation"), "target", F.col("best.score").alias("confidence"), F.col("best.layer").alias("layer"))
 
 
 def describe_layers(entities: DataFrame, model: Model, threshold: float | None = None, top: int = DESCRIBE_TOP) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import dot, norm
+from quillon.operators.products import best as best_of
 from quillon.staging import staged
 
 REGISTRY = (
@@ -53,14 +54,13 @@ def route(queries: DataFrame, router: DataFrame, k: int, over_all: bool = False)
     The softmax runs over the chosen experts; with ``over_all`` over all of them first, scaled by ``scale``
     and made to sum to 1 over the chosen again before that.
     """
-    scored = router.crossJoin(queries).withColumn("score", F.round(dot("w", "x") + F.col("bias"), 9))
+    x = queries.select("id", F.concat("x", F.array(F.lit(1.0))).alias("x"))  # the bias is one more product
+    experts = router.select("layer", "expert", "scale", F.concat("w", F.array(F.col("bias").cast("double"))).alias("w"))
+    chosen = best_of(x, experts, k, [F.col("expert")], left_vector="x", right_vector="w", key=["id"], per="layer")
     per = Window.partitionBy("id", "layer")
-    scored = scored.withColumn("e", F.exp(F.col("score") - F.max("score").over(per)))
-    chosen = scored.withColumn("rank", F.row_number().over(per.orderBy(F.desc("score"), "expert"))).where(F.col("rank") <= k)
-    p = F.col("e") / F.sum("e").over(per)
-    if over_all:
-        p = p * F.col("scale")
-    return chosen.withColumn("probability", p).select("id", "layer", "expert", "rank", "score", "probability")
+    e = F.exp(F.col("score") - F.max("score").over(per))
+    p = e / F.sum(e).over(per)  # among the chosen, over all or not: the sum over all cancels out
+    return chosen.withColumn("probability", p * F.col("scale") if over_all else p).select("id", "layer", "expert", "rank", "score", "probability")
 
 
 def routed_totals(routed: DataFrame) -> DataFrame:
@@ -90,15 +90,26 @@ def approximate_knn(queries: DataFrame, features: DataFrame, k: int, tables: int
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _outer_sums(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """``key, at, x``: the sum over each key's rows of the outer products of two columns, added up in each task first."""
+    outer = F.flatten(F.transform(a, lambda x: F.transform(b, lambda y: x * y)))
+    return rows.select("key", F.posexplode(outer).alias("at", "x")).groupBy("key", "at").agg(F.sum("x").alias("x"))
+
+
 def ridge(groups: DataFrame, penalty: float) -> DataFrame:
-    """``key, delta`` of groups of rows ``key, k, t``: the weights that carry keys to targets, ``Tᵀ(KKᵀ + λI)⁻¹K``; one small system a group."""
+    """``key, delta`` of groups of rows ``key, k, t``: the weights that carry keys to targets, ``TᵀK(KᵀK + λI)⁻¹``.
+
+    Only sums of outer products, of the vectors' widths, reach the task of a group, which may be of any size.
+    """
+    sums = _outer_sums(groups, "k", "k").withColumn("of", F.lit("k")).unionByName(_outer_sums(groups, "t", "k").withColumn("of", F.lit("t")))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, targets = np.stack(pdf["k"].to_numpy()), np.stack(pdf["t"].to_numpy())
-        inner = keys @ keys.T + penalty * np.eye(len(keys))
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "delta": [(targets.T @ np.linalg.solve(inner, keys)).tolist()]})
+        gram, cross = (g.sort_values("at")["x"].to_numpy() for _, g in sorted(pdf.groupby("of")))
+        width = int(round(len(gram) ** 0.5))
+        inner = gram.reshape(width, width) + penalty * np.eye(width)
+        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "delta": [np.linalg.solve(inner, cross.reshape(-1, width).T).T.tolist()]})
 
-    return groups.groupBy("key").applyInPandas(solve, "key string, delta array<array<double>>")
+    return sums.groupBy("key").applyInPandas(solve, "key string, delta array<array<double>>")
 
 
 def singular_vectors(rows: DataFrame, k: int, rounds: int = 4, seed: int = 42) -> DataFrame:
@@ -106,8 +117,7 @@ def singular_vectors(rows: DataFrame, k: int, rounds: int = 4, seed: int = 42) -
 
     Each task adds up its rows' share of the Gram matrix (of the vectors' width), so a group may be of any size.
     """
-    outer = F.flatten(F.transform("v", lambda x: F.transform("v", lambda y: x * y)))
-    sums = rows.select("key", F.posexplode(outer).alias("at", "x")).groupBy("key", "at").agg(F.sum("x").alias("x"))
+    sums = _outer_sums(rows, "v", "v")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         gram = pdf.sort_values("at")["x"].to_numpy()
@@ -123,21 +133,33 @@ def singular_vectors(rows: DataFrame, k: int, rounds: int = 4, seed: int = 42) -
 def refined_gates(facts: DataFrame, decoys: DataFrame) -> DataFrame:
     """``layer, feature, gate, retained``: gates made orthogonal to the other facts' gates and decoys of their layer.
 
-    Facts of a layer are a handful of edits, so a layer is one group.
+    A layer's decoys enter by their span: an orthonormal basis of it, from the sum of their outer products, has no more
+    vectors than a gate has entries. Facts of a layer are the edits that one rewrite makes; they are one group.
     """
-    rows = facts.select("layer", "feature", F.col("gate").alias("v")).unionByName(decoys.select("layer", F.lit(-1).cast("long").alias("feature"), F.col("v")))
+    sums = _outer_sums(decoys.select(F.col("layer").alias("key"), "v"), "v", "v")
+
+    def span(pdf: pd.DataFrame) -> pd.DataFrame:
+        gram = pdf.sort_values("at")["x"].to_numpy()
+        width = int(round(len(gram) ** 0.5))
+        values, vectors = np.linalg.eigh(gram.reshape(width, width))
+        kept = vectors[:, values > 1e-12 * max(values.max(), 1e-12)]
+        return pd.DataFrame({"layer": [int(pdf["key"].iloc[0])], "basis": [kept.T.tolist()]})
+
+    spans = sums.groupBy("key").applyInPandas(span, "layer int, basis array<array<double>>")
+    rows = facts.select("layer", "feature", "gate").join(spans, "layer", "left")
 
     def refine(pdf: pd.DataFrame) -> pd.DataFrame:
-        vectors, ids = np.stack(pdf["v"].to_numpy()), pdf["feature"].to_numpy()
+        gates = np.stack(pdf["gate"].to_numpy())
+        first = pdf["basis"].iloc[0]
+        decoy = np.zeros((0, gates.shape[1])) if first is None else np.stack(list(first))
+        free = gates - gates @ decoy.T @ decoy
         out = []
-        for i in np.flatnonzero(ids >= 0):
-            basis: list[np.ndarray] = []
-            for j in np.flatnonzero(np.arange(len(ids)) != i):
-                q = vectors[j] - sum((b @ vectors[j]) * b for b in basis)
-                if np.linalg.norm(q) > 1e-6:
-                    basis.append(q / np.linalg.norm(q))
-            g = vectors[i] - sum((b @ vectors[i]) * b for b in basis)
-            out.append((int(pdf["layer"].iloc[0]), int(ids[i]), g.tolist(), float(np.linalg.norm(g) / max(np.linalg.norm(vectors[i]), 1e-12))))
+        for i in range(len(gates)):
+            others = np.delete(free, i, axis=0)
+            _, values, vectors = np.linalg.svd(others, full_matrices=False)
+            basis = vectors[values > 1e-6]
+            g = free[i] - free[i] @ basis.T @ basis
+            out.append((int(pdf["layer"].iloc[0]), int(pdf["feature"].iloc[i]), g.tolist(), float(np.linalg.norm(g) / max(np.linalg.norm(gates[i]), 1e-12))))
         return pd.DataFrame(out, columns=["layer", "feature", "gate", "retained"])
 
     return rows.groupBy("layer").applyInPandas(refine, "layer int, feature long, gate array<double>, retained double")
@@ -149,11 +171,10 @@ def whole_words(tokens: DataFrame) -> DataFrame:
 
 
 def gate_tokens(features: DataFrame, tokens: DataFrame) -> DataFrame:
-    """``layer, feature, token_id, score``: the word that activates each feature most; the vocabulary is bounded and broadcast."""
-    words = F.broadcast(whole_words(tokens).select(F.col("token_id").alias("word_id"), "embedding"))
-    scored = features.select("layer", "feature", "gate").crossJoin(words).select("layer", "feature", "word_id", F.round(dot("gate", "embedding"), 9).alias("score"))
-    best = scored.groupBy("layer", "feature").agg(F.max(F.struct("score", -F.col("word_id"))).alias("b"))
-    return best.select("layer", "feature", (-F.col("b")["col2"]).alias("token_id"), F.col("b.score").alias("score"))
+    """``layer, feature, token_id, score``: the word that activates each feature most."""
+    words = whole_words(tokens).select("token_id", "embedding")
+    found = best_of(features.select("layer", "feature", "gate"), words, 1, [F.col("token_id")], left_vector="gate", right_vector="embedding", key=["layer", "feature"])
+    return found.select("layer", "feature", "token_id", "score")
 
 
 def offset_directions(features: DataFrame, ins: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -166,11 +187,11 @@ def offset_directions(features: DataFrame, ins: DataFrame, tokens: DataFrame) ->
 
 def token_gate_index(features: DataFrame, tokens: DataFrame, k: int) -> DataFrame:
     """Per token the ``k`` features of the largest absolute ``silu(gate·e)``, ready to be looked up."""
-    x = F.col("x")
-    scored = features.select("layer", "feature", "gate").crossJoin(F.broadcast(tokens.select("token_id", "embedding"))).select("layer", "feature", "token_id", dot("gate", "embedding").alias("x"))
-    scored = scored.select("layer", "feature", "token_id", F.round(x / (1 + F.exp(-x)), 9).alias("act"))
-    order = Window.partitionBy("token_id").orderBy(F.abs("act").desc(), "layer", "feature")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    order = [F.col("layer"), F.col("feature")]
+    found = best_of(
+        tokens.select("token_id", "embedding"), features.select("layer", "feature", "gate"), k, order,
+        left_vector="embedding", right_vector="gate", key=["token_id"], magnitude=True, score=lambda x: x / (1 + np.exp(-x)))
+    return found.select("layer", "feature", "token_id", F.col("score").alias("act"), "rank")
 
 
 def looked_up(index: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -182,9 +203,10 @@ def looked_up(index: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 def walk_residuals(residuals: DataFrame, features: DataFrame, top: int = 20) -> DataFrame:
     """Hits of each layer's own residual (``id, layer, q``) in that layer, labelled ones only."""
-    scored = features.join(residuals, "layer").withColumn("score", F.round(dot("gate", "q"), 9))
-    order = Window.partitionBy("id", "layer").orderBy(F.abs("score").desc(), "feature")
-    return scored.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= top) & F.col("token").isNotNull()).select("id", "layer", "rank", "feature", "score", "token")
+    hits = best_of(
+        residuals.select("id", "layer", "q"), features.select("layer", "feature", "token", "gate"), top, [F.col("feature")],
+        left_vector="q", right_vector="gate", key=["id", "layer"], within="layer", magnitude=True)
+    return hits.where("token is not null").select("id", "layer", "rank", "feature", "score", "token")
 
 
 def covariance(rows: DataFrame) -> DataFrame:

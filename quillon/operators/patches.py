@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.text import dot, l2_normalize
+from quillon.functions.text import l2_normalize
+from quillon.operators.products import best
 
 PATCH_SCHEMA = (
     "patch_no int, op_no int, op string, layer int, feature long, target string, token_id long, "
@@ -71,9 +72,9 @@ def knn_entries(ops: DataFrame) -> DataFrame:
 
 def knn_query(entries: DataFrame, queries: DataFrame, k: int = 1) -> DataFrame:
     """Per query (``id, layer, q``) the ``k`` entries of its layer of the largest cosine."""
-    scored = entries.join(queries, "layer").withColumn("cosine", F.round(dot("key", l2_normalize("q")), 9))
-    order = Window.partitionBy("id", "layer").orderBy(F.desc("cosine"), "patch_no", "op_no")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    q = queries.select("id", "layer", l2_normalize("q").alias("q"))
+    found = best(q, entries, k, [F.col("patch_no"), F.col("op_no")], left_vector="q", right_vector="key", key=["id", "layer"], within="layer")
+    return found.withColumnRenamed("score", "cosine")
 
 
 def knn_override(raw: DataFrame, hits: DataFrame, k: int, least: float = 0.75) -> DataFrame:

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.functions.text import dot
+from quillon.operators.ordering import numbered
+from quillon.operators.products import best
 from quillon.staging import staged
 
 SCALE = 80.0
@@ -43,8 +44,8 @@ def words_of(text: Column | str) -> Column:
 def derive(spark: SparkSession, sf_dir: str, stride: int = 7, offset: int = 1, top: int = 5) -> Model:
     """The model of the tables in ``sf_dir``; written once per session.
 
-    The vocabulary has as many tokens as there are vectors, so it is bounded by the model and not by the
-    corpus; only it is joined by every output vector to find the labels.
+    The vocabulary has as many tokens as there are vectors; every output vector meets all of it, in blocks, to find
+    the labels.
     """
     key = (spark.sparkContext.applicationId, sf_dir, stride, offset)
     if key in _KNOWN:
@@ -52,8 +53,7 @@ def derive(spark: SparkSession, sf_dir: str, stride: int = 7, offset: int = 1, t
     docs, vectors = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     n = vectors.count()
     counted = docs.select(F.explode(words_of("text")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    ranked = counted.orderBy(F.desc("n"), "word").limit(n)
-    ranked = ranked.select((F.row_number().over(Window.orderBy(F.desc("n"), "word")) - 1).cast("long").alias("token_id"), "word")
+    ranked = numbered(counted, [F.desc("n"), F.col("word")], "token_id").where(F.col("token_id") < n).select("token_id", "word")
     gates = vectors.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("gate"))
     gates = staged(gates, "model-gates")
     token = F.when(F.col("token_id") % 3 == 0, F.concat(F.upper(F.substring("word", 1, 1)), F.expr("substring(word, 2)"))).otherwise(F.col("word"))
@@ -61,12 +61,9 @@ def derive(spark: SparkSession, sf_dir: str, stride: int = 7, offset: int = 1, t
     tokens = staged(tokens, "model-tokens")
     down = gates.select(F.col("vec_id").alias("down_id"), F.col("gate").alias("down"))
     out = gates.select("vec_id", ((F.col("vec_id") * stride + offset) % n).alias("down_id")).join(down, "down_id")
-    # All features against the vocabulary, which is bounded; the best few are kept before the exchange.
-    logits = out.crossJoin(F.broadcast(tokens.select("token_id", "token", "embedding"))).select(
-        "vec_id", "token_id", "token", F.round(dot("down", "embedding"), 9).alias("logit")
-    )
-    best = logits.withColumn("r", F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("logit"), "token_id"))).where(F.col("r") <= top)
-    meta = best.groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct("r", "token", "token_id", "logit"))).alias("t"))
+    logits = best(out.select("vec_id", "down"), tokens.select("token_id", "token", "embedding"), top, [F.col("token_id")], left_vector="down", right_vector="embedding", key=["vec_id"])
+    logits = logits.select("vec_id", "token_id", "token", F.col("score").alias("logit"), F.col("rank").alias("r"))
+    meta = logits.groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct("r", "token", "token_id", "logit"))).alias("t"))
     meta = meta.where("vec_id % 17 <> 0").select(
         F.col("vec_id").alias("feature"),
         F.col("t")[0]["token_id"].alias("token_id"), F.col("t")[0]["token"].alias("token"), F.col("t")[0]["logit"].alias("c_score"),

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.functions.vocabularies import COUNTRIES, LABEL_STOP_WORDS, LANGUAGES, MONTHS, NUMBERS
 from quillon.operators import clustering as C
 from quillon.operators import graph as G
 from quillon.operators import knowledge as K
+from quillon.operators import labelling as L
 from quillon.operators import models as R
 from quillon.operators import patches as P
+from quillon.operators.products import best, totals
 from quillon.plans.model import Model, derive
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,9 +81,9 @@ def band_sql(layer: str) -> str:
     return f"CASE WHEN {layer} < 4 THEN 'syntax' WHEN {layer} < 8 THEN 'knowledge' WHEN {layer} < 10 THEN 'output' ELSE 'unknown' END"
 
 
-# Texts to ask about: every 20th token of the vocabulary, and pairs of neighbours for two-word texts.
-ASKED_SQL = """
-asked AS (SELECT token_id AS id, word AS text FROM tokens WHERE token_id % 20 = 3),
+def asked_sql(where: str) -> str:
+    return f"""
+asked AS (SELECT token_id AS id, word AS text FROM tokens WHERE {where}),
 ask_q AS (
   SELECT a.id, list_transform(t.embedding, lambda x: x * 80.0) AS q FROM asked a JOIN tokens t ON a.text = t.word
 ), scored AS (
@@ -88,16 +91,25 @@ ask_q AS (
 ), hits AS (
   SELECT *, row_number() OVER (PARTITION BY id, layer ORDER BY abs(score) DESC, feature) AS rank FROM scored
 )"""
+
+
 MODEL_SQL = "WITH " + TOKENS_SQL + "," + features_sql()
-ASK_SQL = MODEL_SQL + "," + ASKED_SQL
+# Searches take every token whose id is divisible by 20 as their queries; all else works on all tokens.
+ASK_SQL = MODEL_SQL + "," + asked_sql("token_id % 20 = 0")
+EVERY_SQL = MODEL_SQL + "," + asked_sql("true")
 
 
 def asked(model: Model) -> DataFrame:
-    return model.tokens.where("token_id % 20 = 3").select(F.col("token_id").alias("id"), F.col("word").alias("text"))
+    return every(model).where("id % 20 = 0")
+
+
+def every(model: Model) -> DataFrame:
+    return model.tokens.select(F.col("token_id").alias("id"), F.col("word").alias("text"))
 
 
 def six(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, 6) for n in names})
+    """Columns to six digits, by the product with a million as SQL engines round: half-way values then agree."""
+    return df.withColumns({n: F.when(F.abs(F.col(n)) < 1e290, F.round(F.col(n) * 1e6) / 1e6).otherwise(F.col(n)) for n in names})
 
 
 @query("v1_gate_knn", ASK_SQL + " SELECT id, layer, feature, rank, round(score, 6) AS score FROM hits WHERE rank <= 10")
@@ -123,8 +135,8 @@ def v5(spark: SparkSession, d: str) -> DataFrame:
 @query("v6_gate_scores", ASK_SQL + " SELECT id, layer, count(*) AS n, round(sum(score), 5) AS total, round(max(score), 6) AS most, round(min(score), 6) AS least FROM scored GROUP BY id, layer")
 def v6(spark: SparkSession, d: str) -> DataFrame:
     m = derive(spark, d)
-    return K.gate_scores(K.embedded(asked(m), m), m.features).groupBy("id", "layer").agg(
-        F.count("*").alias("n"), F.round(F.sum("score"), 5).alias("total"), F.round(F.max("score"), 6).alias("most"), F.round(F.min("score"), 6).alias("least"))
+    sums = totals(K.embedded(asked(m), m), m.features.select("layer", "gate"), left_vector="q", right_vector="gate", key=["id"], per="layer")
+    return sums.select("id", "layer", "n", F.round("total", 5).alias("total"), F.round("most", 6).alias("most"), F.round("least", 6).alias("least"))
 
 
 @query("v9_sq8", """
@@ -151,7 +163,7 @@ def v11(spark: SparkSession, d: str) -> DataFrame:
 
 DOC_IDS_SQL = """
 doc_words AS (
-  SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-zà-öø-ÿ]+')) AS w FROM documents WHERE doc_id % 25 = 0
+  SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-zà-öø-ÿ]+')) AS w FROM documents
 ), doc_ids AS (
   SELECT d.id, coalesce(t.token_id, CAST('0x' || substr(md5(d.w), 1, 8) AS BIGINT) % (SELECT count(*) FROM embeddings)) AS token_id FROM doc_words d LEFT JOIN tokens t ON d.w = t.word
 )"""
@@ -162,7 +174,7 @@ SELECT i.id, count(*) AS words, round(avg(t.embedding[1] * 80.0), 6) AS q1, roun
 FROM doc_ids i JOIN tokens t ON i.token_id = t.token_id GROUP BY i.id""")
 def v14(spark: SparkSession, d: str) -> DataFrame:
     m = derive(spark, d)
-    docs = spark.read.parquet(f"{d}/documents.parquet").where("doc_id % 25 = 0").select(F.col("doc_id").alias("id"), "text")
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
     words = K.token_ids(docs, m).groupBy("id").agg(F.count("*").alias("words"))
     q = K.embedded(docs, m)
     return q.join(words, "id").select("id", "words", F.round(F.col("q")[0], 6).alias("q1"), F.round(F.col("q")[63], 6).alias("q64"))
@@ -174,9 +186,8 @@ def v14(spark: SparkSession, d: str) -> DataFrame:
 SELECT id, token_id, round(score, 6) AS score, r AS rank FROM lm WHERE r <= 5""")
 def v16(spark: SparkSession, d: str) -> DataFrame:
     m = derive(spark, d)
-    rows = m.tokens.crossJoin(K.embedded(asked(m), m)).select("id", "token_id", F.round(T.dot("embedding", "q"), 9).alias("score"))
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "token_id"))).where("rank <= 5")
-    return six(rows, "score")
+    rows = best(K.embedded(asked(m), m), m.tokens.select("token_id", "embedding"), 5, [F.col("token_id")], left_vector="q", right_vector="embedding", key=["id"])
+    return six(rows.select("id", "token_id", "score", "rank"), "score")
 
 
 @query("v25_store_stats", MODEL_SQL + " SELECT layer, count(*) AS features, count(token) AS labelled, round(avg(c_score), 6) AS mean_score FROM features GROUP BY layer")
@@ -202,8 +213,8 @@ def f2(spark: SparkSession, d: str) -> DataFrame:
     return six(K.explain_walk(asked(m), m), "activation")
 
 
-@query("f3_similar_to", ASK_SQL + """, near AS (SELECT * FROM hits WHERE rank <= 50),
-pairs AS (SELECT a.id AS a, b.id AS b FROM asked a JOIN asked b ON b.id = a.id + 20),
+@query("f3_similar_to", EVERY_SQL + """, near AS (SELECT * FROM hits WHERE rank <= 50),
+pairs AS (SELECT a.id AS a, b.id AS b FROM asked a JOIN asked b ON b.id = a.id + 1),
 shared AS (
   SELECT p.a AS id, max(least(x.score, y.score)) AS s FROM pairs p JOIN near x ON x.id = p.a JOIN near y ON y.id = p.b AND x.layer = y.layer AND x.feature = y.feature GROUP BY p.a
 )
@@ -211,19 +222,24 @@ SELECT p.a AS id, round(CASE WHEN s.s > 0 THEN s.s ELSE 10 * list_inner_product(
 FROM pairs p JOIN ask_q x ON x.id = p.a JOIN ask_q y ON y.id = p.b LEFT JOIN shared s ON s.id = p.a""")
 def f3(spark: SparkSession, d: str) -> DataFrame:
     m = derive(spark, d)
-    a = asked(m)
-    pairs = a.select("id", F.col("text").alias("a")).join(a.select((F.col("id") - 20).alias("id"), F.col("text").alias("b")), "id")
+    a = every(m)
+    pairs = a.select("id", F.col("text").alias("a")).join(a.select((F.col("id") - 1).alias("id"), F.col("text").alias("b")), "id")
     return K.similarity(pairs, m).select("id", F.round("similarity", 5).alias("similarity"))
 
 
-@query("f9_rank")
+@query("f9_rank", EVERY_SQL + """, near AS (SELECT * FROM hits WHERE rank <= 50),
+shared AS (SELECT x.id, max(least(x.score, y.score)) AS s FROM near x JOIN near y ON y.id = 7 AND x.layer = y.layer AND x.feature = y.feature GROUP BY x.id),
+sim AS (
+  SELECT x.id, CASE WHEN s.s > 0 THEN s.s ELSE 10 * list_inner_product(x.q, y.q) / (sqrt(list_inner_product(x.q, x.q)) * sqrt(list_inner_product(y.q, y.q))) END AS similarity
+  FROM ask_q x JOIN ask_q y ON y.id = 7 LEFT JOIN shared s ON s.id = x.id)
+SELECT id, round(similarity, 6) AS similarity, round(CASE WHEN similarity <= 0 THEN 1.7976931348623157e308 ELSE 1 / (1 + similarity) END, 6) AS distance FROM sim ORDER BY round(similarity, 6) DESC, id LIMIT 10""")
 def f9(spark: SparkSession, d: str) -> DataFrame:
     m = derive(spark, d)
     query_text = m.tokens.where("token_id = 7").first()["word"]
-    return six(K.ranked(asked(m), query_text, m, 10), "similarity", "distance")
+    return six(K.ranked(every(m), query_text, m, 10), "similarity", "distance")
 
 
-DESCRIBE_SQL = ASK_SQL + f""", kept AS (
+DESCRIBE_SQL = EVERY_SQL + f""", kept AS (
   SELECT h.*, a.text AS entity, h.layer * 100000 + h.rank AS pos FROM hits h JOIN asked a ON h.id = a.id
   WHERE h.rank <= 20 AND h.score >= 5 AND h.token IS NOT NULL AND {content_sql('h.token')} AND lower(h.token) <> lower(a.text)
 ), sec_all AS (
@@ -247,20 +263,24 @@ described AS (
 @query("f10_describe", DESCRIBE_SQL + " SELECT id, relation, target, round(confidence, 6) AS confidence, layer FROM related")
 def f10(spark: SparkSession, d: str) -> DataFrame:
     m = derive(spark, d)
-    return six(K.describe(asked(m), m), "confidence")
+    return six(K.describe(every(m), m), "confidence")
 
 
-@query("f11_describe_layers")
+@query("f11_describe_layers", DESCRIBE_SQL + f""", als AS (
+  SELECT k.id, k.feature, t.token, row_number() OVER (PARTITION BY k.id, k.feature ORDER BY t.r) AS i FROM kept k JOIN features_top t ON t.vec_id = k.feature
+  WHERE t.logit > 0 AND t.token <> k.token AND lower(t.token) <> lower(k.entity) AND {readable_sql('t.token')}
+), al AS (SELECT id, feature, string_agg(token, ', ' ORDER BY i) AS also FROM als WHERE i <= 3 GROUP BY id, feature)
+SELECT k.id, k.layer, k.feature, k.token AS target, round(k.score, 6) AS gate_score, coalesce(a.also, '') AS also FROM kept k LEFT JOIN al a ON a.id = k.id AND a.feature = k.feature""")
 def f11(spark: SparkSession, d: str) -> DataFrame:
     m = derive(spark, d)
-    return six(K.describe_layers(asked(m), m), "gate_score")
+    return six(K.describe_layers(every(m), m), "gate_score")
 
 
 @query("f12_implies", DESCRIBE_SQL + """, ask_pairs AS (SELECT a.id, t.word AS object FROM asked a JOIN tokens t ON t.token_id = (a.id * 3 + 1) % (SELECT count(*) FROM embeddings))
 SELECT p.id, EXISTS (SELECT 1 FROM related r WHERE r.id = p.id AND lower(r.target) = lower(p.object)) AS implied FROM ask_pairs p""")
 def f12(spark: SparkSession, d: str) -> DataFrame:
     m = derive(spark, d)
-    pairs = asked(m).withColumn("o", (F.col("id") * 3 + 1) % m.size).join(m.tokens.select(F.col("token_id").alias("o"), F.col("word").alias("object")), "o")
+    pairs = every(m).withColumn("o", (F.col("id") * 3 + 1) % m.size).join(m.tokens.select(F.col("token_id").alias("o"), F.col("word").alias("object")), "o")
     return K.implies(pairs.select("id", F.col("text").alias("subject"), "object"), m)
 
 
@@ -430,21 +450,37 @@ def g16(spark: SparkSession, d: str) -> DataFrame:
     return ranks.select("node", F.round("rank", 9).alias("rank"))
 
 
-@query("g17_components", GRAPH_SQL + """, b AS (SELECT subject AS node, object AS hub FROM edges WHERE relation = 'has_brand' UNION SELECT object, object FROM edges WHERE relation = 'has_brand'),
-h AS (SELECT hub, min(node) AS component, count(*) AS size FROM b GROUP BY hub) SELECT b.node, h.component, h.size FROM b JOIN h ON b.hub = h.hub""")
+def _components_sql(rounds: int) -> str:
+    """Least labels of neighbours, ``rounds`` times: enough for a graph whose nodes are not farther from their least one."""
+    out = GRAPH_SQL + """, links AS MATERIALIZED (SELECT subject AS a, object AS b FROM edges UNION SELECT object, subject FROM edges UNION SELECT subject, subject FROM edges UNION SELECT object, object FROM edges),
+l0 AS (SELECT DISTINCT a AS node, a AS label FROM links)"""
+    for i in range(rounds):
+        out += f", l{i + 1} AS MATERIALIZED (SELECT k.a AS node, min(l.label) AS label FROM links k JOIN l{i} l ON l.node = k.b GROUP BY k.a)"
+    return out
+
+
+@query("g17_components", _components_sql(10) + ", h AS (SELECT label, count(*) AS size FROM l10 GROUP BY label) SELECT l.node, l.label AS component, h.size FROM l10 l JOIN h ON h.label = l.label")
 def g17(spark: SparkSession, d: str) -> DataFrame:
-    return G.components(G.business_graph(spark, d).where("relation = 'has_brand'"))
+    return G.components(G.business_graph(spark, d))
 
 
-@query("g18_connected", """SELECT 'P' || a.p_partkey AS a, 'P' || b.p_partkey AS b, a.p_brand = b.p_brand AS connected FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1""")
+@query("g18_connected", _components_sql(10) + """ SELECT x.a, x.b, x.a = x.b OR coalesce(la.label = lb.label, false) AS connected FROM (
+  SELECT 'P' || p_partkey AS a, 'C' || p_partkey AS b FROM part) x LEFT JOIN l10 la ON la.node = x.a LEFT JOIN l10 lb ON lb.node = x.b""")
 def g18(spark: SparkSession, d: str) -> DataFrame:
-    p = spark.read.parquet(f"{d}/part.parquet").select("p_partkey")
-    pairs = p.join(p.select((F.col("p_partkey") - 1).alias("q")), p.p_partkey == F.col("q")).select(F.concat(F.lit("P"), "p_partkey").alias("a"), F.concat(F.lit("P"), (F.col("p_partkey") + 1)).alias("b"))
-    return G.are_connected(G.business_graph(spark, d).where("relation = 'has_brand'"), pairs)
+    """Parts and customers of equal numbers, some of which there are not."""
+    pairs = spark.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("P"), "p_partkey").alias("a"), F.concat(F.lit("C"), "p_partkey").alias("b"))
+    return G.are_connected(G.business_graph(spark, d), pairs)
+
 
+OTHER_SQL = GRAPH_SQL.replace("edges AS (", "edges AS MATERIALIZED (") + """, both_sides AS (
+  SELECT subject, relation, object, confidence AS cb, source AS sb, NULL::DOUBLE AS cn, NULL::VARCHAR AS sn FROM edges WHERE relation <> 'in_region'
+  UNION ALL SELECT subject, relation, object, NULL, NULL, CASE WHEN relation = 'in_nation' THEN 0.5 ELSE confidence END, CASE WHEN relation = 'supplies' THEN 'manual' ELSE 'unknown' END FROM edges WHERE relation <> 'has_brand'
+  UNION ALL SELECT 'X' || n_nationkey, 'twin', 'N' || n_nationkey, NULL, NULL, 0.3, 'manual' FROM nation
+), sides AS (SELECT subject, relation, object, max(cb) AS cb, max(sb) AS sb, max(cn) AS cn, max(sn) AS sn FROM both_sides GROUP BY subject, relation, object)"""
 
-OTHER_SQL = GRAPH_SQL + """, other AS (SELECT subject, relation, object, CASE WHEN relation = 'in_nation' THEN 0.5 ELSE confidence END AS confidence, CASE WHEN relation = 'supplies' THEN 'manual' ELSE 'unknown' END AS source
-  FROM edges WHERE relation <> 'has_brand' UNION ALL SELECT 'X' || n_nationkey, 'twin', 'N' || n_nationkey, 0.3, 'manual' FROM nation), base AS (SELECT * FROM edges WHERE relation <> 'in_region')"""
+
+def priority_sql(source: str) -> str:
+    return f"CASE {source} " + " ".join(f"WHEN '{name}' THEN {value}" for name, value in G.PRIORITY.items()) + " ELSE 0 END"
 
 
 def other_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -457,20 +493,16 @@ def other_graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return e.where("relation <> 'in_region'"), changed.unionByName(twin)
 
 
-for _strategy, _better in (("union", "false"), ("max_confidence", "n.confidence > b.confidence"), ("source_priority", "pn > pb")):
+for _strategy, _better in (("union", "false"), ("max_confidence", "cn > cb"), ("source_priority", f"{priority_sql('sn')} > {priority_sql('sb')}")):
 
-    @query(f"g19_merge_{_strategy}", OTHER_SQL + f""", pr(source, p) AS (VALUES ('manual', 5), ('wikidata', 4), ('parametric', 3), ('document', 2), ('installed', 1), ('unknown', 0)), j AS (
-  SELECT coalesce(b.subject, n.subject) AS subject, coalesce(b.relation, n.relation) AS relation, coalesce(b.object, n.object) AS object, b.confidence AS cb, n.confidence AS cn, b.source AS sb, n.source AS sn,
-    CASE WHEN b.subject IS NULL THEN 'added' WHEN n.subject IS NOT NULL AND ({_better.replace('pn', 'qn.p').replace('pb', 'qb.p')}) THEN 'updated' ELSE 'kept' END AS origin
-  FROM base b FULL JOIN other n ON b.subject = n.subject AND b.relation = n.relation AND b.object = n.object LEFT JOIN pr qb ON qb.source = b.source LEFT JOIN pr qn ON qn.source = n.source)
+    @query(f"g19_merge_{_strategy}", OTHER_SQL + f""", j AS (SELECT *, CASE WHEN sb IS NULL THEN 'added' WHEN sn IS NOT NULL AND ({_better}) THEN 'updated' ELSE 'kept' END AS origin FROM sides)
 SELECT subject, relation, object, round(CASE WHEN origin = 'kept' THEN cb ELSE cn END, 6) AS confidence, CASE WHEN origin = 'kept' THEN sb ELSE sn END AS source, origin FROM j""")
     def g19(spark: SparkSession, d: str, strategy: str = _strategy) -> DataFrame:
         return six(G.merge(*other_graph(spark, d), strategy), "confidence")
 
 
-@query("g20_diff", OTHER_SQL + """, j AS (SELECT coalesce(b.subject, n.subject) AS subject, coalesce(b.relation, n.relation) AS relation, coalesce(b.object, n.object) AS object,
-  CASE WHEN b.subject IS NULL THEN 'added' WHEN n.subject IS NULL THEN 'removed' WHEN abs(b.confidence - n.confidence) > 2.220446049250313e-16 THEN 'changed' END AS status
-  FROM base b FULL JOIN other n ON b.subject = n.subject AND b.relation = n.relation AND b.object = n.object) SELECT * FROM j WHERE status IS NOT NULL""")
+@query("g20_diff", OTHER_SQL + """ SELECT subject, relation, object, status FROM (SELECT *, CASE WHEN sb IS NULL THEN 'added' WHEN sn IS NULL THEN 'removed' WHEN abs(cb - cn) > 2.220446049250313e-16 THEN 'changed' END AS status FROM sides)
+WHERE status IS NOT NULL""")
 def g20(spark: SparkSession, d: str) -> DataFrame:
     return G.diff(*other_graph(spark, d)).select("subject", "relation", "object", "status")
 
@@ -542,7 +574,7 @@ def p2(spark: SparkSession, d: str) -> DataFrame:
     return P.overlay(m.features, P.without_patch(patch_ops(m), 1)).select("layer", "feature", "token")
 
 
-@query("p4_overlay_knn", PATCHED_SQL + """, asked AS (SELECT token_id AS id, word AS text FROM tokens WHERE token_id % 20 = 3), ask_q AS (SELECT a.id, list_transform(t.embedding, lambda x: x * 80.0) AS q FROM asked a JOIN tokens t ON a.text = t.word),
+@query("p4_overlay_knn", PATCHED_SQL + """, asked AS (SELECT token_id AS id, word AS text FROM tokens WHERE token_id % 20 = 0), ask_q AS (SELECT a.id, list_transform(t.embedding, lambda x: x * 80.0) AS q FROM asked a JOIN tokens t ON a.text = t.word),
 sc AS (SELECT q.id, f.layer, f.feature, f.token, round(list_inner_product(f.gate, q.q), 9) AS score FROM patched f CROSS JOIN ask_q q WHERE f.gate IS NOT NULL),
 h AS (SELECT *, row_number() OVER (PARTITION BY id, layer ORDER BY abs(score) DESC, feature) AS rank FROM sc) SELECT id, layer, feature, token, rank, round(score, 6) AS score FROM h WHERE rank <= 5""")
 def p4(spark: SparkSession, d: str) -> DataFrame:
@@ -597,14 +629,52 @@ def c1(spark: SparkSession, d: str) -> DataFrame:
     return got.select("id", "cluster", F.round("distance", 6).alias("distance"))
 
 
-@query("c2_tfidf_labels", MODEL_SQL + """, w AS (SELECT f.layer AS cluster, lower(t.token) AS w FROM features f JOIN features_top t ON t.vec_id = f.feature WHERE f.token IS NOT NULL),
-good AS (SELECT * FROM w WHERE octet_length(encode(w)) >= 3 AND 2 * length(regexp_replace(w, '[^A-Za-z0-9]', '', 'g')) >= length(w)), tf AS (SELECT cluster, w, count(*) AS n FROM good GROUP BY 1, 2),
+LABELS_SQL = MODEL_SQL + f""", w AS (SELECT f.layer AS cluster, lower(t.token) AS w FROM features f JOIN features_top t ON t.vec_id = f.feature WHERE f.token IS NOT NULL),
+good AS (SELECT * FROM w WHERE octet_length(encode(w)) >= 3 AND 2 * length(regexp_replace(w, '[^A-Za-z0-9]', '', 'g')) >= length(w) AND w NOT IN ({", ".join(f"'{w}'" for w in LABEL_STOP_WORDS)})), tf AS (SELECT cluster, w, count(*) AS n FROM good GROUP BY 1, 2),
 sc AS (SELECT t.cluster, t.w, t.n, t.n / CAST(a.total AS DOUBLE) * ln(CAST((SELECT count(*) FROM features WHERE token IS NOT NULL) AS DOUBLE) / e.total) AS score FROM tf t JOIN (SELECT cluster, sum(n) AS total FROM tf GROUP BY 1) a ON a.cluster = t.cluster
-  JOIN (SELECT w, sum(n) AS total FROM tf GROUP BY 1) e ON e.w = t.w), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(score, 9) DESC, n DESC, w) AS r FROM sc)
-SELECT cluster, string_agg(w, '/' ORDER BY r) AS label FROM r WHERE r <= 3 GROUP BY cluster""")
+  JOIN (SELECT w, sum(n) AS total FROM tf GROUP BY 1) e ON e.w = t.w), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(score, 9) DESC, n DESC, w) AS r FROM sc),
+plain AS (SELECT c.cluster, coalesce(l.label, 'cluster-' || c.cluster) AS label FROM (SELECT DISTINCT cluster FROM w) c LEFT JOIN (SELECT cluster, string_agg(w, '/' ORDER BY r) AS label FROM r WHERE r <= 3 GROUP BY cluster) l ON l.cluster = c.cluster)"""
+
+
+@query("c2_tfidf_labels", LABELS_SQL + " SELECT cluster, label FROM plain")
 def c2(spark: SparkSession, d: str) -> DataFrame:
-    rows = derive(spark, d).with_meta.select(F.col("layer").alias("cluster"), "feature", F.array_join(F.transform("top_k", lambda t: t["token"]), "|").alias("text"))
-    return C.tfidf_labels(rows).select("cluster", "label")
+    return C.tfidf_labels(_members(derive(spark, d))).select("cluster", "label")
+
+
+def _members(m: Model) -> DataFrame:
+    return m.with_meta.select(F.col("layer").alias("cluster"), "feature", F.array_join(F.transform("top_k", lambda t: t["token"]), "|").alias("text"))
+
+
+def _categories(m: Model) -> DataFrame:
+    return m.tokens.where("token_id % 10 = 5").select(F.col("token_id").alias("position"), "word")
+
+
+@query("c3_category_labels", LABELS_SQL + f""", unit AS (SELECT token_id, word, list_transform(embedding, lambda x: x / sqrt(list_inner_product(embedding, embedding))) AS v FROM tokens WHERE token_id > 2),
+own AS (SELECT r.cluster, u.v FROM r JOIN unit u ON u.word = r.w WHERE r.r <= 5), mean_sim AS (SELECT o.cluster, c.token_id, c.word, round(avg(list_inner_product(o.v, c.v)), 9) AS s FROM own o CROSS JOIN unit c WHERE c.token_id % 10 = 5 GROUP BY 1, 2, 3),
+near AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY s DESC, token_id) AS n FROM mean_sim), members AS (SELECT cluster, list(w ORDER BY r) AS ws FROM r WHERE r <= 5 GROUP BY cluster),
+pattern AS (SELECT cluster, CASE {' '.join(f"WHEN 2 * len(list_filter(ws, lambda w: w IN ({', '.join(repr(w) for w in words)}))) >= len(ws) THEN '{name}'" for name, words in (("language", LANGUAGES), ("country", COUNTRIES), ("month", MONTHS), ("number", NUMBERS)))}
+  WHEN 2 * len(list_filter(ws, lambda w: regexp_full_match(w, '[a-z]{{0,4}}'))) >= len(ws) THEN 'morphological' END AS pattern FROM members)
+SELECT p.cluster, coalesce(n.word, CASE WHEN p.cluster IN (SELECT cluster FROM own) THEN t.pattern END, p.label) AS label FROM plain p LEFT JOIN near n ON n.cluster = p.cluster AND n.n = 1 AND n.s >= 0.25 LEFT JOIN pattern t ON t.cluster = p.cluster""")
+def c3(spark: SparkSession, d: str) -> DataFrame:
+    m = derive(spark, d)
+    return L.category_labels(_members(m), m.tokens, _categories(m)).select("cluster", "label")
+
+
+@query("c10_relation_labels", LABELS_SQL + " SELECT f.layer, f.feature, p.label AS relation FROM features f JOIN plain p ON p.cluster = f.layer WHERE f.feature % 3 <> 0")
+def c10(spark: SparkSession, d: str) -> DataFrame:
+    """Two of three features are assigned to their layer's cluster, the others to none."""
+    m = derive(spark, d)
+    placed = m.features.where("feature % 3 <> 0").select("layer", "feature", F.col("layer").alias("cluster"))
+    return L.relation_labels(placed, C.tfidf_labels(_members(m)))
+
+
+@query("c15_labelled_clusters")
+def c15(spark: SparkSession, d: str) -> DataFrame:
+    m = derive(spark, d)
+    rows = R.offset_directions(m.with_meta, R.gate_tokens(m.with_meta, m.tokens), m.tokens).join(
+        m.with_meta.select("layer", "feature", F.col("token").alias("out_token"), F.array_join(F.transform("top_k", lambda t: t["token"]), "|").alias("text")), ["layer", "feature"])
+    _, clusters = L.labelled_clusters(rows, m.tokens, _categories(m), k=16, max_rounds=10)
+    return clusters.select("cluster", "label", "count")
 
 
 @query("c7_probe", ASK_SQL + " SELECT layer, feature, count(*) AS entities, min(id) AS first FROM hits WHERE rank <= 3 AND score > 5 GROUP BY layer, feature")
@@ -642,7 +712,7 @@ def w2(spark: SparkSession, d: str) -> DataFrame:
     return six(stats.select("layer", "edges", *names, "self_loops", "confidence_ge_25", "selectivity_ge_75"), *names)
 
 
-TRACE_SQL = "WITH " + TOKENS_SQL + """, tn AS (SELECT vec_id // 10 AS trace_id, vec_id % 10 AS layer, gate AS residual FROM gates WHERE vec_id < 200),
+TRACE_SQL = "WITH " + TOKENS_SQL + """, tn AS (SELECT vec_id // 10 AS trace_id, vec_id % 10 AS layer, gate AS residual FROM gates),
 lg AS (SELECT n.trace_id, n.layer, t.token_id, round(list_inner_product(n.residual, t.embedding), 9) AS logit FROM tn n CROSS JOIN tokens t),
 pr AS (SELECT *, exp(logit) / sum(exp(logit)) OVER (PARTITION BY trace_id, layer) AS probability, rank() OVER (PARTITION BY trace_id, layer ORDER BY logit DESC) AS rank FROM lg)"""
 
@@ -650,7 +720,7 @@ pr AS (SELECT *, exp(logit) / sum(exp(logit)) OVER (PARTITION BY trace_id, layer
 @query("w7_answer_trajectory", TRACE_SQL + " SELECT trace_id, layer, rank, round(probability, 6) AS probability FROM pr WHERE token_id = 5")
 def w7(spark: SparkSession, d: str) -> DataFrame:
     m = derive(spark, d)
-    nodes = m.features.where("feature < 200").select(F.floor(F.col("feature") / 10).alias("trace_id"), (F.col("feature") % 10).alias("layer"), F.col("gate").alias("residual"))
+    nodes = m.features.select(F.floor(F.col("feature") / 10).alias("trace_id"), (F.col("feature") % 10).alias("layer"), F.col("gate").alias("residual"))
     return six(C.answer_trajectory(nodes, m.tokens, 5), "probability")
 
 
@@ -658,9 +728,8 @@ def w7(spark: SparkSession, d: str) -> DataFrame:
 SELECT id, token_id, round(probability, 6) AS probability, rank FROM p WHERE rank <= 3""")
 def m1(spark: SparkSession, d: str) -> DataFrame:
     m = derive(spark, d)
-    nodes = m.features.where("feature < 200").select(F.col("feature").alias("id"), F.col("gate").alias("residual"))
-    logits = nodes.crossJoin(F.broadcast(m.tokens.select("token_id", "embedding"))).select("id", "token_id", F.round(T.dot("residual", "embedding"), 9).alias("logit"))
-    return six(C.softmax_top(logits, 3, 0.7, 0.5), "probability")
+    nodes = m.features.select(F.col("feature").alias("id"), F.col("gate").alias("residual"))
+    return six(C.predictions(nodes, m.tokens, 3, 0.7, 0.5), "probability")
 
 
 # --- events ---------------------------------------------------------------------------------------------------
@@ -691,19 +760,22 @@ def st3(spark: SparkSession, d: str) -> DataFrame:
 # --- registry, routing, approximate search ----------------------------------------------------------------------
 
 
-@query("v17_route", ASK_SQL + """, rt AS (SELECT q.id, g.label AS layer, g.vec_id AS expert, round(list_inner_product(g.gate, q.q) + (g.vec_id % 3) * 0.5, 9) AS score FROM gates g CROSS JOIN ask_q q WHERE g.vec_id < 80),
-rr AS (SELECT *, row_number() OVER (PARTITION BY id, layer ORDER BY score DESC, expert) AS rank FROM rt)
-SELECT id, layer, expert, rank, round(score, 6) AS score, round(exp(score - max(score) OVER (PARTITION BY id, layer)) / sum(exp(score)) OVER (PARTITION BY id, layer) * exp(max(score) OVER (PARTITION BY id, layer)), 6) AS probability FROM rr WHERE rank <= 3""")
+ROUTE_SQL = ASK_SQL + """, rt AS (SELECT q.id, g.label AS layer, g.vec_id AS expert, round(list_inner_product(g.gate, q.q) + (g.vec_id % 3) * 0.5, 9) AS score FROM gates g CROSS JOIN ask_q q),
+rr AS (SELECT *, row_number() OVER (PARTITION BY id, layer ORDER BY score DESC, expert) AS rank FROM rt), top AS (SELECT *, max(score) OVER (PARTITION BY id, layer) AS most FROM rr WHERE rank <= 3),
+routed AS (SELECT id, layer, expert, rank, score, exp(score - most) / sum(exp(score - most)) OVER (PARTITION BY id, layer) AS probability FROM top)"""
+
+
+@query("v17_route", ROUTE_SQL + " SELECT id, layer, expert, rank, round(score, 6) AS score, round(probability, 6) AS probability FROM routed")
 def v17(spark: SparkSession, d: str) -> DataFrame:
     m = derive(spark, d)
     return six(R.route(K.embedded(asked(m), m).withColumnRenamed("q", "x"), router(m), 3), "score", "probability")
 
 
 def router(m: Model) -> DataFrame:
-    return m.features.where("feature < 80").select("layer", F.col("feature").alias("expert"), F.col("gate").alias("w"), ((F.col("feature") % 3) * 0.5).alias("bias"), F.lit(1.0).alias("scale"))
+    return m.features.select("layer", F.col("feature").alias("expert"), F.col("gate").alias("w"), ((F.col("feature") % 3) * 0.5).alias("bias"), F.lit(1.0).alias("scale"))
 
 
-@query("v18_route_totals")
+@query("v18_route_totals", ROUTE_SQL + " SELECT id, expert, count(*) AS times, round(avg(probability), 6) AS mean_probability FROM routed GROUP BY id, expert")
 def v18(spark: SparkSession, d: str) -> DataFrame:
     m = derive(spark, d)
     return six(R.routed_totals(R.route(K.embedded(asked(m), m).withColumnRenamed("q", "x"), router(m), 3)), "mean_probability")
@@ -730,16 +802,16 @@ def w6(spark: SparkSession, d: str) -> DataFrame:
     return six(R.token_gate_index(m.features, m.tokens, 5), "act")
 
 
-@query("w10_walk_residuals", MODEL_SQL + """, rs AS (SELECT vec_id // 10 AS id, CAST(vec_id % 10 AS INT) AS layer, gate AS q FROM gates WHERE vec_id < 100), s AS (SELECT r.id, f.layer, f.feature, f.token, round(list_inner_product(f.gate, r.q), 9) AS score FROM features f JOIN rs r ON r.layer = f.layer),
+@query("w10_walk_residuals", MODEL_SQL + """, rs AS (SELECT vec_id // 10 AS id, CAST(vec_id % 10 AS INT) AS layer, gate AS q FROM gates), s AS (SELECT r.id, f.layer, f.feature, f.token, round(list_inner_product(f.gate, r.q), 9) AS score FROM features f JOIN rs r ON r.layer = f.layer),
 k AS (SELECT *, row_number() OVER (PARTITION BY id, layer ORDER BY abs(score) DESC, feature) AS rank FROM s) SELECT id, layer, rank, feature, round(score, 6) AS score, token FROM k WHERE rank <= 20 AND token IS NOT NULL""")
 def w10(spark: SparkSession, d: str) -> DataFrame:
     m = derive(spark, d)
-    r = m.features.where("feature < 100").select(F.floor(F.col("feature") / 10).alias("id"), (F.col("feature") % 10).cast("int").alias("layer"), F.col("gate").alias("q"))
+    r = m.features.select(F.floor(F.col("feature") / 10).alias("id"), (F.col("feature") % 10).cast("int").alias("layer"), F.col("gate").alias("q"))
     return six(R.walk_residuals(r, m.features), "score")
 
 
-@query("w11_covariance", """WITH g AS (SELECT label AS layer, list_transform(embedding[1:4], lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), ij AS (SELECT i, j FROM range(4) a(i), range(4) b(j))
+@query("w11_covariance", """WITH g AS (SELECT label AS layer, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), ij AS (SELECT i, j FROM range(64) a(i), range(64) b(j))
 SELECT layer, i, j, round(avg(v[i + 1] * v[j + 1]), 6) AS value FROM g CROSS JOIN ij GROUP BY layer, i, j""")
 def w11(spark: SparkSession, d: str) -> DataFrame:
-    g = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("label").alias("layer"), F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")).alias("v"))
+    g = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("label").alias("layer"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     return six(R.covariance(g), "value")

@@ -52,14 +52,70 @@ def test_approximate_search_recall(spark):
     assert len(exact & found) >= 0.9 * len(exact)
 
 
-def test_many_queries_are_joined(spark, monkeypatch):
+def test_blocks_change_nothing(spark, monkeypatch):
+    """One row a block or all rows in one: the same best features, as numpy finds them."""
+    from quillon.operators import products
+
     m = derive(spark, SF)
     q = K.embedded(m.tokens.where("token_id < 5").select(F.col("token_id").alias("id"), F.col("word").alias("text")), m)
     f = m.features.select("layer", "feature", "gate")
-    one = {tuple(r) for r in K.gate_knn(q, f, 3).select("id", "layer", "feature", "rank").collect()}
-    monkeypatch.setattr(K, "MOST_QUERIES", 2)
-    assert one == {tuple(r) for r in K.gate_knn(q, f, 3).select("id", "layer", "feature", "rank").collect()}
-    assert K.gate_knn(q.limit(0), f, 3).count() == 0
+    one = {tuple(r) for r in K.gate_knn(q, f, 3).select("id", "layer", "feature", "rank", "score").collect()}
+    monkeypatch.setattr(products, "BLOCK_ROWS", 7)
+    assert one == {tuple(r) for r in K.gate_knn(q, f, 3).select("id", "layer", "feature", "rank", "score").collect()}
+    assert K.gate_knn(q.limit(0), f, 3).count() == 0 and K.gate_knn(q, f.limit(0), 3).count() == 0
+    rows, queries = f.collect(), {r.id: np.array(r.q) for r in q.collect()}
+    want = set()
+    for i, v in queries.items():
+        for layer in {r.layer for r in rows}:
+            of = sorted((-abs(round(float(np.array(r.gate) @ v), 9)), r.feature) for r in rows if r.layer == layer)[:3]
+            want |= {(i, layer, x, n + 1) for n, (_, x) in enumerate(of)}
+    assert {r[:4] for r in one} == want
+
+
+def test_totals_and_predictions(spark, monkeypatch):
+    from quillon.operators import clustering as C
+    from quillon.operators import products
+
+    monkeypatch.setattr(products, "BLOCK_ROWS", 3)
+    rng = np.random.default_rng(2)
+    e, x = rng.normal(size=(11, 4)), rng.normal(size=(5, 4))
+    tokens = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(e)], "token_id long, embedding array<double>")
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, residual array<double>")
+    logits = x @ e.T
+    p = np.exp(np.tanh(logits / 0.5) * 0.5 / 0.7)
+    p /= p.sum(1, keepdims=True)
+    got = {(r.id, r.rank): (r.token_id, r.probability) for r in C.predictions(nodes, tokens, 2, 0.7, 0.5).collect()}
+    for i in range(5):
+        for n, t in enumerate(np.argsort(-logits[i])[:2]):
+            assert got[i, n + 1] == (t, pytest.approx(p[i, t]))
+    flat = spark.createDataFrame([(i, t, float(v)) for i, row in enumerate(logits) for t, v in enumerate(row)], "id long, token_id long, logit double")
+    assert {(r.id, r.rank): (r.token_id, pytest.approx(r.probability)) for r in C.softmax_top(flat, 2, 0.7, 0.5).collect()} == got
+    traces = nodes.select(F.col("id").alias("trace_id"), F.lit(0).alias("layer"), "residual")
+    for r in C.answer_trajectory(traces, tokens, 6).collect():
+        own = np.exp(logits[r.trace_id])
+        assert r.rank == 1 + int((logits[r.trace_id] > logits[r.trace_id, 6]).sum()) and r.probability == pytest.approx(own[6] / own.sum())
+    assert C.answer_trajectory(traces, tokens, 99).count() == 0
+
+
+def test_kmeans_against_numpy(spark):
+    from quillon.operators import clustering as C
+
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(200, 6)) + np.repeat(rng.normal(size=(4, 6)) * 3, 50, axis=0)
+    got, centres = C.kmeans(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>"), 4)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    c = u[[int(np.linalg.norm(v, axis=1).argmax())]]
+    while len(c) < 4:
+        c = np.vstack([c, u[(u @ c.T).max(1).argmin()]])
+    for _ in range(50):
+        at = (u @ c.T).argmax(1)
+        new = np.array([u[at == k].mean(0) for k in range(4)])
+        new /= np.linalg.norm(new, axis=1, keepdims=True)
+        if np.abs(new - c).max() < 1e-12:
+            break
+        c = new
+    assert {r.id: r.cluster for r in got.collect()} == dict(enumerate(at.tolist()))
+    assert np.allclose([r.centre for r in centres.orderBy("cluster").collect()], c)
 
 
 def test_contract(spark):
