@@ -152,13 +152,22 @@ def classify_direction(vectors: DataFrame, centres: DataFrame) -> DataFrame:
 
 
 def layer_stats(edges: DataFrame) -> DataFrame:
-    """Per layer of edges ``layer, subject, object, confidence, selectivity``: means, extremes, loops, counts over thresholds."""
+    """Per layer of edges ``layer, subject, object, c_in, c_out, confidence, selectivity``: means, extremes, loops, counts over thresholds."""
     cuts = (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90)
     over = [F.count_if(F.col(c) >= t).alias(f"{c}_ge_{int(t * 100):02d}") for c in ("confidence", "selectivity") for t in cuts]
     loops = F.count_if(F.col("subject") == F.col("object"))
     return edges.groupBy("layer").agg(
         F.count("*").alias("edges"), F.avg("confidence").alias("mean_confidence"), F.max("confidence").alias("max_confidence"), F.min("confidence").alias("min_confidence"),
-        F.avg("selectivity").alias("mean_selectivity"), loops.alias("self_loops"), (loops * 100.0 / F.count("*")).alias("self_loop_pct"), *over)
+        F.avg("selectivity").alias("mean_selectivity"), F.avg("c_in").alias("mean_c_in"), F.avg("c_out").alias("mean_c_out"), loops.alias("self_loops"), (loops * 100.0 / F.count("*")).alias("self_loop_pct"), *over)
+
+
+def top_entities(edges: DataFrame, top: int = 10) -> DataFrame:
+    """``layer, side, entity, n, mean_confidence, rank``: the most frequent subjects and objects of each layer, the surer of equals."""
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("entity")) for s in ("subject", "object")])
+    rows = edges.select("layer", F.explode(sides).alias("s"), "confidence").select("layer", "s.*", "confidence")
+    rows = rows.groupBy("layer", "side", "entity").agg(F.count("*").alias("n"), F.avg("confidence").alias("mean_confidence"))
+    order = Window.partitionBy("layer", "side").orderBy(F.desc("n"), F.round("mean_confidence", 9).desc(), "entity")
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
 def weight_walk(features: DataFrame, tokens: DataFrame, k: int = 5, least: float = 0.02) -> DataFrame:
@@ -203,3 +212,10 @@ def answer_trajectory(nodes: DataFrame, tokens: DataFrame, answer_id: int) -> Da
     marked = own.select(*key, "residual", F.col("score").alias("mark"))
     sums = totals(marked, words, left_vector="residual", right_vector="embedding", key=[*key, "mark"], above="mark")
     return sums.select(*key, (F.col("n_above") + 1).cast("int").alias("rank"), F.exp(F.col("mark") - F.col("log_sum")).alias("probability"))
+
+
+def layer_summaries(nodes: DataFrame, tokens: DataFrame) -> DataFrame:
+    """``trace_id, layer, token_id, probability, norm``: what each node (``trace_id, layer, residual``) would say, and the residual's length."""
+    rows = nodes.select(F.struct("trace_id", "layer").alias("id"), "residual")
+    first = predictions(rows, tokens, 1).select("id", "token_id", "probability")
+    return first.join(rows.select("id", F.sqrt(dot("residual", "residual")).alias("norm")), "id").select("id.trace_id", "id.layer", "token_id", "probability", "norm")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -134,6 +135,35 @@ def bfs(graph: DataFrame, source: str, max_depth: int) -> DataFrame:
     return seen
 
 
+def dfs(graph: DataFrame, source: str, max_depth: int, most_edges: int = 1_000_000) -> DataFrame:
+    """``place, node, depth`` in the order of a depth-first search: of a node's edges the last by ``seq`` is followed first.
+
+    The order depends on all that came before, so it is found in one task, from the edges within reach alone; more
+    than ``most_edges`` of those are an error.
+    """
+    near = subgraph(graph, source, max_depth).select("seq", "subject", "object")
+    n = near.limit(most_edges + 1).count()
+    if n > most_edges:
+        raise ValueError(f"over {most_edges} edges lie within {max_depth} steps of {source}")
+    rows = near.sparkSession.range(1).select(F.lit(None).cast(near.schema["seq"].dataType).alias("seq"), F.lit(None).cast("string").alias("subject"), F.lit(None).cast("string").alias("object"))
+
+    def visit(pdf: pd.DataFrame) -> pd.DataFrame:
+        out: dict[str, int] = {}
+        edges: dict[str, list[str]] = {}
+        for s, o in pdf[pdf["subject"].notna()].sort_values("seq")[["subject", "object"]].itertuples(index=False):
+            edges.setdefault(s, []).append(o)
+        stack = [(source, 0)]
+        while stack:
+            node, depth = stack.pop()
+            if node not in out:
+                out[node] = depth
+                if depth < max_depth:
+                    stack += [(o, depth + 1) for o in edges.get(node, []) if o not in out]
+        return pd.DataFrame([(i, n, d) for i, (n, d) in enumerate(out.items())], columns=["place", "node", "depth"])
+
+    return near.unionByName(rows).withColumn("__all", F.lit(1)).groupBy("__all").applyInPandas(visit, "place long, node string, depth int")
+
+
 def subgraph(graph: DataFrame, entity: str, depth: int) -> DataFrame:
     """Edges out of the nodes within ``depth`` steps."""
     near = bfs(graph, entity, depth).select(F.col("node").alias("subject"))
@@ -160,6 +190,39 @@ def shortest_paths(graph: DataFrame, source: str, max_rounds: int = 100) -> Data
     raise RuntimeError(f"no fixed point after {max_rounds} rounds")
 
 
+def astar(graph: DataFrame, source: str, target: str, heuristic: DataFrame | None = None, max_rounds: int = 100) -> DataFrame:
+    """``cost, path, nodes_explored`` of the cheapest way to ``target``, or no row; ``heuristic`` holds ``node, h``, never over the true rest.
+
+    Whole frontiers are relaxed as in :func:`shortest_paths`; nodes whose cost and rest exceed the best known way are not
+    followed. ``nodes_explored`` counts the nodes that were.
+    """
+    spark = graph.sparkSession
+    edges = graph.select("subject", "object", (1 - F.col("confidence")).alias("w"))
+    h = spark.createDataFrame([], "node string, h double") if heuristic is None else heuristic.select("node", "h")
+    best = spark.createDataFrame([(source, 0.0, [source])], "node string, cost double, path array<string>")
+    front, explored = best, []
+    for _ in range(max_rounds):
+        known = best.where(F.col("node") == target).select("cost").first()
+        open_ = front.where(F.col("node") != target).join(h, "node", "left")
+        if known is not None:
+            open_ = open_.where(F.col("cost") + F.coalesce("h", F.lit(0.0)) < known[0])
+        open_ = staged(open_.select("node", "cost", "path"), "astar-open")
+        if open_.isEmpty():
+            break
+        explored.append(open_.select("node"))
+        step = open_.join(edges, open_.node == edges.subject).select(F.col("object").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.concat("path", F.array("object")).alias("path"))
+        step = step.groupBy("node").agg(F.min(F.struct("cost", "path")).alias("s")).select("node", "s.*")
+        old = best.select("node", F.col("cost").alias("old"))
+        front = staged(step.join(old, "node", "left").where("old is null or cost < old - 1e-12").select("node", "cost", "path"), "astar-front")
+        best = staged(best.join(front.select("node"), "node", "left_anti").unionByName(front), "astar-best")
+    else:
+        raise RuntimeError(f"no way settled after {max_rounds} rounds")
+    seen = spark.createDataFrame([], "node string")
+    for nodes_ in explored:
+        seen = seen.unionByName(nodes_)
+    return best.where(F.col("node") == target).select("cost", "path").crossJoin(seen.agg(F.count_distinct("node").alias("nodes_explored")))
+
+
 def pagerank(graph: DataFrame, damping: float = 0.85, max_rounds: int = 100, tolerance: float = 1e-6) -> tuple[DataFrame, int, bool]:
     """``node, rank``, the rounds taken and whether the ranks settled; parallel edges count, dangling mass goes to all."""
     edges = graph.select("subject", "object")
@@ -171,14 +234,14 @@ def pagerank(graph: DataFrame, damping: float = 0.85, max_rounds: int = 100, tol
     edges = staged(edges.join(degree, "subject").groupBy("subject", "object").agg((F.count("*") / F.first("degree")).alias("share")), "rank-edges")
     ranks = nodes.select("node", "degree", F.lit(1.0 / n).alias("rank"))
     for round_ in range(1, max_rounds + 1):
-        dangling = ranks.where("degree is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+        # One job a round: the ranks of nodes without a way out join as a single row.
+        dangling = ranks.where("degree is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
         into = edges.join(ranks.select(F.col("node").alias("subject"), "rank"), "subject").groupBy(F.col("object").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        new = ranks.join(into, "node", "left").select(
-            "node", "degree", F.col("rank").alias("old"), ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + dangling / n)).alias("rank"))
+        new = ranks.join(into, "node", "left").crossJoin(F.broadcast(dangling)).select(
+            "node", "degree", F.col("rank").alias("old"), ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
         new = staged(new, "rank-round")
-        moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
         ranks = new.select("node", "degree", "rank")
-        if moved < tolerance:
+        if tolerance > 0 and new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < tolerance:
             return ranks.select("node", "rank"), round_, True
     return ranks.select("node", "rank"), max_rounds, False
 
@@ -186,7 +249,7 @@ def pagerank(graph: DataFrame, damping: float = 0.85, max_rounds: int = 100, tol
 def components(graph: DataFrame) -> DataFrame:
     """``component, size, members``' table: ``node, component, size`` with a component named by its least node."""
     found = connected_components(graph.select(F.col("subject").alias("src"), F.col("object").alias("dst")))
-    sizes = found.groupBy("component").agg(F.count("*").alias("size"))
+    sizes = staged(found.groupBy("component").agg(F.count("*").alias("size")), "component-sizes")  # a join that may split a giant component
     return found.join(sizes, "component").select("node", "component", "size")
 
 
@@ -263,16 +326,26 @@ def nodes(graph: DataFrame, type_rules: DataFrame | None = None) -> DataFrame:
 
 
 def stats(graph: DataFrame) -> DataFrame:
-    """One row: entities, edges, relations, average confidence and degree."""
+    """One row: entities, edges, relations, average confidence and degree, components, and the edges of each source."""
     ends = graph.select(F.explode(F.array("subject", "object")).alias("node")).distinct().agg(F.count("*").alias("entities"))
     row = graph.agg(F.count("*").alias("edges"), F.count_distinct("relation").alias("relations"), F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("avg_confidence"))
-    return row.crossJoin(ends).withColumn("avg_degree", F.when(F.col("entities") > 0, 2.0 * F.col("edges") / F.col("entities")).otherwise(0.0))
+    parts = components(graph).agg(F.count_distinct("component").alias("components"))
+    sources = graph.groupBy("source").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", "n")))).alias("by_source"))
+    return row.crossJoin(ends).crossJoin(parts).crossJoin(sources).withColumn("avg_degree", F.when(F.col("entities") > 0, 2.0 * F.col("edges") / F.col("entities")).otherwise(0.0))
 
 
 def counts(graph: DataFrame) -> DataFrame:
     return graph.groupBy("relation", "source").agg(F.count("*").alias("edges"), F.avg("confidence").alias("avg_confidence"))
 
 
+def edges_of(rows: DataFrame) -> DataFrame:
+    """Edges of rows that may lack ``confidence`` (1 then, and held to 0..1), ``source`` (unknown) or ``metadata`` (none)."""
+    given = lambda name, kind, default: F.coalesce(F.col(name).cast(kind), default) if name in rows.columns else default
+    confidence = F.greatest(F.lit(0.0), F.least(F.lit(1.0), given("confidence", "double", F.lit(1.0))))
+    none = F.create_map().cast("map<string,string>")
+    return rows.select(*TRIPLE, confidence.alias("confidence"), given("source", "string", F.lit("unknown")).alias("source"), given("metadata", "map<string,string>", none).alias("metadata"))
+
+
 def chain(predict: Callable[[str], list[tuple[str, float]]], prompt: str, most: int = 8, least: float = 0.0, stops: str = ".\n") -> tuple[str, float, float]:
     """Repeat the best prediction: the answer, its average and least probability; ends on nothing, a stop character or a weak guess."""
     answer, chances = "", []

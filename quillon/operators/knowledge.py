@@ -112,6 +112,21 @@ def similarity(pairs: DataFrame, model: Model, max_layers: int = 0) -> DataFrame
     return pairs.join(scored, pairs.id.cast("string") == scored.pid, "left").select("id", "similarity")
 
 
+def similar_to_many(rows: DataFrame, model: Model) -> DataFrame:
+    """``id, similarities`` for rows ``id, a, texts``: of one text to each of an array, in its order, null where there is none."""
+    pairs = rows.select("id", "a", F.posexplode("texts").alias("pos", "b")).select(F.concat_ws(":", "id", "pos").alias("id"), "a", "b", F.col("id").alias("of"), "pos")
+    found = similarity(pairs.select("id", "a", "b"), model)
+    placed = pairs.join(found, "id").groupBy("of").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "similarity"))), lambda x: x["similarity"]).alias("similarities"))
+    none = F.array().cast("array<double>")
+    return rows.join(placed, F.col("id") == F.col("of"), "left").select("id", F.when(F.col("texts").isNotNull(), F.coalesce("similarities", none)).alias("similarities"))
+
+
+def distances(pairs: DataFrame, model: Model) -> DataFrame:
+    """``id, distance`` for rows ``id, a, b``; null where the similarity is."""
+    found = similarity(pairs, model)
+    return found.select("id", F.when(F.col("similarity").isNotNull(), score_to_distance(F.col("similarity"))).alias("distance"))
+
+
 def ranked(candidates: DataFrame, query: str, model: Model, limit: int = 0) -> DataFrame:
     """``id, similarity, distance`` of the texts of ``candidates`` to one query, best first; texts that are null or hold no word are left out."""
     rows = candidates.where("text is not null and text <> ''").select("id", F.col("text").alias("a"), F.lit(query).alias("b"))

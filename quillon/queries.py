@@ -512,10 +512,13 @@ def g21(spark: SparkSession, d: str) -> DataFrame:
     return G.filtered(G.business_graph(spark, d), min_confidence=0.3, max_confidence=0.9, relations=["in_nation", "supplies"], sources=["document", "parametric"], subject_contains="1", object_contains="2").select("subject", "relation", "object")
 
 
-@query("g22_stats", GRAPH_SQL + """ SELECT count(*) AS edges, count(DISTINCT relation) AS relations, round(avg(confidence), 6) AS avg_confidence,
-  (SELECT count(*) FROM (SELECT subject FROM edges UNION SELECT object FROM edges)) AS entities, round(2.0 * count(*) / (SELECT count(*) FROM (SELECT subject FROM edges UNION SELECT object FROM edges)), 6) AS avg_degree FROM edges""")
+@query("g22_stats", _components_sql(10) + """ SELECT count(*) AS edges, count(DISTINCT relation) AS relations, round(avg(confidence), 6) AS avg_confidence, (SELECT count(*) FROM l10) AS entities,
+  round(2.0 * count(*) / (SELECT count(*) FROM l10), 6) AS avg_degree, (SELECT count(DISTINCT label) FROM l10) AS components,
+  (SELECT string_agg(source || ':' || n, ',' ORDER BY source) FROM (SELECT source, count(*) AS n FROM edges GROUP BY source)) AS by_source FROM edges""")
 def g22(spark: SparkSession, d: str) -> DataFrame:
-    return six(G.stats(G.business_graph(spark, d)), "avg_confidence", "avg_degree")
+    found = G.stats(G.business_graph(spark, d))
+    sources = F.array_join(F.transform(F.map_entries("by_source"), lambda e: F.concat_ws(":", e["key"], e["value"])), ",")
+    return six(found.withColumn("by_source", sources), "avg_confidence", "avg_degree")
 
 
 @query("g23_nodes", GRAPH_SQL + """, e2 AS (SELECT subject AS node, relation, 1 AS o, 0 AS i FROM edges UNION ALL SELECT object, relation, 0, 1 FROM edges)
@@ -649,11 +652,16 @@ def _categories(m: Model) -> DataFrame:
     return m.tokens.where("token_id % 10 = 5").select(F.col("token_id").alias("position"), "word")
 
 
+def pattern_sql(words: str) -> str:
+    """What at least half of a list of words are."""
+    known = " ".join(f"WHEN 2 * len(list_filter({words}, lambda w: w IN ({', '.join(repr(w) for w in of)}))) >= len({words}) THEN '{name}'" for name, of in (("language", LANGUAGES), ("country", COUNTRIES), ("month", MONTHS), ("number", NUMBERS)))
+    return f"CASE {known} WHEN 2 * len(list_filter({words}, lambda w: regexp_full_match(w, '[a-z]{{0,4}}'))) >= len({words}) THEN 'morphological' END"
+
+
 @query("c3_category_labels", LABELS_SQL + f""", unit AS (SELECT token_id, word, list_transform(embedding, lambda x: x / sqrt(list_inner_product(embedding, embedding))) AS v FROM tokens WHERE token_id > 2),
 own AS (SELECT r.cluster, u.v FROM r JOIN unit u ON u.word = r.w WHERE r.r <= 5), mean_sim AS (SELECT o.cluster, c.token_id, c.word, round(avg(list_inner_product(o.v, c.v)), 9) AS s FROM own o CROSS JOIN unit c WHERE c.token_id % 10 = 5 GROUP BY 1, 2, 3),
 near AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY s DESC, token_id) AS n FROM mean_sim), members AS (SELECT cluster, list(w ORDER BY r) AS ws FROM r WHERE r <= 5 GROUP BY cluster),
-pattern AS (SELECT cluster, CASE {' '.join(f"WHEN 2 * len(list_filter(ws, lambda w: w IN ({', '.join(repr(w) for w in words)}))) >= len(ws) THEN '{name}'" for name, words in (("language", LANGUAGES), ("country", COUNTRIES), ("month", MONTHS), ("number", NUMBERS)))}
-  WHEN 2 * len(list_filter(ws, lambda w: regexp_full_match(w, '[a-z]{{0,4}}'))) >= len(ws) THEN 'morphological' END AS pattern FROM members)
+pattern AS (SELECT cluster, {pattern_sql('ws')} AS pattern FROM members)
 SELECT p.cluster, coalesce(n.word, CASE WHEN p.cluster IN (SELECT cluster FROM own) THEN t.pattern END, p.label) AS label FROM plain p LEFT JOIN near n ON n.cluster = p.cluster AND n.n = 1 AND n.s >= 0.25 LEFT JOIN pattern t ON t.cluster = p.cluster""")
 def c3(spark: SparkSession, d: str) -> DataFrame:
     m = derive(spark, d)

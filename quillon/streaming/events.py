@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,10 +10,32 @@ from quillon.sources.graphs import COMPACT, _edges
 
 
 def edge_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Edges of a growing log, each triple once."""
+    """Edges of a growing log, each triple once. Its state holds every triple; :func:`replay_into` keeps them in a table instead."""
     return _edges(spark.readStream.schema(COMPACT).json(path)).dropDuplicates(["subject", "relation", "object"])
 
 
+def replay_into(spark: SparkSession, log: str, table: str, checkpoint: str) -> None:
+    """Take over what is new in a growing log into a table of edges, each triple once, and return.
+
+    Known triples are found by a join with the table, so a stream's state does not grow with the graph; a batch that
+    is run again after a failure writes its own folder anew.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        new = batch.dropDuplicates(["subject", "relation", "object"])
+        try:
+            known = spark.read.parquet(table).where(F.col("batch") != number).select("subject", "relation", "object")
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+        else:
+            new = new.join(known, ["subject", "relation", "object"], "left_anti")
+        new.write.mode("overwrite").parquet(f"{table.rstrip('/')}/batch={number}")
+
+    stream = _edges(spark.readStream.schema(COMPACT).json(log))
+    stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def event_windows(events: DataFrame, length: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts and sums by type and tumbling window; with ``late`` as the watermark of a stream."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", length).alias("w"), "event_type").agg(
