@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 
 from quillon.operators.ordering import numbered
 from quillon.operators.products import best
-from quillon.staging import staged
+from quillon.staging import age, staged
 
 SCALE = 80.0
 WORD = "[a-zà-öø-ÿ]+"
-_KNOWN: dict[tuple[str, str, int, int], Model] = {}
+_KNOWN: dict[tuple[str, int, str, int, int], Model] = {}
 
 
 @dataclass
@@ -47,7 +47,7 @@ def derive(spark: SparkSession, sf_dir: str, stride: int = 7, offset: int = 1, t
     The vocabulary has as many tokens as there are vectors; every output vector meets all of it, in blocks, to find
     the labels.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, stride, offset)
+    key = (spark.sparkContext.applicationId, age(spark), sf_dir, stride, offset)
     if key in _KNOWN:
         return _KNOWN[key]
     docs, vectors = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/embeddings.parquet")

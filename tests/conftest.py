@@ -16,4 +16,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from quillon.staging import clear
+
+    clear(session)
     session.stop()

@@ -152,3 +152,34 @@ def test_replay(spark, tmp_path):
     got = spark.read.parquet(table)
     assert got.count() == got.select("subject", "object").distinct().count() == 8
     assert {r.batch for r in got.select("batch").distinct().collect()} == {0, 1}
+
+
+def test_staged_tables_are_cleared(tmp_path):
+    """In a session of its own: what was staged goes, models are derived anew, and a cluster without a shared folder is an error."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import sys; sys.path.insert(0, {str(Path(__file__).resolve().parents[1])!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.checkpoint.dir", "file://{tmp_path}").config("spark.ui.enabled", "false").getOrCreate()
+from pathlib import Path
+from quillon import staging
+df = staging.staged(spark.range(5).toDF("x"), "t", codec="zstd")
+assert df.count() == 5 and len(list(Path("{tmp_path}").glob("t-*"))) == 1
+assert staging.clear(spark) == 1 and not list(Path("{tmp_path}").glob("t-*")) and staging.age(spark) == 1
+assert staging.staged(spark.range(3).toDF("x")).count() == 3
+class Cluster:
+    master, applicationId = "spark://x", "a"
+class Session:
+    sparkContext = Cluster
+    class conf:
+        get = staticmethod(lambda *a: "")
+try:
+    staging.shared_dir(Session)
+except RuntimeError:
+    print("fine")
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert "fine" in out.stdout, out.stderr[-2000:]
