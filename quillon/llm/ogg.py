@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import whole
+from quillon.staging import staged
 
 RATE = 8000
 PACKET, LEVEL_SPAN = 6000, 48000
@@ -191,6 +192,11 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).alias("doc_id"), whole(text_col).alias("text")).mapInArrow(_encoded, f"doc_id {kind}, media binary")
 
 
+def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """:func:`store`, written into the shared folder: what is read from it are the stored bytes. A very long text is one value."""
+    return staged(store(docs, id_col, text_col), "ogg-media", codec="zstd")
+
+
 MEASURES = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "error": pa.string()}
 
 

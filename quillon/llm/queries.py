@@ -23,9 +23,9 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillon.llm.ogg import read_back, store
+    from quillon.llm.ogg import read_back, stored
 
-    return read_back(store(table(spark, sf_dir, "documents")))
+    return read_back(stored(table(spark, sf_dir, "documents")))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
