@@ -88,30 +88,32 @@ def _opened(path: str) -> tuple[fs.FileSystem, str]:
 def _write(folder: str, date: str, level: int, kind: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["page_id", "url", "digest", "record_type", "refers_to", "file", "offset", "length"]
-        out, file, at, name = None, None, 0, ""
-        for batch in batches:
-            rows: list[list] = [[] for _ in names]
-            for page_id, url, payload, keep_id in zip(*(batch.column(i) for i in range(4)), strict=True):
-                if out is None or at >= FILE_BYTES:
-                    if out is not None:
-                        out.close()
-                    name = f"{uuid.uuid4().hex}.warc.gz"  # another attempt of this task writes another file
-                    system, path = _opened(folder)
-                    out, at = system.open_output_stream(posixpath.join(path, name), compression=None), 0
-                page, body, keep = page_id.as_py(), payload.as_py(), keep_id.as_py()
-                revisit, digest, link = keep is not None and keep != page, digest32(body), url.as_py()
-                member = zlib.compressobj(level, zlib.DEFLATED, 31)
-                packed = member.compress(record(page, link, body, digest, keep if revisit else None, revisit, date)) + member.flush()
-                out.write(packed)
-                row = (page, link, digest, "revisit" if revisit else "response", keep if revisit else None, name, at, len(packed))
-                for column, value in zip(rows, row, strict=True):
-                    column.append(value)
-                at += len(packed)
-            number = pa.int32() if kind == "int" else pa.int64()
-            types = [number, pa.string(), pa.string(), pa.string(), number, pa.string(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names)
-        if out is not None:
-            out.close()
+        out, at, name = None, 0, ""
+        number = pa.int32() if kind == "int" else pa.int64()
+        types = [number, pa.string(), pa.string(), pa.string(), number, pa.string(), pa.int64(), pa.int64()]
+        try:
+            for batch in batches:
+                rows: list[list] = [[] for _ in names]
+                for page_id, url, payload, keep_id in zip(*(batch.column(i) for i in range(4)), strict=True):
+                    if out is None or at >= FILE_BYTES:
+                        if out is not None:
+                            out.close()
+                        name = f"{uuid.uuid4().hex}.warc.gz"  # another attempt of this task writes another file
+                        system, path = _opened(folder)
+                        out, at = system.open_output_stream(posixpath.join(path, name), compression=None), 0
+                    page, body, keep = page_id.as_py(), payload.as_py(), keep_id.as_py()
+                    revisit, digest, link = keep is not None and keep != page, digest32(body), url.as_py()
+                    member = zlib.compressobj(level, zlib.DEFLATED, 31)
+                    packed = member.compress(record(page, link, body, digest, keep if revisit else None, revisit, date)) + member.flush()
+                    out.write(packed)
+                    row = (page, link, digest, "revisit" if revisit else "response", keep if revisit else None, name, at, len(packed))
+                    for column, value in zip(rows, row, strict=True):
+                        column.append(value)
+                    at += len(packed)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], names)
+        finally:
+            if out is not None:
+                out.close()
 
     return write
 
@@ -127,7 +129,7 @@ def write_archives(
     group has an id, all are responses. Rows repeated with the same id and payload give as many records
     of one kind. Extra columns are not read; an empty table gives an empty index.
 
-    Payloads are compared by SHA-256. Each task writes files of its own; the index rows of a task are
+    Payloads are compared by SHA-256; a very long one is held whole, by one task. Each task writes files of its own; the index rows of a task are
     committed with it, so files of failed attempts are never referred to.
     """
     kind = pages.schema[id_col].dataType.simpleString()
@@ -161,8 +163,14 @@ def _read(folder: str, kind: str):
                     j += 1
                 with system.open_input_file(posixpath.join(path, file)) as f:
                     block = f.read_at(end - first, first)
-                rows = [parse(zlib.decompress(block[o - first : o - first + n], 31)) for _, o, n in wanted[i:j]]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in zip(names, types, strict=True)], names)
+                rows, held = [], 0
+                for k in range(i, j):
+                    _, o, n = wanted[k]
+                    rows.append(parse(zlib.decompress(block[o - first : o - first + n], 31)))
+                    held += rows[-1]["payload_bytes"]
+                    if held > RANGE_BYTES or k == j - 1:  # however well a range was packed, its payloads go on piece by piece
+                        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in zip(names, types, strict=True)], names)
+                        rows, held = [], 0
                 i = j
 
     return read
