@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.experts import STATUS, UNITS, call
+from quillon.functions.small_programs import ELEMENTS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -250,3 +251,66 @@ def conway(spark: SparkSession, d: str) -> DataFrame:
     number = lambda g: sum((F.shiftleft(g[i][j], 3 * i + j) for i in range(3) for j in range(3)), F.lit(0))
     two = call("conway", "simulate", args(grid=grid, generations=2))
     return table(spark, d, "part").select("p_partkey", number(call("conway", "step", args(grid=grid))).alias("one"), number(two["grid"]).alias("two"), two["live"].alias("live"))
+
+
+@query("x_logic", """
+SELECT p_partkey, p_size % 2 = 0 AND (p_partkey % 3 = 0 OR NOT (p_size > 25)) AS holds, ['tautology', 'contradiction', 'contingent'][p_partkey % 3 + 1] AS kind, 4 AS rows, 'A OR B' AS simple FROM part""")
+def logic(spark: SparkSession, d: str) -> DataFrame:
+    a = lambda op, **k: call("logic", op, args(**k))
+    size, key = F.col("p_size"), F.col("p_partkey")
+    known = F.create_map(F.lit("Even"), size % 2 == 0, F.lit("third"), key % 3 == 0, F.lit("big"), size > 25)
+    of = F.element_at(F.array(*map(F.lit, ("A OR NOT A", "A AND not A", "A OR B"))), (key % 3 + 1).cast("int"))
+    return table(spark, d, "part").select(
+        "p_partkey", a("eval", expr=F.lit("Even AND (third OR NOT big)"), assignments=known).alias("holds"), a("classify", expr=of).alias("kind"),
+        F.size(a("truth_table", expr=F.lit("A and B"))["rows"]).cast("long").alias("rows"), a("simplify", expr=F.lit("NOT NOT A OR (B OR A) OR FALSE")).alias("simple"))
+
+
+@query("x_dijkstra", """
+SELECT p_partkey, least(a + b, c)::DOUBLE AS distance, CASE WHEN a + b < c THEN 'x/y/z' ELSE 'x/z' END AS path, true AS there, false AS back, (a + b + c - greatest(a, b, c))::DOUBLE AS tree
+FROM (SELECT p_partkey, p_size AS a, p_partkey % 17 + 1 AS b, p_partkey % 41 + 10 AS c FROM part) WHERE a + b <> c""")
+def dijkstra(spark: SparkSession, d: str) -> DataFrame:
+    a = lambda op, **k: call("dijkstra", op, args(**k))
+    w = [F.col("p_size"), F.col("p_partkey") % 17 + 1, F.col("p_partkey") % 41 + 10]
+    edges = F.array(*[F.array(F.lit(x), F.lit(y), c.cast("string")) for (x, y), c in zip(("xy", "yz", "xz"), w, strict=True)])
+    to = lambda x, y: {"edges": edges, "from": F.lit(x), "to": F.lit(y)}
+    way = a("shortest_path", **to("x", "z"))
+    return table(spark, d, "part").where(w[0] + w[1] != w[2]).select(
+        "p_partkey", way["distance"].alias("distance"), F.array_join(way["path"], "/").alias("path"), a("reachable", **to("x", "z"))["reachable"].alias("there"), a("reachable", **to("z", "x"))["reachable"].alias("back"),
+        a("mst", edges=edges)["weight"].alias("tree"))
+
+
+@query("x_graph", """
+SELECT o_orderkey, 'o' AS central, n AS degree, n >= 3 AS cycle, CASE WHEN n = 1 THEN 2 ELSE 1 END AS parts, n < 3 AS bipartite, CASE WHEN n < 3 THEN 'o' END AS first, n + 1 AS nodes
+FROM (SELECT l_orderkey AS o_orderkey, least(count(*), 4) AS n FROM lineitem GROUP BY 1) WHERE n >= 2""")
+def graph(spark: SparkSession, d: str) -> DataFrame:
+    """A star with a ray for each line of an order, up to four; from three lines on its first three points are a ring."""
+    a = lambda op, **k: call("graph", op, args(**k))
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.least(F.count("*"), F.lit(4)).alias("n")).where("n >= 2")
+    point = lambda i: F.concat(F.lit("p"), i.cast("string"))
+    rays = F.transform(F.sequence(F.lit(1).cast("long"), F.col("n")), lambda i: F.array(F.lit("o"), point(i)))
+    edges = F.when(F.col("n") >= 3, F.concat(rays, F.array(F.array(F.lit("p1"), F.lit("p2")), F.array(F.lit("p2"), F.lit("o"))))).otherwise(rays)
+    top, order = a("most_central", edges=rays), a("topological_sort", edges=edges)
+    return rows.select(
+        "o_orderkey", top["node"].alias("central"), top["degree"].cast("long").alias("degree"), a("has_cycle", edges=edges, directed=F.lit(True)).alias("cycle"), a("connected_components", edges=edges).alias("parts"),
+        a("is_bipartite", edges=edges).alias("bipartite"), F.get(order, F.lit(0)).alias("first"), F.size(a("degrees", edges=edges)).cast("long").alias("nodes"))
+
+
+@query("x_sql", "SELECT p_partkey, CAST(p_size + p_partkey % 7 AS VARCHAR) AS total, '\"' || p_brand || '\"' AS brand FROM part")
+def sql(spark: SparkSession, d: str) -> DataFrame:
+    run = lambda script: call("sql", "execute", args(sql=script))
+    head = F.concat(F.lit("CREATE TABLE t (x int, b text); INSERT INTO t VALUES ("), F.col("p_size"), F.lit(", '"), F.col("p_brand"), F.lit("'); INSERT INTO t VALUES ("), F.col("p_partkey") % 7, F.lit(", 'other');"))
+    return table(spark, d, "part").select("p_partkey", run(F.concat(head, F.lit("SELECT sum(x) FROM t"))).alias("total"), run(F.concat(head, F.lit("SELECT b FROM t WHERE b <> 'other'"))).alias("brand"))
+
+
+_Z = "CAST(p_partkey % 118 + 1 AS INT)"
+
+
+@query("x_element", f"""
+WITH e(z, symbol, name, mass) AS (VALUES {", ".join(f"({z}, '{s}', '{n}', {float(m)}::DOUBLE)" for z, (s, n, m) in enumerate(ELEMENTS, 1))})
+SELECT p_partkey, e.symbol, e.name, e.mass, e.z, 118 AS n FROM part JOIN e ON e.z = {_Z}""")
+def element(spark: SparkSession, d: str) -> DataFrame:
+    a = lambda op, **k: call("element", op, args(**k))
+    found = a("by_number", z=(F.col("p_partkey") % 118 + 1).cast("int"))
+    again = a("by_name", name=F.upper(a("by_symbol", symbol=F.lower(found["symbol"]))["name"]))
+    rows = table(spark, d, "part").select("p_partkey", again.alias("e"), F.size(a("list", any=F.lit(""))).cast("long").alias("n"))
+    return rows.select("p_partkey", "e.symbol", "e.name", "e.mass", "e.z", "n")
