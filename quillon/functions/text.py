@@ -111,6 +111,42 @@ def filled(template: Column | str, subject: Column | str, obj: Column | str | No
     return out if obj is None else F.replace(out, F.lit("{object}"), F.col(obj) if isinstance(obj, str) else obj)
 
 
+# The forms in which families of chat models take a prompt, and the parts of a model's name or the family names that tell them.
+CHAT_FORMS = {
+    "gemma": "<start_of_turn>user\n{}\n<end_of_turn>\n<start_of_turn>model\n", "mistral": "[INST] {} [/INST]",
+    "llama": "<|begin_of_text|><|start_header_id|>user<|end_header_id|>\n\n{}<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n\n",
+    "chatml": "<|im_start|>user\n{}<|im_end|>\n<|im_start|>assistant\n", "plain": "{}",
+}
+CHAT_NAMES = (("gemma", ["gemma"]), ("mistral", ["mixtral", "mistral"]), ("llama", ["llama"]), ("chatml", ["qwen", "deepseek", "chatml"]))
+CHAT_FAMILIES = {"gemma": ["gemma2", "gemma3", "gemma4"], "mistral": ["mistral", "mixtral"], "llama": ["llama"], "chatml": ["qwen", "qwen2", "qwen3", "deepseek", "gpt_oss"]}
+
+
+def chat_form(name: Column | str) -> Column:
+    """The chat form that a model's name tells, the first that fits; plain otherwise."""
+    out = F.lit("plain")
+    for form, parts in reversed(CHAT_NAMES):
+        out = F.when(F.lower(name).rlike("|".join(parts)), form).otherwise(out)
+    return out
+
+
+def family_form(family: Column | str) -> Column:
+    """The chat form of a family of models; plain for one that is not known."""
+    out, family = F.lit("plain"), F.col(family) if isinstance(family, str) else family
+    for form, names in CHAT_FAMILIES.items():
+        out = F.when(family.isin(names), form).otherwise(out)
+    return out
+
+
+def wrapped(prompt: Column | str, form: Column) -> Column:
+    """A prompt in a chat form."""
+    text = F.col(prompt) if isinstance(prompt, str) else prompt
+    out = text
+    for name, shape in CHAT_FORMS.items():
+        before, after = shape.split("{}")
+        out = F.when(form == name, F.concat(F.lit(before), text, F.lit(after))).otherwise(out)
+    return out
+
+
 def model_slug(name: Column | str) -> Column:
     return F.replace(name, F.lit("/"), F.lit("--"))
 

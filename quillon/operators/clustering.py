@@ -13,7 +13,7 @@ from quillon.functions.text import dot, l2_normalize
 from quillon.functions.vocabularies import LABEL_STOP_WORDS
 from quillon.operators.knowledge import gate_knn
 from quillon.operators.products import best as best_of
-from quillon.operators.products import totals
+from quillon.operators.products import packed, totals
 from quillon.staging import staged
 
 
@@ -161,6 +161,41 @@ def layer_stats(edges: DataFrame) -> DataFrame:
         F.avg("selectivity").alias("mean_selectivity"), F.avg("c_in").alias("mean_c_in"), F.avg("c_out").alias("mean_c_out"), loops.alias("self_loops"), (loops * 100.0 / F.count("*")).alias("self_loop_pct"), *over)
 
 
+def attention_walk(heads: DataFrame, tokens: DataFrame, k: int = 5, least: float = 0.02, wide: int = 10) -> DataFrame:
+    """Edges input token → output token of each attention head (``layer, head, ov``, a matrix of rows), normalised per layer.
+
+    Inputs are the ``wide * k`` tokens whose embedding the head makes longest (``c_in``), outputs the ``k`` tokens nearest
+    to what it makes of them (``c_out``), from ``least`` on. Heads meet tokens in blocks.
+    """
+    kept = wide * k
+    blocks = packed(tokens.select("token_id", "token", "embedding"), "embedding")
+    flat = heads.select("layer", "head", F.flatten("ov").alias("flat_ov"))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                layer, head = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                rest = batch.column(4)[i].values
+                e = batch.column(3)[i].values.to_numpy(zero_copy_only=False).reshape(len(rest), -1)
+                ov = batch.column(2)[i].values.to_numpy(zero_copy_only=False).reshape(-1, e.shape[1])
+                out = e @ ov.T
+                size = np.round(np.sqrt((out**2).sum(1)), 9)
+                top = np.flatnonzero(size >= np.partition(size, -kept)[-kept]) if len(size) > kept else np.arange(len(size))
+                columns = [pa.array([layer] * len(top), pa.int32()), pa.array([head] * len(top), pa.int32()), *rest.take(pa.array(top)).flatten(), pa.array(size[top]), pa.array(list(out[top]), pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["layer", "head", "token_id", "subject", "c_in", "made"])
+
+    schema = "layer int, head int, token_id long, subject string, c_in double, made array<double>"
+    order = Window.partitionBy("layer", "head").orderBy(F.desc("c_in"), "token_id")
+    ins = flat.crossJoin(blocks).mapInArrow(made, schema).withColumn("r", F.row_number().over(order)).where(F.col("r") <= kept).drop("r")
+    key = ["layer", "head", "token_id"]
+    outs = best_of(ins, tokens.select(F.col("token_id").alias("out_id"), F.col("token").alias("object"), "embedding"), k, [F.col("out_id")], left_vector="made", right_vector="embedding", key=key, least=least)
+    edges = staged(outs.select("layer", "head", "subject", "object", "c_in", F.col("score").alias("c_out")), "attention-edges")
+    raw = F.col("c_in") * F.col("c_out")
+    most = edges.groupBy("layer").agg(F.max(raw).alias("most"), F.max("c_in").alias("most_in"))
+    return edges.join(most, "layer").select(
+        *edges.columns, F.concat(F.lit("L"), "layer", F.lit("-H"), "head").alias("relation"), (raw / F.col("most")).alias("confidence"), (F.col("c_in") / F.col("most_in")).alias("selectivity"))
+
+
 def top_entities(edges: DataFrame, top: int = 10) -> DataFrame:
     """``layer, side, entity, n, mean_confidence, rank``: the most frequent subjects and objects of each layer, the surer of equals."""
     sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("entity")) for s in ("subject", "object")])

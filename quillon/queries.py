@@ -789,10 +789,12 @@ def v18(spark: SparkSession, d: str) -> DataFrame:
     return six(R.routed_totals(R.route(K.embedded(asked(m), m).withColumnRenamed("q", "x"), router(m), 3)), "mean_probability")
 
 
-@query("v8_approximate_knn")
+@query("v8_approximate_knn", ASK_SQL + " SELECT id, count(*) AS exact, true AS good FROM hits WHERE rank <= 10 GROUP BY id")
 def v8(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of each query against the exact search; good from 0.9 on."""
     m = derive(spark, d)
-    return six(R.approximate_knn(K.embedded(asked(m), m), m.features.select("layer", "feature", "gate"), 10), "score")
+    q, f = K.embedded(asked(m), m), m.features.select("layer", "feature", "gate")
+    return R.recall(R.approximate_knn(q, f, 10), K.gate_knn(q, f, 10)).select("id", "exact", (F.col("recall") >= 0.9).alias("good"))
 
 
 @query("c12_gate_tokens", MODEL_SQL + """, ww AS (SELECT * FROM tokens WHERE octet_length(encode(trim(token))) >= 3 AND regexp_matches(trim(token), '^[A-Za-z0-9''-]+$')),

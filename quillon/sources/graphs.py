@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ COMPACT = "s string, r string, o string, c double, src string, meta map<string,s
 def format_of(path: str) -> str:
     """The format that an extension means; an unknown one is an error."""
     name = path.rstrip("/").lower()
-    for ending, kind in ((".json", "json"), (".ndjson", "log"), (".jsonl", "log"), (".csv", "csv"), (".bin", "packed"), (".parquet", "parquet")):
+    for ending, kind in ((".json", "json"), (".ndjson", "log"), (".jsonl", "log"), (".csv", "csv"), (".pak", "packed"), (".bin", "message"), (".msgpack", "message"), (".parquet", "parquet")):
         if name.endswith(ending):
             return kind
     raise ValueError(f"no graph format for {path}")
@@ -107,8 +108,87 @@ def read_packed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_unpack, EDGE)
 
 
+def _message(value: object) -> bytes:
+    """MessagePack of nested dicts, lists, texts, numbers, booleans and None."""
+    if value is None or isinstance(value, bool):
+        return {None: b"\xc0", False: b"\xc2", True: b"\xc3"}[value]
+    if isinstance(value, int):
+        return struct.pack(">b", value) if -32 <= value < 128 else struct.pack(">Bq", 0xD3, value)
+    if isinstance(value, float):
+        return struct.pack(">Bd", 0xCB, value)
+    if isinstance(value, str):
+        raw = value.encode()
+        return (bytes([0xA0 | len(raw)]) if len(raw) < 32 else struct.pack(">BI", 0xDB, len(raw))) + raw
+    if isinstance(value, dict):
+        return (bytes([0x80 | len(value)]) if len(value) < 16 else struct.pack(">BI", 0xDF, len(value))) + b"".join(_message(k) + _message(v) for k, v in value.items())
+    return (bytes([0x90 | len(value)]) if len(value) < 16 else struct.pack(">BI", 0xDD, len(value))) + b"".join(map(_message, value))
+
+
+#: By first byte: how the number that follows is written. Lengths of texts, bytes, lists and maps come first.
+_LENGTHS = {0xD9: "B", 0xDA: "H", 0xDB: "I", 0xC4: "B", 0xC5: "H", 0xC6: "I", 0xDC: "H", 0xDD: "I", 0xDE: "H", 0xDF: "I"}
+_NUMBERS = {0xCA: "f", 0xCB: "d", 0xCC: "B", 0xCD: "H", 0xCE: "I", 0xCF: "Q", 0xD0: "b", 0xD1: "h", 0xD2: "i", 0xD3: "q"}
+
+
+def _parsed(data: bytes, at: int = 0) -> tuple[object, int]:
+    """The value that begins at ``at``, and where it ends; ValueError for anything that is no such value."""
+    if at >= len(data):
+        raise ValueError("a message is cut short")
+    first, at = data[at], at + 1
+    if first < 0x80 or first >= 0xE0:
+        return first - 256 * (first >= 0xE0), at
+    if first in (0xC0, 0xC2, 0xC3):
+        return {0xC0: None, 0xC2: False, 0xC3: True}[first], at
+    if first in _NUMBERS:
+        size = struct.calcsize(_NUMBERS[first])
+        return struct.unpack_from(f">{_NUMBERS[first]}", data, at)[0], at + size
+    if first in _LENGTHS:
+        (n,) = struct.unpack_from(f">{_LENGTHS[first]}", data, at)
+        at += struct.calcsize(_LENGTHS[first])
+        kind = "text" if first >= 0xD9 and first <= 0xDB else "bytes" if first <= 0xC6 else "list" if first <= 0xDD else "map"
+    elif first < 0xC0:
+        n, kind = (first & 0x1F, "text") if first >= 0xA0 else (first & 0x0F, "list" if first >= 0x90 else "map")
+    else:
+        raise ValueError(f"a message holds byte {first:#x}, which is no value here")
+    if kind in ("text", "bytes"):
+        raw = data[at : at + n]
+        if len(raw) < n:
+            raise ValueError("a message is cut short")
+        return raw.decode() if kind == "text" else raw, at + n
+    items = []
+    for _ in range(n * (1 + (kind == "map"))):
+        item, at = _parsed(data, at)
+        items.append(item)
+    return (dict(zip(items[::2], items[1::2], strict=True)) if kind == "map" else items), at
+
+
+def messaged(edges: list[dict]) -> bytes:
+    """A graph of compact edges as one MessagePack document."""
+    return _message({"edges": edges})
+
+
+def read_messages(spark: SparkSession, path: str) -> DataFrame:
+    """Edges of MessagePack graphs, or of packed ones by their first bytes; a file is read by one task, edges without both ends or a relation are passed over."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["s", "r", "o", "c", "src", "meta", "inj"]
+        types = [pa.string()] * 3 + [pa.float64(), pa.string(), pa.map_(pa.string(), pa.string()), pa.list_(pa.float64())]
+        for batch in batches:
+            for data in batch.column(0):
+                raw = data.as_py()
+                if raw.startswith(MAGIC):
+                    rows = [[*r, None, None] for r in unpacked(raw)]
+                else:
+                    rows = [[e.get(n) for n in names] for e in _parsed(raw)[0]["edges"]]
+                for row in rows:
+                    row[5] = None if row[5] is None else [(k, v if isinstance(v, str) else json.dumps(v)) for k, v in row[5].items()]
+                columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    return _edges(spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, COMPACT))
+
+
 def load(spark: SparkSession, path: str) -> DataFrame:
     kind = format_of(path)
     if kind == "parquet":
         return spark.read.parquet(path)
-    return {"json": read_json, "log": read_log, "csv": read_csv, "packed": read_packed}[kind](spark, path)
+    return {"json": read_json, "log": read_log, "csv": read_csv, "packed": read_packed, "message": read_messages}[kind](spark, path)

@@ -7,6 +7,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.operators.patches import PATCH_SCHEMA, find_features, free_feature, overlay
+from quillon.staging import staged
+
 VECTOR = "_header boolean, id string, layer int, feature bigint, vector array<float>, dim int, top_token string, top_token_id bigint, c_score double, top_k array<struct<token:string,token_id:bigint,logit:double>>"
 PATCH = (
     "version int, base_model string, operations array<struct<op:string,layer:int,feature:bigint,entity:string,relation:string,target:string,"
@@ -74,3 +77,38 @@ def build_plan(text: str) -> list[tuple[str, list[str]]]:
     if not any(w == "FROM" for w, _ in out):
         raise ValueError("FROM is missing")
     return out
+
+
+def build(spark: SparkSession, text: str, stage: str | None = None, folder: str = "") -> tuple[DataFrame, DataFrame]:
+    """Carry out a build file: the features it makes, and ``position, instruction, changed``, what each instruction changed.
+
+    FROM names a store of features in Parquet. An INSERT takes a free feature of the middle layer, a DELETE all base
+    features whose label or further token contains its last name. Of stages, the one asked for follows the shared part.
+    """
+    plan, taken, of = build_plan(text), [], None
+    for word, names in plan:
+        if word == "STAGE":
+            of = names[0]
+        elif of is None or of == stage:
+            taken.append((word, names))
+    if stage is not None and not any(w == "STAGE" and n[0] == stage for w, n in plan):
+        raise ValueError(f"no stage {stage}")
+    at = lambda name: name if name.startswith("/") or "://" in name or not folder else f"{folder.rstrip('/')}/{name}"
+    base = spark.read.parquet(at(next(n[0] for w, n in taken if w == "FROM")))
+    layers = (base.agg(F.max("layer")).first()[0] or 0) + 1
+    ops, history = spark.createDataFrame([], PATCH_SCHEMA), []
+    for i, (word, names) in enumerate(taken):
+        new = None
+        if word == "PATCH":
+            new = read_patches(spark, at(names[0])).withColumn("patch_no", F.lit(i))
+        elif word == "INSERT":
+            free = free_feature(overlay(base, ops).where(F.col("layer") == layers // 2)).first()
+            new = spark.createDataFrame([(i, 0, "insert", layers // 2, free["feature"] if free else 0, names[2], 0, 0.9, None, names[0], names[1])], PATCH_SCHEMA)
+        elif word == "DELETE":
+            new = find_features(base, names[-1]).select(
+                F.lit(i).alias("patch_no"), F.lit(0).alias("op_no"), F.lit("delete").alias("op"), "layer", "feature", *[F.lit(None).cast(t).alias(n) for n, t in (("target", "string"), ("token_id", "long"), ("confidence", "double"), ("gate", "array<double>"), ("entity", "string"), ("relation", "string"))])
+        if new is not None:
+            new = staged(new.select(*ops.columns), "build-ops")
+            ops = ops.unionByName(new)
+        history.append((i, " ".join([word, *names]), 0 if new is None else new.count()))
+    return overlay(base, ops), spark.createDataFrame(history, "position int, instruction string, changed long")

@@ -375,3 +375,55 @@ def st1(spark: SparkSession, d: str) -> DataFrame:
     IO.append_log(e.where("relation <> 'has_brand'"), log)
     replay_into(spark, log, table, marks)
     return spark.read.parquet(table).select("subject", "relation", "object")
+
+
+@query("s14_chat_forms", """
+SELECT conv_id, turn, f AS form, CASE f WHEN 'mistral' THEN '[INST] ' || text || ' [/INST]' WHEN 'plain' THEN text END AS wrapped, CASE WHEN f NOT IN ('mistral', 'plain') THEN contains(w, text) END AS inside, f AS family
+FROM (SELECT *, ['gemma', 'mistral', 'llama', 'chatml', 'plain'][conv_id % 5 + 1] AS f, text AS w FROM conversations)""")
+def s14(spark: SparkSession, d: str) -> DataFrame:
+    names, families = ["Some/GEMMA-9", "mixtral-x", "a-llama", "Qwen3", "other"], ["gemma3", "mixtral", "llama", "gpt_oss", "none"]
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("conv_id") % 5 + 1).cast("int"))
+    c = spark.read.parquet(f"{d}/conversations.parquet").withColumn("form", T.chat_form(of(names)))
+    w, plain = T.wrapped("text", F.col("form")), F.col("form").isin("mistral", "plain")
+    return c.select("conv_id", "turn", "form", F.when(plain, w).alias("wrapped"), F.when(~plain, F.contains(w, F.col("text"))).alias("inside"), T.family_form(of(families)).alias("family"))
+
+
+@query("v23_classify", """
+WITH g AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) - 0.01) AS v FROM embeddings), p AS (SELECT vec_id AS k, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS c FROM embeddings WHERE vec_id < 3),
+z AS (SELECT g.vec_id, list(list_inner_product(g.v, p.c) ORDER BY p.k) AS z FROM g CROSS JOIN p GROUP BY g.vec_id), s AS (SELECT vec_id, z[1] - z[2] + 0.02 AS a, z[2] - z[3] AS b, z[3] - z[1] - 0.01 AS c FROM z)
+SELECT vec_id AS id, CASE WHEN a >= b AND a >= c THEN 'first' WHEN b >= c THEN 'second' ELSE 'third' END AS route FROM s""")
+def v23(spark: SparkSession, d: str) -> DataFrame:
+    import numpy as np
+
+    g = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    axes = np.array([r.v for r in g.where("id < 3").orderBy("id").collect()], float)
+    turns = np.array([[1.0, -1.0, 0.0], [0.0, 1.0, -1.0], [-1.0, 0.0, 1.0]])
+    return R.classify(g, np.full(axes.shape[1], 0.01), axes, turns, np.array([0.02, 0.0, -0.01]), ["first", "second", "third"])
+
+
+@query("w3_attention_walk", MODEL_SQL + """, hd AS (SELECT a.label AS layer, a.vec_id AS head, a.gate AS u, b.gate AS w FROM gates a JOIN gates b ON b.vec_id = a.vec_id + 1 WHERE a.vec_id % 50 = 0),
+i AS (SELECT h.layer, h.head, t.token_id, t.token AS subject, list_inner_product(h.w, t.embedding) AS x, round(abs(list_inner_product(h.w, t.embedding)) * sqrt(list_inner_product(h.u, h.u)), 9) AS c_in, h.u FROM hd h CROSS JOIN tokens t),
+ir AS (SELECT *, row_number() OVER (PARTITION BY layer, head ORDER BY c_in DESC, token_id) AS r FROM i), o AS (SELECT i.layer, i.head, i.token_id, i.subject, i.c_in, t.token_id AS out_id, t.token AS object, round(i.x * list_inner_product(i.u, t.embedding), 9) AS c_out FROM ir i CROSS JOIN tokens t WHERE i.r <= 20),
+k AS (SELECT *, row_number() OVER (PARTITION BY layer, head, token_id ORDER BY c_out DESC, out_id) AS r FROM o WHERE c_out >= 0.02)
+SELECT 'L' || layer || '-H' || head AS relation, subject, object, round(c_in * c_out / max(c_in * c_out) OVER (PARTITION BY layer), 6) AS confidence, round(c_in / max(c_in) OVER (PARTITION BY layer), 6) AS selectivity FROM k WHERE r <= 2""")
+def w3(spark: SparkSession, d: str) -> DataFrame:
+    """Heads of rank one, from pairs of neighbouring vectors."""
+    m = derive(spark, d)
+    g = m.features.select("layer", "feature", "gate")
+    after = g.select((F.col("feature") - 1).alias("feature"), F.col("gate").alias("w"))
+    heads = g.where("feature % 50 = 0").join(after, "feature").select("layer", F.col("feature").cast("int").alias("head"), F.transform("gate", lambda u: F.transform("w", lambda w: u * w)).alias("ov"))
+    return six(C.attention_walk(heads, m.tokens, 2).select("relation", "subject", "object", "confidence", "selectivity"), "confidence", "selectivity")
+
+
+@query("p15_build", PATCHED_SQL.replace("FROM features WHERE feature % 21 = 0\n)", "FROM features WHERE false\n)") + """, gone AS (SELECT DISTINCT f.layer, f.feature FROM features f JOIN features_top t ON t.vec_id = f.feature WHERE contains(lower(t.token), 'qu')),
+free AS (SELECT min(feature) AS feature FROM features WHERE layer = 5 AND token IS NULL)
+SELECT f.layer, f.feature, CASE WHEN f.layer = 5 AND f.feature = (SELECT feature FROM free) THEN 'Quay' WHEN g.feature IS NOT NULL THEN NULL ELSE f.token END AS token FROM features f LEFT JOIN gone g ON g.layer = f.layer AND g.feature = f.feature""")
+def p15(spark: SparkSession, d: str) -> DataFrame:
+    """A build file that deletes by a target and then inserts into the first free feature, of the base that is, of the middle layer."""
+    from quillon.sources.stores import build
+
+    m = derive(spark, d)
+    path = new_path(spark, "store")
+    m.features.write.parquet(path)
+    made, _ = build(spark, f'FROM {path}\nINSERT ("Harbour", "has", "Quay")\nDELETE "x" "y" "qu"\nSTAGE dev\nEXPOSE all\n')
+    return made.select("layer", "feature", "token")

@@ -183,3 +183,78 @@ except RuntimeError:
 """
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
     assert "fine" in out.stdout, out.stderr[-2000:]
+
+
+def test_messages(spark, tmp_path):
+    """MessagePack of every kind of value, and graphs in it; packed graphs are told by their first bytes."""
+    from quillon.sources import graphs
+
+    value = {"a": [None, True, False, 0, -1, 127, 128, -33, 2**40, -(2**40), 1.5, "", "grüß" * 20], "b": {str(i): i for i in range(40)}, "c": list(range(30)), "d": {}}
+    assert graphs._parsed(graphs._message(value)) == (value, len(graphs._message(value)))
+    assert graphs._parsed(b"\xcc\xff")[0] == 255 and graphs._parsed(b"\xcd\x01\x00")[0] == 256 and graphs._parsed(b"\xca\x3f\xc0\x00\x00")[0] == 1.5 and graphs._parsed(b"\xd9\x02ab")[0] == "ab"
+    for broken in (b"", b"\xa5ab", b"\xc1", b"\x92\x01"):
+        with pytest.raises(ValueError):
+            graphs._parsed(broken)
+    edges = [{"s": "Alma", "r": "calls", "o": "Mole", "c": 1.75, "src": "manual", "meta": {"layer": 3, "note": "x"}, "inj": [2, 0.5]}, {"s": "Bryn", "r": "calls", "o": "Quay"}, {"s": "x"}]
+    (tmp_path / "g.msgpack").write_bytes(graphs.messaged(edges))
+    got = {r.subject: r for r in graphs.load(spark, str(tmp_path / "g.msgpack")).collect()}
+    assert set(got) == {"Alma", "Bryn"} and (got["Alma"].confidence, got["Alma"].metadata, got["Alma"].injection.layer) == (1.0, {"layer": "3", "note": "x"}, 2) and got["Bryn"].source == "unknown"
+    (tmp_path / "h.pak").write_bytes(graphs.packed([("a", "r", "b", 0.5, "manual")]))
+    assert [(r.subject, r.confidence, r.source) for r in graphs.load(spark, str(tmp_path / "h.pak")).collect()] == [("a", 0.5, "manual")]
+
+
+def test_build(spark, tmp_path):
+    from quillon.sources import stores
+
+    rows = [(x, f, [1.0, float(f)], f, f"word{f}" if f != 2 else None, 0.5, [("quay" if f == 0 else "other", 1, 0.3)]) for x in range(4) for f in range(4)]
+    spark.createDataFrame(rows, "layer int, feature long, gate array<double>, token_id long, token string, c_score double, top_k array<struct<token:string,token_id:bigint,logit:double>>").write.parquet(str(tmp_path / "base"))
+    (tmp_path / "p.json").write_text(json.dumps({"version": 1, "operations": [{"op": "update", "layer": 3, "feature": 3, "target": "Patched", "down_meta": {"top_token": "Patched", "top_token_id": 9, "c_score": 0.7}}]}))
+    text = 'FROM base\nPATCH p.json # a comment\nINSERT ("a", "b", "Lantern")\nSTAGE dev\nINSERT ("a", "b", "Second")\nSTAGE other\nDELETE "" "" "quay"\n'
+    label = lambda df: {(r.layer, r.feature): r.token for r in df.collect()}
+    plain, history = stores.build(spark, text, folder=str(tmp_path))
+    assert label(plain) == {(x, f): "Patched" if (x, f) == (3, 3) else "Lantern" if (x, f) == (2, 2) else None if f == 2 else f"word{f}" for x in range(4) for f in range(4)}
+    assert [(r.position, r.changed) for r in history.orderBy("position").collect()] == [(0, 0), (1, 1), (2, 1)]
+    dev = label(stores.build(spark, text, "dev", str(tmp_path))[0])
+    assert dev[2, 2] == "Lantern" and list(dev.values()).count("Second") == 1
+    other, history = stores.build(spark, text, "other", str(tmp_path))
+    assert all(label(other)[x, 0] is None for x in range(4)) and history.orderBy("position").collect()[-1].changed == 4
+    with pytest.raises(ValueError):
+        stores.build(spark, text, "none", str(tmp_path))
+
+
+def test_classify_and_chat_forms(spark):
+    from quillon.functions import text as T
+    from quillon.operators import models as R
+
+    rng = np.random.default_rng(7)
+    mean, axes, turns, b = rng.normal(size=5), rng.normal(size=(3, 5)), rng.normal(size=(4, 3)), rng.normal(size=4)
+    v = rng.normal(size=(40, 5))
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(40, [1.0]), (41, None)]
+    got = {r.id: r.route for r in R.classify(spark.createDataFrame(rows, "id int, v array<double>"), mean, axes, turns, b, list("abcd")).collect()}
+    assert got == {**{i: "abcd"[int((turns @ (axes @ (x - mean)) + b).argmax())] for i, x in enumerate(v)}, 40: "unknown", 41: "unknown"}
+    forms = spark.createDataFrame([("Org/Mixtral-8", "gemma4"), ("deepseek-coder", "gpt_oss"), ("my-model", "other"), (None, None)], "m string, f string")
+    assert [tuple(r) for r in forms.select(T.chat_form("m"), T.family_form("f")).collect()] == [("mistral", "gemma"), ("chatml", "chatml"), ("plain", "plain"), ("plain", "plain")]
+    ask = spark.createDataFrame([("hi",)], "p string")
+    assert ask.select(T.wrapped("p", F.lit("chatml")), T.wrapped("p", F.lit("plain"))).first()[:] == ("<|im_start|>user\nhi<|im_end|>\n<|im_start|>assistant\n", "hi")
+
+
+def test_attention_walk(spark):
+    from quillon.operators import clustering as C
+
+    rng = np.random.default_rng(12)
+    e, ov = rng.normal(size=(30, 4)), rng.normal(size=(2, 2, 4, 4))
+    tokens = spark.createDataFrame([(i, f"t{i}", x.tolist()) for i, x in enumerate(e)], "token_id long, token string, embedding array<double>")
+    heads = spark.createDataFrame([(x, h, ov[x, h].tolist()) for x in range(2) for h in range(2)], "layer int, head int, ov array<array<double>>")
+    want = {}
+    for x in range(2):
+        raw = []
+        for h in range(2):
+            made = e @ ov[x, h].T
+            size = np.linalg.norm(made, axis=1)
+            for i in np.argsort(-size)[:6]:
+                out = made[i] @ e.T
+                raw += [(h, i, j, size[i], out[j]) for j in np.argsort(-out)[:3] if out[j] >= 0.02]
+        most, most_in = max(r[3] * r[4] for r in raw), max(r[3] for r in raw)
+        want |= {(f"L{x}-H{h}", f"t{i}", f"t{j}"): (a * b / most, a / most_in) for h, i, j, a, b in raw}
+    got = {(r.relation, r.subject, r.object): (r.confidence, r.selectivity) for r in C.attention_walk(heads, tokens, 3, wide=2).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
