@@ -6,9 +6,11 @@ import gc
 import hashlib
 import heapq
 import re
+import sys
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -21,7 +23,7 @@ META = "▁"
 CACHE_WORDS, CACHE_CHARS, CACHE_LONGEST = 500_000, 6_000_000, 100
 #: normalizer_spec { add_dummy_prefix: false }, as a message to merge into a model's.
 NO_PREFIX = b"\x1a\x02\x18\x00"
-#: Parts of so many characters are merged without a heap.
+#: Parts of so many characters are merged together with others of their length.
 SHORT = 40
 #: Characters the library is given at once.
 BATCH_CHARS = 500_000
@@ -46,13 +48,79 @@ class Agenda:
             raise ValueError("pieces of this vocabulary span words")
         inner = "".join(re.escape(c) for c in sorted(merging - {META}))
         self.parts = re.compile(f"{META}+[{inner}]*|[{inner}]+|.", re.DOTALL).findall
+        # Symbols by number, first the characters that merge; and for each pair that is a piece its number and score.
+        self.symbols = list(dict.fromkeys([*sorted(merging), *self.scores]))
+        number = {s: i for i, s in enumerate(self.symbols)}
+        self.number_of = np.full(sys.maxunicode + 1, -1, np.int32)
+        self.number_of[[ord(c) for c in merging]] = [number[c] for c in merging]
+        pairs = {}
+        for piece, score in self.scores.items():
+            for i in range(1, len(piece)):
+                left, right = number.get(piece[:i]), number.get(piece[i:])
+                if left is not None and right is not None:
+                    pairs[left * len(number) + right] = (number[piece], score)
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.joined = np.array([pairs[k][0] for k in self.keys.tolist()], np.int32)
+        self.pair_scores = np.array([pairs[k][1] for k in self.keys.tolist()])
+        self.id_of = np.array([self.ids.get(s, -1) for s in self.symbols])
         self.seen: dict[str, tuple[tuple[int, ...], str]] = {}
         self.chars = 0
         self.long: list[str] = []
 
     def merge(self, part: str) -> tuple[int, ...]:
         """Join the adjacent pair whose piece scores highest, the leftmost of equals, until no pair is a piece."""
-        return self.ids_of(self.merge_short(part) if len(part) <= SHORT else self.merge_long(part))
+        return self.merge_all([part])[0]
+
+    def merge_all(self, parts: list[str]) -> list[tuple[int, ...]]:
+        """:meth:`merge` of each part; those of one length advance together."""
+        out: list[tuple[int, ...]] = [()] * len(parts)
+        by_length: dict[int, list[int]] = {}
+        for i, part in enumerate(parts):
+            if 1 < len(part) <= SHORT:
+                by_length.setdefault(len(part), []).append(i)
+            else:
+                out[i] = self.ids_of(self.merge_long(part))
+        for same in by_length.values():
+            for at, rows in self.merge_equal([parts[i] for i in same]):
+                ids = self.id_of[rows]
+                for k, row, known, of in zip(at.tolist(), ids.tolist(), (ids >= 0).all(1).tolist(), rows, strict=True):
+                    out[same[k]] = tuple(row) if known else self.ids_of([self.symbols[x] for x in of])
+        return out
+
+    def merge_equal(self, parts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The agendas of parts of one length, one join a step: numbers of the parts that are done, and their symbols.
+
+        The agenda of a part is a row of its pairs' scores. Every part that is not done loses one symbol a step, so the
+        rows stay equally long.
+        """
+        codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(parts), -1)
+        symbols = self.number_of[codes]
+        joined, agenda = self.pairs(symbols[:, :-1], symbols[:, 1:])
+        at = np.arange(len(parts))
+        while len(at):
+            width = agenda.shape[1]
+            best = agenda.argmax(1) if width else np.zeros(len(at), np.int64)
+            row = np.arange(len(at))
+            more = agenda[row, best] > -np.inf if width else np.zeros(len(at), bool)
+            if not more.all():
+                yield at[~more], symbols[~more]
+                at, symbols, joined, agenda, best = at[more], symbols[more], joined[more], agenda[more], best[more]
+                row = np.arange(len(at))
+            if not len(at):
+                return
+            symbols[row, best] = joined[row, best]
+            columns = np.arange(width)
+            symbols = symbols[row[:, None], columns + (columns > best[:, None])]
+            columns = columns[:-1] + (columns[:-1] >= best[:, None])
+            joined, agenda = joined[row[:, None], columns], agenda[row[:, None], columns]
+            for r, b in ((row[best > 0], best[best > 0] - 1), (row[best < width - 1], best[best < width - 1])):
+                joined[r, b], agenda[r, b] = self.pairs(symbols[r, b], symbols[r, b + 1])
+
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What two symbols join to, and its score; minus infinity where that is no piece."""
+        wanted = left.astype(np.int64) * len(self.symbols) + right
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return self.joined[at], np.where(self.keys[at] == wanted, self.pair_scores[at], -np.inf)
 
     def ids_of(self, symbols: list[str]) -> tuple[int, ...]:
         out: list[int] = []
@@ -62,19 +130,8 @@ class Agenda:
         return tuple(out)
 
     def merge_short(self, part: str) -> list[str]:
-        """The agenda as a plain list of the pairs' scores: quickest for words."""
-        get, none = self.scores.get, float("-inf")
-        symbols = list(part)
-        agenda = [get(a + b, none) for a, b in zip(symbols, symbols[1:], strict=False)]
-        while agenda and (best := max(agenda)) != none:
-            i = agenda.index(best)
-            symbols[i : i + 2] = [joined := symbols[i] + symbols[i + 1]]
-            del agenda[i]
-            if i:
-                agenda[i - 1] = get(symbols[i - 1] + joined, none)
-            if i < len(agenda):
-                agenda[i] = get(joined + symbols[i + 1], none)
-        return symbols
+        """One part by :meth:`merge_equal`, as texts."""
+        return [self.symbols[x] for _, rows in self.merge_equal([part]) for x in rows[0]] if len(part) > 1 else [part]
 
     def merge_long(self, part: str) -> list[str]:
         """The agenda as a heap, whose entries for symbols that have changed are passed over."""
@@ -121,8 +178,7 @@ class Agenda:
             self.chars = 0
         new = list(set(chain.from_iterable(texts)).difference(seen))
         differ = set()
-        for part, theirs in zip(new, self.exact.encode(new, num_threads=1) if new else [], strict=True):
-            mine = self.merge(part)
+        for part, mine, theirs in zip(new, self.merge_all(new), self.exact.encode(new, num_threads=1) if new else [], strict=True):
             if mine != tuple(theirs):
                 differ.add(part)
                 mine = tuple(theirs)
