@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -140,14 +141,24 @@ def learned(
     return fit(positive, unlabelled, float(np.clip(prior, 0.01, 0.99)))
 
 
+def _score(text: str, weights: np.ndarray | None) -> float:
+    if weights is None:
+        return 0.5
+    z = float(features(text) @ weights[:-1] + weights[-1])
+    return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
+
+
+def _text_scores(weights: np.ndarray | None):
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series([_score(t, weights) for t in texts], dtype=float)
+
+    return score
+
+
 def _scorer(weights: np.ndarray | None):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.full(batch.num_rows, 0.5)
-            if weights is not None:
-                for i, text in enumerate(batch.column(1)):
-                    z = float(features(text.as_py()) @ weights[:-1] + weights[-1])
-                    out[i] = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+            out = np.array([_score(t.as_py(), weights) for t in batch.column(1)], float)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out)], ["key", "held_out", "score"])
 
     return score
@@ -184,5 +195,5 @@ def accepted(
 ) -> DataFrame:
     """The rows of ``docs`` that :func:`scored` predicts to have label 1, all columns as they were and in no join."""
     weights = learned(docs, labels, ~held_out, id_col, text_col, label_col, most_positive, most_unlabelled)
-    found = _scores(docs, F.struct(*docs.columns), weights, text_col, held_out)
-    return found.where(F.col("score") >= threshold).select("key.*")
+    # Only texts go to Python, and only scores come back.
+    return docs.where(F.pandas_udf(_text_scores(weights), "double")(whole(text_col)) >= threshold)

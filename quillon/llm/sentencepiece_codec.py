@@ -230,7 +230,9 @@ def _coder(model_file: str, texts_out: bool):
                     yield pa.RecordBatch.from_arrays(columns, names)
                     at += len(texts)
         finally:
+            agenda.seen.clear()
             gc.enable()
+            gc.collect()  # a worker that waits for its next task holds no words
 
     return code
 
