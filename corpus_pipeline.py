@@ -20,23 +20,39 @@ from quillon.staging import staged
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that the quality classifier rejects."""
+    """Without the documents that the quality classifier rejects.
+
+    Null texts count as empty and are scored like any other; every row, repeated or without an id, is decided by its own
+    text; a score at the threshold stays; without a positive label all stay. An empty table stays empty.
+    """
     held_out = remainder("doc_id", 5) == 0
     return accepted(docs, table(spark, sf_dir, "labels"), held_out)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that are equal but for white space."""
+    """One document of each group of texts that are equal but for white space.
+
+    The longest stays, of equally long ones the smallest id, then the first row; null texts count as empty and null
+    ids lose. Of rows that agree in id and text one stays. An empty table stays empty.
+    """
     return exact_dedup(docs).select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates."""
+    """One document, that of the smallest id, of each group of near-duplicates.
+
+    Rows are told apart by id and text: others of a removed row's id, or of null id, stay, and rows that share the
+    smallest id all stay. Null texts count as empty; groups without any id stay whole. An empty table stays empty.
+    """
     return simhash_dedup(docs).select(docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, as often as it takes them (the last, at the cut of the budget, whole)."""
+    """The documents that the mix takes, as often as it takes them (the last, at the cut of the budget, whole).
+
+    Rows are numbered, so each comes back as often as it was taken itself, whatever ids it shares; rows without a word,
+    null texts among them, are not taken; null sources are one source. An empty table stays empty.
+    """
     row = fresh(docs, "row")
     docs = staged(docs.withColumn(row, F.monotonically_increasing_id()), "mix-rows")
     times = F.ceil(F.col("taken") / F.col("size")).cast("int")
@@ -46,7 +62,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document of the mix."""
+    """Token counts and digests of every document of the mix; null texts have no tokens, repeated rows are coded each, an empty table stays empty."""
     return coded(docs)
 
 
