@@ -214,13 +214,17 @@ def detected(
     texts over the whole corpus: from ``share`` of its information on they are to be generalised, from
     ``removal`` on removed. A term that reveals one value is marked in every text, with or without the value,
     with its greatest disclosure. Null texts count as empty; repeated rows are counted and returned apart; an
-    empty table gives an empty result; extra columns are not read.
+    empty table gives an empty result; extra columns are not read. A very long text is searched whole, by one task,
+    in time that grows with its length alone.
     """
     return _detected(docs, id_col, text_col, share, removal, support).drop("text")
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
-    """``doc_id, text`` with base spans replaced by their kind, terms that reveal them generalised or removed."""
+    """``doc_id, text`` with base spans replaced by their kind, terms that reveal them generalised or removed.
+
+    Every row keeps its own spans, whatever id it shares; null texts come back empty; else as :func:`detected`.
+    """
     options = {"share": 0.8, "removal": 0.95, "support": 3, **options}
     found = _detected(docs, id_col, text_col, **options)
     terms = F.transform("terms", lambda t: F.concat_ws(":", t["action"], t["start"], t["end"])).alias("terms")
